@@ -33,6 +33,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+CONTAINMENT = r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark),
+s AS (
+  SELECT DISTINCT side, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS shingle FROM t),
+n AS (SELECT id, count(*) AS n_item FROM s WHERE side = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, n_item::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*) / n_item AS containment
+FROM s d JOIN s i ON d.side = 'd' AND i.side = 'i' AND d.shingle = i.shingle JOIN n ON n.id = i.id
+GROUP BY d.id, i.id, n_item HAVING 10 * count(*) >= 8 * n_item
+"""
+
 _DRAW = "('0x' || substr(md5(doc_id::VARCHAR || ':' || {k}), 1, 13))::BIGINT"
 _BEST = "list_aggregate([{draws}], 'max')"
 

@@ -8,26 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm import oracles
+from ragloom.llm.bpe import bpe
+from ragloom.llm.decontaminate import contained_items
+from ragloom.llm.lm import lm_scores
 from ragloom.llm.quality import quality
 from ragloom.llm.sharding import assign_shards
+from ragloom.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op9_sharding)}
+    return {f.__name__: f for f in (op3_toxicity, op4_decontamination, op5_lm_scoring, op6_quality_rules, op8_bpe, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": oracles.QUALITY, "op9_sharding": oracles.SHARDING}
+    return {"op4_decontamination": oracles.CONTAINMENT, "op6_quality_rules": oracles.QUALITY, "op9_sharding": oracles.SHARDING}

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 SLOT_DIGITS = 3
 
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
+def _draw(key: Column, shard: int, weight: float | None) -> Column:
     bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{shard}"))), 1, 13), 16, 10).cast("double")
-    score = bits if weight == 1 else F.lit(float(weight)) / -F.log((bits + 0.5) / F.lit(float(1 << 52)))
+    score = bits if weight is None else F.lit(float(weight)) / -F.log((bits + 0.5) / F.lit(float(1 << 52)))
     return F.struct(score.alias("score"), F.lit(-shard).alias("neg"))
 
 
@@ -33,7 +33,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
         raise ValueError("weights must be positive and not empty")
     key = F.coalesce(key.cast("string"), F.lit(""))
     equal = len(set(weights)) == 1
-    draws = [_draw(key, k, 1 if equal else w) for k, w in enumerate(weights)]
+    draws = [_draw(key, k, None if equal else w) for k, w in enumerate(weights)]
     best = F.greatest(*draws) if len(draws) > 1 else draws[0]
     return (-best["neg"]).cast("int")
 
