@@ -69,18 +69,26 @@ class Texts(NamedTuple):
         return len(self.offsets) - 1
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """The column in runs of rows of about ``limit`` bytes; a longer text comes alone.  Null reads as empty."""
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (from 0) of a string or binary column.  Null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
         column = pc.fill_null(column, "")
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     n = len(column)
+    if not n:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offs, data = column.buffers()
-    offsets = np.frombuffer(offs, dtype=np.int64 if wide else np.int32, count=column.offset + n + 1)[column.offset :].astype(np.int64) if n else np.zeros(1, np.int64)
+    offsets = np.frombuffer(offs, dtype=np.int64 if wide else np.int32, count=column.offset + n + 1)[column.offset :].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    at = 0
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
+    """The column in runs of rows of about ``limit`` bytes; a longer text comes alone."""
+    raw, offsets = flat(column)
+    at, n = 0, len(offsets) - 1
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         own = offsets[at : end + 1]
@@ -183,3 +191,33 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.List
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.Table]:
+    """Tables of about ``limit`` bytes that never cut a group; batches come sorted by their first column."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and size >= limit:
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            last = held[-1].column(0)[-1].as_py()
+            cut = int(np.argmax(key != last)) if (key != last).any() else b.num_rows
+            if cut:
+                held.append(b.slice(0, cut))
+            if cut < b.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [b.slice(cut)], b.slice(cut).nbytes
+            continue
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_cuts(key: np.ndarray) -> np.ndarray:
+    """Offsets of the runs of equal values, with the end."""
+    if not len(key):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
