@@ -25,11 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import batch
+from ragloom.llm.arrays import batch, chunks
 
 LEXICON_SIZE = 1 << 16
 #: Words whose results a task keeps; the memory is emptied when it is full.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
+_NEVER = 1 << 40
 
 #: White space of the tokenizer's ``\\s`` (Unicode White_Space).
 _SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -53,6 +54,7 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ids.items()}
         self.special = {a["content"]: a["id"] for a in d["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
+        self.digits = {i: str(i) for i in self.tokens}
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.end = model.get("end_of_word_suffix") or ""
         pattern = next(p["pattern"]["Regex"] for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -70,26 +72,85 @@ class Vocabulary:
             if piece:
                 yield piece, piece in self.special
 
-    def normal(self, text: str) -> str:
-        """NFC, then white space to blanks, then lower case, letter by letter (no final sigma)."""
-        text = text if text.isascii() else unicodedata.normalize("NFC", text)
-        return self.space.sub(" ", text).replace("Σ", "σ").lower()
+    def runs(self, text: str) -> list[str]:
+        """Runs without white space of the normalised text: NFC, and lower case letter by letter (no final sigma)."""
+        text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+        # str.split() also breaks at four separators that the tokenizer takes for ordinary characters.
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [r for r in self.space.sub(" ", text).lower().split(" ") if r]
+        return text.lower().split()
 
     def words(self, run: str) -> list[str]:
-        """The words of a run without white space."""
+        """The words of a run without white space; letters alone, or with one mark behind, need no pattern."""
+        if run.isalpha():
+            return [run]
+        if run[-1] in ".,;:!?" and run[:-1].isalpha():
+            return [run[:-1], run[-1]]
         return self.pattern.findall(run)
 
-    def merge(self, word: str) -> list[int]:
-        """Ids of one word: merge the pair of lowest rank, leftmost first, until none is left."""
-        letters, end, rank = self.letters, self.end, self.rank
-        parts = [letters[b] for b in word.encode()]
-        parts[-1] += end
-        while len(parts) > 1:
-            best, at = min(((rank.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False))))
-            if best == 1 << 60:
+    def _tables(self) -> None:
+        """Merges as sorted (left id, right id) numbers with rank and merged id; the id of each byte, within and at the end of a word."""
+        pairs = sorted((self.ids[a] * len(self.ids) + self.ids[b], r, self.ids[a + b]) for (a, b), r in self.rank.items())
+        self.pair, self.pair_rank, self.pair_id = (np.array(c, dtype=np.int64) for c in zip(*pairs, strict=True))
+        self.inner = np.array([self.ids[x] for x in self.letters], dtype=np.int64)
+        self.final = np.array([self.ids[x + self.end] for x in self.letters], dtype=np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        want = left * len(self.ids) + right
+        at = np.minimum(np.searchsorted(self.pair, want), len(self.pair) - 1)
+        hit = (self.pair[at] == want) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.pair_rank[at], _NEVER), self.pair_id[at]
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """Ids of words: merge the pair of lowest rank, the leftmost of equals, until none is left.
+
+        Words of similar length take their merges in step, one merge each a turn.
+        """
+        raw = [w.encode() for w in words]
+        out: list[list[int]] = [[] for _ in words]
+        length = np.array([len(w) for w in raw], dtype=np.int64)
+        order = np.argsort(length, kind="stable")
+        at = 0
+        while at < len(order):
+            wide = int(length[order[at]])
+            top = int(np.searchsorted(length[order], max(wide + 2, wide * 5 // 4), side="right"))
+            part = order[at : min(top, at + max(1, (1 << 19) // max(length[order[min(top, len(order)) - 1]], 1)))]
+            for i, ids in zip(part, self._merge_block([raw[i] for i in part]), strict=True):
+                out[i] = ids
+            at += len(part)
+        return out
+
+    def _merge_block(self, raw: list[bytes]) -> list[list[int]]:
+        if not hasattr(self, "pair"):
+            self._tables()
+        n = np.array([len(w) for w in raw], dtype=np.int64)
+        rows, wide = np.arange(len(raw)), int(n.max()) + 1
+        x = np.full((len(raw), wide), -1, dtype=np.int64)
+        x[np.arange(wide) < n[:, None]] = self.inner[np.frombuffer(b"".join(raw), np.uint8)]
+        x[rows, n - 1] = self.final[np.array([w[-1] for w in raw])]
+        rank, made = self._ranks(x[:, :-1], x[:, 1:])
+        todo = rows
+        while len(todo) and wide > 1:
+            m = rank[todo].argmin(axis=1)
+            going = rank[todo, m] < _NEVER
+            todo, m = todo[going], m[going]
+            if not len(todo):
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts]
+            token = made[todo, m]
+            columns = np.arange(wide - 1)
+            shift = np.minimum(columns + (columns > m[:, None]), wide - 1)
+            x[todo, :-1] = np.take_along_axis(x[todo], shift, axis=1)
+            x[todo, -1] = -1
+            shift = np.minimum(columns + (columns >= m[:, None]), wide - 2)
+            rank[todo] = np.take_along_axis(rank[todo], shift, axis=1)
+            made[todo] = np.take_along_axis(made[todo], shift, axis=1)
+            rank[todo, -1] = _NEVER
+            x[todo, m] = token
+            rank[todo, m], made[todo, m] = self._ranks(token, x[todo, np.minimum(m + 1, wide - 1)])
+            left = m > 0
+            t, k = todo[left], m[left]
+            rank[t, k - 1], made[t, k - 1] = self._ranks(x[t, k - 1], token[left])
+        return [own[:k].tolist() for own, k in zip(x, (x >= 0).sum(axis=1), strict=True)]
 
 
 class Transducer(NamedTuple):
@@ -97,7 +158,8 @@ class Transducer(NamedTuple):
 
     Edges of state s lie in ``first[s]:first[s+1]``, sorted by byte; ``skip`` is
     how many words come before those behind the edge.  The sum of skips along a
-    word, plus one for each accepting state passed, is its rank.
+    word, plus one for each accepting state passed, is its rank, which tells
+    where its ids are.
     """
 
     first: np.ndarray
@@ -109,21 +171,38 @@ class Transducer(NamedTuple):
     ids: np.ndarray
     root: int
 
-    def rank(self, word: bytes) -> int:
-        """Rank of the word in the lexicon, or -1."""
-        s, n = self.root, 0
-        for b in word:
-            lo, hi = int(self.first[s]), int(self.first[s + 1])
-            e = lo + int(np.searchsorted(self.label[lo:hi], b))
-            if e == hi or self.label[e] != b:
-                return -1
-            n += int(self.skip[e]) + int(self.accepts[s])
-            s = int(self.target[e])
-        return n if self.accepts[s] else -1
-
-    def output(self, word: bytes) -> list[int] | None:
-        n = self.rank(word)
-        return None if n < 0 else self.ids[self.id_at[n] : self.id_at[n + 1]].tolist()
+    def edges(self) -> np.ndarray:
+        """(state, byte) of every edge as one sorted number."""
+        state = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        return state * 256 + self.label
+
+    def ranks(self, words: list[bytes], edges: np.ndarray | None = None) -> np.ndarray:
+        """Rank of each word in the lexicon, or -1; all words walk in step, a byte at a time."""
+        edges = self.edges() if edges is None else edges
+        length = np.array([len(w) for w in words], dtype=np.int64)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        at = np.cumsum(length) - length
+        state = np.full(len(words), self.root, dtype=np.int64)
+        rank = np.zeros(len(words), dtype=np.int64)
+        going = np.flatnonzero(length > 0)
+        step = 0
+        while len(going) and len(edges):
+            own = state[going]
+            want = own * 256 + flat[at[going] + step]
+            e = np.minimum(np.searchsorted(edges, want), len(edges) - 1)
+            hit = edges[e] == want
+            rank[going[~hit]] = -1
+            state[going[~hit]] = -1
+            going, own, e = going[hit], own[hit], e[hit]
+            rank[going] += self.skip[e] + self.accepts[own]
+            state[going] = self.target[e]
+            step += 1
+            going = going[length[going] > step]
+        rank[(state < 0) | ~self.accepts[state].astype(bool)] = -1
+        return rank
+
+    def output(self, rank: int) -> list[int]:
+        return self.ids[self.id_at[rank] : self.id_at[rank + 1]].tolist()
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
@@ -186,7 +265,7 @@ def map_lexicon(image: bytes) -> Transducer:
     try:
         with os.fdopen(handle, "wb") as f:
             f.write(image)
-        flat = np.memmap(path, dtype=np.int32, mode="r")
+        flat = np.memmap(path, dtype=np.int32, mode="r").view(np.ndarray)
     finally:
         os.unlink(path)
     sizes = flat[1:8]
@@ -194,37 +273,51 @@ def map_lexicon(image: bytes) -> Transducer:
     return Transducer(*(flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), root=int(flat[0]))
 
 
-class _Memo(dict):
-    """Run without white space -> its ids and its tokens, each joined by blanks."""
+class Encoder:
+    """A vocabulary, a mapped lexicon, and the results of recent runs of text without white space."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-
-    def __missing__(self, run: str) -> tuple[str, str]:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        v = self.vocabulary
-        ids: list[int] = []
-        for word in v.words(run):
-            known = self.lexicon.output(word.encode())
-            ids += v.merge(word) if known is None else known
-        out = " ".join(map(str, ids)), " ".join(v.tokens[i] for i in ids)
-        self[run] = out
+        self.v, self.lexicon = vocabulary, lexicon
+        self.edges = lexicon.edges()
+        self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
+
+    def learn(self, runs: set[str]) -> None:
+        """Ids and tokens of runs, each as a string joined by blanks; words go through the lexicon together, the rest is merged."""
+        split = {run: self.v.words(run) for run in runs}
+        words = list({w for own in split.values() for w in own})
+        rank = self.lexicon.ranks([w.encode() for w in words], self.edges).tolist()
+        unseen = [w for w, r in zip(words, rank, strict=True) if r < 0]
+        ids = dict(zip(unseen, self.v.merge_all(unseen), strict=True))
+        ids |= {w: self.lexicon.output(r) for w, r in zip(words, rank, strict=True) if r >= 0}
+        tokens, digits = self.v.tokens, self.v.digits
+        text = {w: (" ".join([digits[x] for x in i]), " ".join([tokens[x] for x in i])) for w, i in ids.items()}
+        for run, own in split.items():
+            self.known[run] = text[own[0]] if len(own) == 1 else (" ".join([text[w][0] for w in own]), " ".join([text[w][1] for w in own]))
+
+    def prepare(self, wanted: set[str]) -> None:
+        """Have all wanted runs at hand; runs not used since the last change of generation are forgotten."""
+        if len(self.known) > MEMO_WORDS:
+            self.older, self.known = self.known, {}
+        missing = wanted - self.known.keys()
+        for run in missing & self.older.keys():
+            self.known[run] = self.older[run]
+        self.learn(missing - self.older.keys())
+
+    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
+        """Ids and decoded text of each whole text, each as one string joined by blanks."""
+        v = self.v
+        cut = [[(piece, True) if special else (v.runs(piece), False) for piece, special in v.parts(t)] for t in texts]
+        self.prepare({run for own in cut for runs, special in own if not special for run in runs})
+        known, out = self.known, []
+        for own in cut:
+            found: list[tuple[str, str]] = []
+            for runs, special in own:
+                found += [(v.digits[v.special[runs]], runs)] if special else [known[run] for run in runs]
+            out.append((" ".join([x[0] for x in found if x[0]]), " ".join([x[1] for x in found if x[0]])))
         return out
 
 
-def encode_text(v: Vocabulary, memo: _Memo, text: str) -> tuple[str, str]:
-    """Ids and decoded text of a whole text, each as one string joined by blanks."""
-    found: list[tuple[str, str]] = []
-    for piece, special in v.parts(text):
-        if special:
-            found.append((str(v.special[piece]), piece))
-        else:
-            found += [memo[run] for run in v.normal(piece).split(" ") if run]
-    found = [x for x in found if x[0]]
-    return " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
-
-
 def frequent_words(df: DataFrame, spec: str, text: str = "text", size: int = LEXICON_SIZE) -> list[str]:
     """The ``size`` most frequent words of all texts; ties in order of the word.
 
@@ -241,7 +334,7 @@ def frequent_words(df: DataFrame, spec: str, text: str = "text", size: int = LEX
             for t in b.column(0):
                 for piece, special in v.parts(t.as_py() or ""):
                     if not special:
-                        runs.update(v.normal(piece).split(" "))
+                        runs.update(v.runs(piece))
             words: Counter[str] = Counter()
             for run, n in runs.items():
                 for w in v.words(run):
@@ -264,24 +357,24 @@ def bpe(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "t
         spec = f.read()
     v = Vocabulary(spec)
     words = frequent_words(df, spec, text, lexicon_size)
-    shared = df.sparkSession.sparkContext.broadcast((spec, compile_lexicon({w.encode(): v.merge(w) for w in words})))
+    shared = df.sparkSession.sparkContext.broadcast((spec, compile_lexicon({w.encode(): i for w, i in zip(words, v.merge_all(words), strict=True)})))
     kind = df.schema[key].dataType.simpleString()
     wide = keep_text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, image = shared.value
         v = Vocabulary(spec)
-        memo = _Memo(v, map_lexicon(image))
+        encoder = Encoder(v, map_lexicon(image))
         for b in batches:
             n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
-            for t in b.column(1):
-                ids, decoded = encode_text(v, memo, t.as_py() or "")
-                n.append(ids.count(" ") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if wide:
-                    all_ids.append(list(map(int, ids.split())))
-                    all_text.append(decoded)
+            for c in chunks(b.column(1)):
+                for ids, decoded in encoder.encode([x or "" for x in b.column(1).slice(c.first, c.rows).to_pylist()]):
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if wide:
+                        all_ids.append(list(map(int, ids.split())))
+                        all_text.append(decoded)
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
             if wide:
