@@ -11,8 +11,11 @@ from ragloom.llm import oracles
 from ragloom.llm.bpe import bpe
 from ragloom.llm.decontaminate import contained_items
 from ragloom.llm.lm import lm_scores
+from ragloom.llm.neardup import near_duplicates
 from ragloom.llm.quality import quality
 from ragloom.llm.sharding import assign_shards
+from ragloom.llm.substrings import deduplicate_words
+from ragloom.llm.suffixes import deduplicate_bytes
 from ragloom.llm.toxicity import toxicity
 
 
@@ -20,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), n=4)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,8 +58,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_words(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_decontamination, op5_lm_scoring, op6_quality_rules, op8_bpe, op9_sharding)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_toxicity, op4_decontamination, op5_lm_scoring, op6_quality_rules, op7_near_duplicates, op8_bpe, op9_sharding, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
