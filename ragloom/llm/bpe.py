@@ -345,11 +345,11 @@ def frequent_words(df: DataFrame, spec: str, text: str = "text", size: int = LEX
     return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
 
 
-def bpe(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text", lexicon_size: int = LEXICON_SIZE, keep_text: bool = False) -> DataFrame:
+def bpe(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text", lexicon_size: int = LEXICON_SIZE, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """Encode whole texts and decode the ids again.
 
     Returns key, n_tokens, ids_sha256, decoded_sha256 per row, in any order, and
-    with ``keep_text`` also ids (array) and decoded.  Null and empty texts give
+    with ``keep_ids`` also ids (array), with ``keep_text`` also decoded.  Null and empty texts give
     0 tokens; repeated rows stay; other columns are not carried.  The tokenizer
     file is read here and travels by broadcast, as executors may not have it.
     """
@@ -359,7 +359,6 @@ def bpe(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "t
     words = frequent_words(df, spec, text, lexicon_size)
     shared = df.sparkSession.sparkContext.broadcast((spec, compile_lexicon({w.encode(): i for w, i in zip(words, v.merge_all(words), strict=True)})))
     kind = df.schema[key].dataType.simpleString()
-    wide = keep_text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, image = shared.value
@@ -372,15 +371,19 @@ def bpe(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "t
                     n.append(ids.count(" ") + 1 if ids else 0)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if wide:
-                        all_ids.append(list(map(int, ids.split())))
+                    if keep_ids:
+                        all_ids.append(np.fromstring(ids, dtype=np.int32, sep=" "))
+                    if keep_text:
                         all_text.append(decoded)
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if wide:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())]
-                names += ["ids", "decoded"]
+            if keep_ids:
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if keep_text:
+                columns.append(pa.array(all_text, pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * wide
+    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(encode, schema).withColumnRenamed("key", key)

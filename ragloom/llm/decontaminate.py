@@ -96,6 +96,15 @@ class ItemIndex:
         return np.array(rows_, np.int64), np.array(items, np.int64), np.array(shared, np.int64)
 
 
+def _index(items: DataFrame, item_key: str, text: str, contained: float, n: int) -> tuple[DataFrame, ItemIndex | None]:
+    """The items' shingle sets, and their index if it may be broadcast."""
+    sets = shingle_sets(items, item_key, text, n).where(F.size("shingles") > 0).dropDuplicates(["key"])
+    total = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    if total > BROADCAST_SHINGLES:
+        return sets, None
+    return sets, ItemIndex([(r.key, r.shingles) for r in sets.collect()], contained)
+
+
 def contained_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", contained: float = CONTAINED, n: int = WORDS) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of every item found in a document.
 
@@ -106,11 +115,9 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
     items' shingles fit BROADCAST_SHINGLES the index is broadcast and documents
     are scanned in place; beyond that, both sides meet by shingle hash.
     """
-    sets = shingle_sets(items, item_key, text, n).where(F.size("shingles") > 0).dropDuplicates(["key"])
-    total = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
-    if total > BROADCAST_SHINGLES:
+    sets, index = _index(items, item_key, text, contained, n)
+    if index is None:
         return _by_join(docs, sets, doc_key, text, contained, n)
-    index = ItemIndex([(r.key, r.shingles) for r in sets.collect()], contained)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())])
 
@@ -141,8 +148,21 @@ def _by_join(docs: DataFrame, sets: DataFrame, doc_key: str, text: str, containe
     return both.where(F.col("n_shared") >= contained * F.col("n_item") - 1e-9).select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    key = options.get("doc_key", "doc_id")
-    leaks = contained_items(docs, items, **options).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(leaks, key, "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", contained: float = CONTAINED, n: int = WORDS) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns; documents are filtered where they are read."""
+    sets, index = _index(items, item_key, text, contained, n)
+    if index is None:
+        leaks = _by_join(docs, sets, doc_key, text, contained, n).select(F.col("doc_id").alias(doc_key)).distinct()
+        return docs.join(leaks, doc_key, "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for b in batches:
+            keep = np.ones(b.num_rows, dtype=bool)
+            for c in chunks(b.column(at)):
+                keep[index.search(shingles(words(c, lower=True), n), c.rows)[0] + c.first] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)

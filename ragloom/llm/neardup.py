@@ -257,5 +257,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, the one with the smallest key, with all columns of df."""
-    gone = near_duplicates(df, key, text, n, percent).where("not kept").select(key).distinct()
+    gone = stash(near_duplicates(df, key, text, n, percent).where("not kept").select(key).distinct(), "near-duplicates")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     return df.join(gone, key, "left_anti")

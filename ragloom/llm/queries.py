@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ragloom.llm import oracles
 from ragloom.llm.bpe import bpe
 from ragloom.llm.decontaminate import contained_items
+from ragloom.llm.html import extract
 from ragloom.llm.lm import lm_scores
 from ragloom.llm.neardup import near_duplicates
 from ragloom.llm.quality import quality
@@ -27,6 +28,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -63,7 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_toxicity, op4_decontamination, op5_lm_scoring, op6_quality_rules, op7_near_duplicates, op8_bpe, op9_sharding, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_toxicity, op4_decontamination, op5_lm_scoring, op6_quality_rules, op7_near_duplicates, op8_bpe, op9_sharding, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

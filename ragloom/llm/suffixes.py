@@ -12,7 +12,7 @@ become 64, and two buckets of 64 that overlap make 100.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -83,23 +83,24 @@ def byte_classes(data: np.ndarray, length: np.ndarray) -> np.ndarray:
 BYTES = Kind(LENGTH, GRAM, byte_symbols, lambda t: (t.data, t.offsets), byte_classes, 1, False)
 
 
-def deduplicate_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and kept_sha256 of every row, and with keep_text the kept text.
+def deduplicate_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans and kept_sha256 of every row, with keep_text also kept_text, and the columns to carry.
 
     Keys are whole numbers and order the documents; rows that repeat a key and
     text are one document, each with its row.  Null and empty texts give zeros
     and the hash of nothing; rows with a null key are not judged.  A cut inside
     a character leaves a broken one, which kept text drops and the hash keeps.
-    Only key and text are read.
+    Only key, text and the columns to carry are read; these must not have the
+    names of the result.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     found = repeated_ranges(rows, BYTES, "suffixes")
-    wide = keep_text
-    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * wide
+    wide, extra = keep_text, len(carry)
+    names = ["key", *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * wide
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            want = b.column(2)
+            want = b.column(2 + extra)
             at = want.offsets.to_numpy().astype(np.int64)
             at, items = at - at[0], want.flatten()
             row = np.repeat(np.arange(b.num_rows), np.diff(at))
@@ -119,8 +120,10 @@ def deduplicate_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", ke
                     if wide:
                         kept.append(own.decode(errors="ignore"))
             n_bytes = np.concatenate([np.diff(c.offsets) for c in chunks(b.column(1))]) if b.num_rows else np.zeros(0, np.int64)
-            columns = [b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(np.diff(span_at), pa.int64()), pa.array(sha, pa.string())]
+            columns = [b.column(0), *b.columns[2 : 2 + extra], pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(np.diff(span_at), pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * wide, names=names)
 
-    ddl = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * wide
+    kinds = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    ddl = f"key long{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * wide
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *carry)
     return with_texts(rows, found, "left").mapInArrow(cut, ddl).withColumnRenamed("key", key)

@@ -126,7 +126,7 @@ def test_bpe_equals_library(odd, docs, nothing, library):
 
 
 def test_bpe_keeps_ids_and_text(odd, library):
-    for r in bpe(odd, PATH, keep_text=True).collect():
+    for r in bpe(odd, PATH, keep_ids=True, keep_text=True).collect():
         assert library.decode(r.ids, skip_special_tokens=False) == r.decoded and r.n_tokens == len(r.ids)
 
 
