@@ -23,6 +23,10 @@ from ragloom.session import stash
 
 #: Different units of an anchor up to which one task compares them; others are compared by a shuffle of single windows.
 CAP = 512
+#: Units that a task gathers before it settles repeats among them.
+SETTLE_UNITS = 400_000
+#: Bytes of text whose open units are copied at a time.
+FETCH_BYTES = 1 << 18
 #: Rows of (document, ranges) up to which they may be broadcast to the scan of the texts.
 BROADCAST_BYTES = 24 << 20
 
@@ -122,38 +126,46 @@ UNIT_DDL = "anchor long, salt int, unit long, key long, lo long, hi long, hot bo
 def scan_units(rows: DataFrame, kind: Kind) -> DataFrame:
     """Units of a (key, text) frame.
 
-    Repeats inside one Arrow batch are settled at once: they come back as plain
+    Repeats among the units a task holds at a time are settled at once: they come back as plain
     ranges (anchor null, spread by salt), so an anchor of every document sends a
-    few rows per batch and not one per document.  An anchor with more than CAP
-    different units in a batch is marked hot, and what exceeds CAP gets a salt.
+    few rows per settling and not one per document.  An anchor with more than CAP
+    different units among them is marked hot, and what exceeds CAP gets a salt.
     """
 
+    def settle(anchor: np.ndarray, unit: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((lo, key, unit, anchor))
+        anchor, unit, key, lo, hi = anchor[order], unit[order], key[order], lo[order], hi[order]
+        cuts = np.concatenate([[0], np.flatnonzero((unit[1:] != unit[:-1]) | (anchor[1:] != anchor[:-1])) + 1, [len(unit)]])
+        head = np.repeat(cuts[:-1], np.diff(cuts))
+        late = key != key[head] if kind.by_document else (key != key[head]) | (lo != lo[head])
+        # The place of each unit among its anchor's.
+        nth = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        by_anchor = group_cuts(anchor)
+        place = nth - np.repeat(nth[by_anchor[:-1]], np.diff(by_anchor))
+        most = np.repeat(np.maximum.reduceat(place, by_anchor[:-1]), np.diff(by_anchor))
+        live = ~late
+        yield batch(UNITS, anchor[live], (place[live] // CAP).astype(np.int32), unit[live], key[live], lo[live], hi[live], most[live] >= CAP)
+        k, a, z = merged(key[late], lo[late], hi[late] + kind.window)
+        yield batch(UNITS, pa.nulls(len(k), pa.int64()), (k & 0xFFFFFF).astype(np.int32), np.zeros(len(k), np.int64), k, a, z, np.zeros(len(k), bool))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
             known = ~np.asarray(b.column(0).is_null())
-            parts = []
             for c in chunks(b.column(1)):
                 u = units(kind.symbols(c), kind)
-                parts.append(u._replace(row=u.row + c.first))
-            anchor, unit, row, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
-            ok = known[row] if len(row) else np.zeros(0, bool)
-            anchor, unit, row, lo, hi = anchor[ok], unit[ok], row[ok], lo[ok], hi[ok]
-            key = keys[row].astype(np.int64) if len(row) else row
-            order = np.lexsort((lo, key, unit, anchor))
-            anchor, unit, key, lo, hi = anchor[order], unit[order], key[order], lo[order], hi[order]
-            cuts = group_cuts(unit) if not len(unit) else np.concatenate([[0], np.flatnonzero((unit[1:] != unit[:-1]) | (anchor[1:] != anchor[:-1])) + 1, [len(unit)]])
-            head = np.repeat(cuts[:-1], np.diff(cuts))
-            late = key != key[head] if kind.by_document else (key != key[head]) | (lo != lo[head])
-            # The place of each unit among its anchor's.
-            nth = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-            by_anchor = group_cuts(anchor)
-            place = nth - np.repeat(nth[by_anchor[:-1]], np.diff(by_anchor)) if len(anchor) else nth
-            most = np.repeat(np.maximum.reduceat(place, by_anchor[:-1]), np.diff(by_anchor)) if len(anchor) else nth
-            live = ~late
-            yield batch(UNITS, anchor[live], (place[live] // CAP).astype(np.int32), unit[live], key[live], lo[live], hi[live], most[live] >= CAP)
-            k, a, z = merged(key[late], lo[late], hi[late] + kind.window)
-            yield batch(UNITS, pa.nulls(len(k), pa.int64()), (k & 0xFFFFFF).astype(np.int32), np.zeros(len(k), np.int64), k, a, z, np.zeros(len(k), bool))
+                row = u.row + c.first
+                ok = known[row]
+                if ok.any():
+                    parts.append((u.anchor[ok], u.unit[ok], keys[row[ok]].astype(np.int64), u.lo[ok], u.hi[ok]))
+                    size += len(parts[-1][0])
+                if size >= SETTLE_UNITS:
+                    yield from settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    parts, size = [], 0
+        if parts:
+            yield from settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return rows.mapInArrow(scan, UNIT_DDL)
 
@@ -205,7 +217,7 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
             at, items = want.offsets.to_numpy().astype(np.int64), want.flatten()
             at = at - at[0]
             lo, hi, anchor, hot = (items.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for c in chunks(b.column(1)):
+            for c in chunks(b.column(1), FETCH_BYTES):
                 data, offsets = kind.payload(c)
                 own = np.repeat(np.arange(c.rows), np.diff(at[c.first : c.first + c.rows + 1]))
                 part = slice(at[c.first], at[c.first + c.rows])
