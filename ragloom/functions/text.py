@@ -62,8 +62,8 @@ def is_corpus_row(c: Column, categories: list[str]) -> Column:
 def has_term(text: Column, term: Column, plural: bool = False) -> Column:
     """The term stands between word boundaries, letters of either case; with plural, an s may follow."""
     end = "s?[^A-Za-z0-9_]" if plural else "[^A-Za-z0-9_]"
-    pattern = F.concat(F.lit("[^A-Za-z0-9_]"), F.regexp_replace(F.lower(term), r"([.*+?^$(){}|\[\]\\])", r"\\$1"), F.lit(end))
-    return F.concat(F.lit(" "), F.lower(text), F.lit(" ")).rlike(pattern)
+    quoted = F.regexp_replace(F.lower(term), r"([.*+?^$(){}|\[\]\\])", r"\\$1")
+    return F.regexp_like(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), F.concat(F.lit("[^A-Za-z0-9_]"), quoted, F.lit(end)))
 
 
 def word_jaccard(a: Column, b: Column) -> Column:
