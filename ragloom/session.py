@@ -39,6 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lower Arrow's rows per batch, from Spark's default of 10,000, for operators that hand whole texts to Python.
+
+    A setting of the session, as Spark reads it when a lazy result runs.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
