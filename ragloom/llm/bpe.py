@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm.arrays import batch, chunks
+from ragloom.session import text_batches
 
 LEXICON_SIZE = 1 << 16
 #: Words whose results a task keeps; the memory is emptied when it is full.
@@ -353,6 +354,7 @@ def bpe(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "t
     0 tokens; repeated rows stay; other columns are not carried.  The tokenizer
     file is read here and travels by broadcast, as executors may not have it.
     """
+    text_batches(df.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as f:
         spec = f.read()
     v = Vocabulary(spec)

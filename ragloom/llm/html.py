@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm.arrays import batch
+from ragloom.session import text_batches
 
 #: Fixed values of HTML: elements without content, with raw text, and inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -328,6 +329,7 @@ def extract(pages: DataFrame, model: Model | None = None, key: str = "page_id",
     Without a model, one is trained on the pages themselves, as far as they
     label themselves.  Repeated rows stay; other columns are not carried.
     """
+    text_batches(pages.sparkSession)
     model = model or train(pages, column)
     shared = pages.sparkSession.sparkContext.broadcast(model)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm.arrays import U, Texts, batch, chunks, lists, mix, per_row, words
-from ragloom.session import stash
+from ragloom.session import stash, text_batches
 
 ORDER = 5
 #: log2 of the number of nodes kept for each context length.
@@ -297,6 +297,7 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     (one token); a null key is in training; repeated rows stay.  With nothing
     to learn from all counts are 0.  Only key and text are read.
     """
+    text_batches(df.sparkSession)
     spark = df.sparkSession
     sc = spark.sparkContext
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.arrays import U, Shingles, batch, chunks, distinct, group_cuts, lists, mix, per_row, ranges, shingles, signed, whole_groups, words
 from ragloom.llm.components import components
-from ragloom.session import stash
+from ragloom.session import stash, text_batches
 
 MINIMA = 64
 TREES = 16
@@ -85,6 +85,8 @@ def region_pieces(signatures: np.ndarray, tree: int) -> np.ndarray:
     # What is still apart is compared at the region's depth: the smaller pieces against all others.
     for piece in sorted(np.unique(label), key=lambda p: (label == p).sum())[:-1]:
         own = np.flatnonzero(label == piece)
+        if not len(own):
+            continue
         rest = np.flatnonzero(label != piece)
         step = max(1, (1 << 23) // (len(own) * MINIMA))
         for lo in range(0, len(rest), step):
@@ -161,6 +163,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     rows with a null key are kept and linked with nothing.  Only key and text
     are read.
     """
+    text_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sketch_schema = pa.schema([("key", pa.int64()), ("size", pa.int64()), ("p", pa.int64()), ("q", pa.int64()), ("minima", pa.binary())])
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.llm.arrays import U, Texts, batch, chunks, flat, group_cuts, mix, ranges, signed, whole_groups
-from ragloom.session import stash
+from ragloom.session import stash, text_batches
 
 #: Different units of an anchor up to which one task compares them; others are compared by a shuffle of single windows.
 CAP = 512
@@ -289,6 +289,7 @@ def window_ids(data: np.ndarray, length: np.ndarray, kind: Kind) -> tuple[np.nda
 
 def repeated_ranges(rows: DataFrame, kind: Kind, name: str) -> DataFrame:
     """(key, lo, hi) ranges of symbols covered by repeated windows, over a (key, text) frame; written to the shared folder."""
+    text_batches(rows.sparkSession)
     dealt = scan_units(rows, kind).repartition(F.coalesce("anchor", F.xxhash64("key")), "salt")
     found = stash(judged(dealt, kind), f"{name}-units")
     compared = stash(compare_windows(rows, found.where("state = 2"), kind), f"{name}-windows")

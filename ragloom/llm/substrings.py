@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.arrays import U, Texts, chunks, mix, words
 from ragloom.llm.repeats import Kind, Symbols, compare_windows, judged, merged, scan_units, window_ids, with_texts
-from ragloom.session import stash
+from ragloom.session import stash, text_batches
 
 WINDOW = 13
 GRAM = 5
@@ -131,6 +131,7 @@ def deduplicate_words(df: DataFrame, key: str = "doc_id", text: str = "text", ba
     key are one document and each give a row; rows with a null key are not
     judged.  Only key and text are read.
     """
+    text_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     cuts = rows.approxQuantile("key", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     index = FingerprintIndex(df.sparkSession, buckets)

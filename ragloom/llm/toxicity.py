@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm.arrays import U, Shingles, Texts, batch, chunks, distinct, lists, per_row, words
-from ragloom.session import stash
+from ragloom.session import stash, text_batches
 
 BITS = 20
 #: Labelled rows to learn from at most, those with the smallest hash of their key.
@@ -151,4 +151,5 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Train on the labelled rows and score every row of docs."""
+    text_batches(docs.sparkSession)
     return score(docs, train(docs, labels, **options), options.get("key", "doc_id"), options.get("text", "text"))
