@@ -50,8 +50,11 @@ def dup(t: Tables) -> DataFrame:
     e = emb(t)
     n = e.select((F.col("id") - 1).alias("id"), F.col("v").alias("w"))
     pair = e.where("id % 2 = 0").join(n, "id")
-    mixed = [pair.select((F.col("id") + k * 1000000).alias("id"), F.zip_with("v", "w", lambda x, y, a=a, b=b: a * x + b * y).alias("v"), "label") for k, a, b in ((1, 0.95, 0.31), (2, 0.8, 0.6))]
-    return e.union(mixed[0]).union(mixed[1])
+
+    def mixed(k: int, a: float, b: float) -> DataFrame:
+        return pair.select((F.col("id") + k * 1000000).alias("id"), F.zip_with("v", "w", lambda x, y: a * x + b * y).alias("v"), "label")
+
+    return e.union(mixed(1, 0.95, 0.31)).union(mixed(2, 0.8, 0.6))
 
 
 DUP = f"""{EMB}, pair AS (SELECT a.id, a.v, b.v AS w, a.label FROM emb a JOIN emb b ON b.id = a.id + 1 WHERE a.id % 2 = 0),
