@@ -123,7 +123,7 @@ class FingerprintIndex:
         self.runs = []
 
 
-def deduplicate_words(df: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 3, buckets: int = BUCKETS) -> DataFrame:
+def deduplicate_words(df: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 2, buckets: int = BUCKETS) -> DataFrame:
     """key, n_words, n_removed and kept_sha256 of every row, the table taken in ``batches`` by key.
 
     A word goes if a window of WINDOW words over it also starts in a document
