@@ -130,9 +130,9 @@ def pc_fps(t):
     return P.farthest_points(points(t), 10)
 
 
-@query("pc_knn", f"{KNN} SELECT cloud_id, q, s, round(d2, 6) AS d2, rank FROM k WHERE rank <= 5")
+@query("pc_knn", f"{KNN} SELECT cloud_id, q, s, d2, rank FROM k WHERE rank <= 5")
 def pc_knn(t):
-    return P.neighbours(points(t), points(t), 5).select("cloud_id", "q", "s", *r6("d2"), "rank")
+    return P.neighbours(points(t), points(t), 5).select("cloud_id", "q", "s", "d2", "rank")
 
 
 @query("pc_knn_farthest", f"{KNN.replace(f'ORDER BY {D2}', f'ORDER BY {D2} DESC')} SELECT cloud_id, q, s, rank FROM k WHERE rank <= 2")
@@ -600,7 +600,7 @@ def stream_ingest(t):
     from ragloom.session import shared_dir
 
     base = f"{shared_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
-    stream = t.spark.readStream.schema(t.documents.schema).parquet(f"{t.folder}/documents.parquet")
+    stream = t.stream("documents")
     T.ingest(stream, base, f"{base}-checkpoint").awaitTermination()
     return t.spark.read.parquet(base).select("text_key")
 
@@ -608,13 +608,13 @@ def stream_ingest(t):
 @query("stream_meter", "SELECT date_trunc('day', ts)::VARCHAR AS day, event_type AS meter, round(sum(value * (1 + user_id % 7)) / sum(1 + user_id % 7), 6) AS mean, sum(1 + user_id % 7)::BIGINT AS n FROM events GROUP BY ALL")
 def stream_meter(t):
     """Drained in update mode, so that windows the watermark has not passed come out too."""
-    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet").withColumn("weight", 1 + F.col("user_id") % 7)
+    stream = t.stream("events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("weight", 1 + F.col("user_id") % 7)
     rows = T.drain(T.meter(stream), "update")
     return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "meter", *r6("mean"), "n")
 
 
 @query("stream_counts", f"WITH {PRED} SELECT event_type AS meter, count(*) AS n FROM events GROUP BY event_type")
 def stream_counts(t):
-    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet")
+    stream = t.stream("events")
     return T.drain(stream.groupBy(F.col("event_type").alias("meter")).agg(F.count(F.lit(1)).alias("n")), "complete")
 

@@ -19,6 +19,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """The table's files as a stream.  The pattern lets a single file stand for a folder."""
+        return self.spark.readStream.schema(getattr(self, name).schema).parquet(f"{self.folder}/{name}.parque[t]")
+
 
 def query(name: str, sql: str | None = None):
     """Register a function of Tables under a name."""

@@ -64,31 +64,31 @@ def consistency_mse(t):
     return _next(t).select("id", F.round(gap / F.size("v"), 6).alias("mse"))
 
 
-@query("sim_matrix", f"WITH {RETR} SELECT q, d, round(sim, 6) AS sim FROM sim")
+@query("sim_matrix", f"WITH {RETR} SELECT q, d, sim FROM sim")
 def sim_matrix(t):
     q, d = queries_and_items(t)
-    return O.block_products(q, d, "q", "qv", "d", "dv").select("q", "d", r6("sim"))
+    return O.block_products(q, d, "q", "qv", "d", "dv").select("q", "d", "sim")
 
 
-TOP5 = f"WITH {RETR} SELECT q, d, round(sim, 6) AS sim, rank FROM ranked WHERE rank <= 5"
+TOP5 = f"WITH {RETR} SELECT q, d, sim, rank FROM ranked WHERE rank <= 5"
 
 
 @query("knn_topk", TOP5)
 def knn_topk(t):
-    return O.top_k(*queries_and_items(t), 5).select("q", "d", r6("sim"), "rank")
+    return O.top_k(*queries_and_items(t), 5).select("q", "d", "sim", "rank")
 
 
 @query("knn_blocked", TOP5)
 def knn_blocked(t):
     """All pairs from blocks, then one ranking: must equal knn_topk."""
     q, d = queries_and_items(t)
-    return K.ranked(O.block_products(q, d, "q", "qv", "d", "dv")).where("rank <= 5").select("q", "d", r6("sim"), "rank")
+    return K.ranked(O.block_products(q, d, "q", "qv", "d", "dv")).where("rank <= 5").select("q", "d", "sim", "rank")
 
 
-@query("knn_self", f"WITH {EMB}, s AS (SELECT a.id AS q, b.id AS d, round(list_dot_product(a.v, b.v), 9) AS sim FROM emb a JOIN emb b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, d) AS rank FROM s) SELECT q, d, round(sim, 6) AS sim, rank FROM r WHERE rank <= 3")
+@query("knn_self", f"WITH {EMB}, s AS (SELECT a.id AS q, b.id AS d, round(list_dot_product(a.v, b.v), 9) AS sim FROM emb a JOIN emb b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, d) AS rank FROM s) SELECT q, d, sim, rank FROM r WHERE rank <= 3")
 def knn_self(t):
     e = emb(t)
-    return O.top_k(e, e, 3, "id", "v", "id", "v", exclude_self=True).select("q", "d", r6("sim"), "rank")
+    return O.top_k(e, e, 3, "id", "v", "id", "v", exclude_self=True).select("q", "d", "sim", "rank")
 
 
 @query("retrieve_docs", f"WITH {KB}, r AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY jaccard DESC, d) AS n FROM jac) SELECT q, string_agg(d::VARCHAR, ',' ORDER BY n) FILTER (q % 4 <> 0) AS docs FROM r WHERE n <= 5 GROUP BY q")
@@ -202,9 +202,9 @@ def class_retrieval(t):
     return out
 
 
-@query("sim_pairs", f"WITH {DUP}, u AS (SELECT id, {unit('v')} AS v FROM dup) SELECT a.id AS i, b.id AS j, round(list_dot_product(a.v, b.v), 6) AS sim FROM u a JOIN u b ON a.id < b.id WHERE round(list_dot_product(a.v, b.v), 9) > 0.85")
+@query("sim_pairs", f"WITH {DUP}, u AS (SELECT id, {unit('v')} AS v FROM dup) SELECT a.id AS i, b.id AS j, round(list_dot_product(a.v, b.v), 9) AS sim FROM u a JOIN u b ON a.id < b.id WHERE round(list_dot_product(a.v, b.v), 9) > 0.85")
 def sim_pairs(t):
-    return O.similar_pairs(dup(t), 0.85).select("i", "j", r6("sim"))
+    return O.similar_pairs(dup(t), 0.85).select("i", "j", "sim")
 
 
 def _confident(t):
