@@ -27,8 +27,6 @@ CAP = 512
 SETTLE_UNITS = 400_000
 #: Bytes of text whose open units are copied at a time.
 FETCH_BYTES = 1 << 18
-#: Rows of (document, ranges) up to which they may be broadcast to the scan of the texts.
-BROADCAST_BYTES = 24 << 20
 
 _MUL = mix(np.arange(11, 75, dtype=U)) | U(1)
 
@@ -188,10 +186,8 @@ def _by_document(ranges_: DataFrame, *extra: str) -> DataFrame:
 
 
 def with_texts(rows: DataFrame, ranges_: DataFrame, how: str, *extra: str) -> DataFrame:
-    """(key, text, ranges) by joining texts with ranges; ranges are broadcast only if they are few."""
-    size = ranges_.count() * (16 + 9 * len(extra))
-    side = _by_document(ranges_, *extra)
-    return rows.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "key", how)
+    """(key, text, ranges) by joining texts with ranges; a shuffle of both at every size."""
+    return rows.join(_by_document(ranges_, *extra), "key", how)
 
 
 def _windows(payload: np.ndarray, length: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
@@ -230,6 +226,8 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
                 yield batch(schema, anchor[part], hot[part], keys[c.first + own], lo[part], symbols)
 
     fetched = with_texts(rows, open_units.select("key", "lo", "hi", "anchor", "hot"), "inner", "anchor", "hot").mapInArrow(fetch, "anchor long, hot boolean, key long, lo long, symbols binary")
+    # Written once, as both ways below read it.
+    fetched = stash(fetched, "open-units")
     hot_keys = open_units.where("hot").limit(1).count() > 0
 
     def settle(key: np.ndarray, lo: np.ndarray, symbols: pa.Array) -> pa.RecordBatch:
