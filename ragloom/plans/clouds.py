@@ -605,12 +605,12 @@ def stream_ingest(t):
     return t.spark.read.parquet(base).select("text_key")
 
 
-@query("stream_meter", "SELECT date_trunc('day', ts)::VARCHAR AS day, event_type AS meter, round(sum(value * (1 + user_id % 7)) / sum(1 + user_id % 7), 6) AS mean, sum(1 + user_id % 7)::BIGINT AS n FROM events GROUP BY ALL")
+@query("stream_meter", "SELECT date_trunc('day', ts)::VARCHAR AS day, event_type AS meter, round(sum(value * (1 + user_id % 7)) / sum(1 + user_id % 7), 9) AS mean, sum(1 + user_id % 7)::BIGINT AS n FROM events GROUP BY ALL")
 def stream_meter(t):
     """Drained in update mode, so that windows the watermark has not passed come out too."""
     stream = t.stream("events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("weight", 1 + F.col("user_id") % 7)
     rows = T.drain(T.meter(stream), "update")
-    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "meter", *r6("mean"), "n")
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "meter", F.round("mean", 9).alias("mean"), "n")
 
 
 @query("stream_counts", f"WITH {PRED} SELECT event_type AS meter, count(*) AS n FROM events GROUP BY event_type")
