@@ -82,3 +82,33 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
        grown_shard
 FROM c
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_SPLIT.format(_LOWER)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, root AS component_id, root = d.doc_id AS kept
+FROM documents d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+SUBSTRINGS = f"""
+WITH t AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, i AS pos, md5(array_to_string(w[i:i + 12], ' ')) AS win FROM t, unnest(range(1, greatest(len(w) - 11, 1))) AS u(i)),
+late AS (SELECT doc_id, pos FROM g QUALIFY doc_id > min(doc_id) OVER (PARTITION BY win)),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM late, range(0, 13) AS r(k)),
+tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM tok ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

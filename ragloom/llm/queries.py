@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": oracles.CONTAINMENT, "op6_quality_rules": oracles.QUALITY, "op9_sharding": oracles.SHARDING}
+    return {"op4_decontamination": oracles.CONTAINMENT, "op6_quality_rules": oracles.QUALITY, "op7_near_duplicates": oracles.NEAR_DUPLICATES, "op9_sharding": oracles.SHARDING, "op10_substring_dedup": oracles.SUBSTRINGS}
