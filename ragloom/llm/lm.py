@@ -35,7 +35,9 @@ _AT = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 GATES = 256 * 3
 STEPS = 33
 SMOOTH = 0.4
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: Codes that a task spreads over their nodes at a time.
+SPREAD = 50_000
 BLOCK = 1 << 14
 #: Words whose counts every task holds; rarer ones are joined.
 FREQUENT_WORDS = 1 << 18
@@ -99,10 +101,10 @@ def _counts(train: DataFrame, codes_of, name: str) -> DataFrame:
             for c in chunks(b.column(0), CHUNK):
                 held.append(counted(codes_of(c)))
                 size += len(held[-1][0])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     held = [counted(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))]
                     size = len(held[0][0])
-                    if size > 2_000_000:
+                    if size > 1_000_000:
                         yield batch(schema, held[0][0].view(np.int64), held[0][1])
                         held, size = [], 0
         if held:
@@ -177,9 +179,18 @@ def _node_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     size = int(_AT[-1])
     sparse = pa.schema([("block", pa.int32()), ("place", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64())])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            codes, n = b.column(0).to_numpy().view(U), b.column(1).to_numpy()
+            held.append((b.column(0).to_numpy().view(U), b.column(1).to_numpy()))
+            if sum(len(h[0]) for h in held) >= SPREAD:
+                yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                held = []
+        if held:
+            yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, n in some(batches):
             at, ones, zeros = [], [], []
             for bit in range(8):
                 nodes, _, y = _nodes(codes, bit)
@@ -193,24 +204,21 @@ def _node_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     # Codes that share a context lie together, so that a task folds their common nodes.
     near = counts.repartitionByRange(F.shiftrightunsigned("code", 16).bitwiseAND(F.lit(0xFFFFFF)))
-    nodes = near.mapInArrow(spread, "block int, place int, zeros long, ones long").groupBy("block", "place").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    nodes = near.mapInArrow(spread, "block int, place int, zeros long, ones long")
     dense = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
         for b in batches:
             own, place, z, o = (c.to_numpy() for c in b.columns)
-            most = np.maximum(np.maximum(z, o), 1)
-            scale = np.minimum(1.0, 65535.0 / most)
-            z, o = np.ceil(z * scale).astype(np.uint16), np.ceil(o * scale).astype(np.uint16)
-            order = np.argsort(own, kind="stable")
-            cuts = np.flatnonzero(np.diff(own[order])) + 1
-            for part in np.split(order, cuts):
-                if len(part):
-                    held = blocks.setdefault(int(own[part[0]]), np.zeros((2, BLOCK), np.uint16))
-                    held[0, place[part]], held[1, place[part]] = z[part], o[part]
+            for k in np.unique(own):
+                part = own == k
+                held = blocks.setdefault(int(k), np.zeros((2, BLOCK), np.int64))
+                np.add.at(held[0], place[part], z[part])
+                np.add.at(held[1], place[part], o[part])
         for k, v in blocks.items():
-            yield batch(dense, [k], [v.tobytes()])
+            scale = np.minimum(1.0, 65535.0 / np.maximum(v.max(axis=0), 1))
+            yield batch(dense, [k], [np.ceil(v * scale).astype(np.uint16).tobytes()])
 
     packed = nodes.repartition("block").mapInArrow(pack, "block int, counts binary").toArrow()
     out = np.zeros((2, -(-size // BLOCK) * BLOCK), np.uint16)

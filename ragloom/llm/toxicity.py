@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import U, Shingles, Texts, batch, chunks, distinct, lists, per_row, words
+from ragloom.llm.arrays import U, Shingles, Texts, batch, chunks, lists, per_row, words
 from ragloom.session import stash, text_batches
 
 BITS = 20
