@@ -100,4 +100,7 @@ def quality(df: DataFrame, text: str = "text", rules: Sequence[Rule] | None = No
     """
     measured = with_measures(df, text)
     ordered = order_rules(df, list(rules or default_rules()), text, sample_rows)
-    return measured.withColumn("kept", cascade(ordered).isNull()).drop("_text", "_words", "_lines")
+    # The row id, always true here, keeps the optimizer from copying the measures into a later filter on
+    # kept, where they would be computed anew for every use.
+    kept = cascade(ordered).isNull() & (F.monotonically_increasing_id() >= 0)
+    return measured.withColumn("kept", kept).drop("_text", "_words", "_lines")
