@@ -1,17 +1,23 @@
 """Language-model scores: a unigram base, and logistic context mixing over bytes.
 
-Context mixing predicts each bit of each byte from several hashed contexts (the
-last 0 to 5 bytes) and the byte's bits so far.  Every (context, bit prefix) node
-holds counts of zeros and ones; each context's prediction is stretched to the
-logistic domain, and a weight vector, gated by the bit prefix and by how long a
-context is known, mixes them.  An adaptive map then refines the mixed
-probability from what really followed such predictions.
+Context mixing predicts each bit of each byte from several contexts (the last 0
+to 5 bytes) and the byte's bits so far.  Every (context, bit prefix) node holds
+counts of zeros and ones; each context's prediction is stretched to the logistic
+domain, and a weight vector, gated by the bit prefix and by how long a context
+is known, mixes them.  An adaptive map then refines the mixed probability from
+what really followed such predictions.
 
 All of it is learned from all training texts: Spark counts their byte 6-grams,
 which is all that the node counts depend on; tasks learn the mixing weights
 online over the 6-grams, each prediction made without the occurrence that it
-predicts, and weights are averaged by gate.  The tables are of fixed size, so
-they may be broadcast; a text's cost is then a sum over its 6-grams.
+predicts, and weights are averaged by gate.
+
+Counts are exact and grow with the texts.  The 6-grams are dealt out by their
+last three context bytes, so that a task has every 6-gram of its longer contexts
+and reads their nodes off sorted sums; contexts of up to two bytes come from the
+byte 3-grams, of which there are 2**24 at most, and are broadcast.  Texts are
+cut into chunks; a chunk's distinct 6-grams go to the tasks that hold their
+contexts, and the costs come back to the chunk, whose texts sum them.
 """
 
 from __future__ import annotations
@@ -21,24 +27,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import U, Texts, batch, chunks, lists, mix, per_row, words
+from ragloom.llm.arrays import U, Texts, batch, chunks, group_cuts, lists, mix, per_row, whole_groups, words
 from ragloom.session import stash, text_batches
 
 ORDER = 5
-#: log2 of the number of nodes kept for each context length.
-TABLE_BITS = (8, 16, 20, 21, 22, 22)
-_AT = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
+#: Contexts up to this length are broadcast, longer ones are dealt out by their last LOW + 1 bytes.
+LOW = 2
 #: Bit prefixes times three states: order 5 known, order 3 known, neither.
 GATES = 256 * 3
 STEPS = 33
 SMOOTH = 0.4
 CHUNK = 2 << 20
-#: Codes that a task spreads over their nodes at a time.
-SPREAD = 50_000
-BLOCK = 1 << 14
+#: 6-grams whose node counts are held at a time, and that a range of contexts has on average.
+PIECE = 1 << 14
+RANGE = 100_000
+#: Bytes of text whose distinct 6-grams are asked for together.
+ASK = 8 << 20
 #: Words whose counts every task holds; rarer ones are joined.
 FREQUENT_WORDS = 1 << 18
 _CONTEXT = [U((1 << 8 * k) - 1) for k in range(ORDER + 1)]
@@ -115,40 +123,73 @@ def _counts(train: DataFrame, codes_of, name: str) -> DataFrame:
 
 
 class Mixer(NamedTuple):
-    zeros: np.ndarray
-    ones: np.ndarray
+    counts: DataFrame | None
+    ranges: int
+    low: list[tuple[np.ndarray, np.ndarray]]
     weights: np.ndarray
     refined: np.ndarray
 
 
-def _nodes(codes: np.ndarray, bit: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For one bit of each code's symbol: the node in each context's table, the bit prefix, the bit."""
+def _turned(codes: np.ndarray) -> np.ndarray:
+    """Codes with the nearest byte of the context highest and the symbol lowest: all of a context lie together."""
+    return (codes & _CONTEXT[ORDER]) << U(8) | codes >> U(40)
+
+
+def _unturned(turned: np.ndarray) -> np.ndarray:
+    return (turned & U(255)) << U(40) | turned >> U(8)
+
+
+def _range(turned: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of contexts that a turned code belongs to, as _range_column has it."""
+    return (((turned >> U(24)) * U(2654435761) >> U(16)) % U(ranges)).astype(np.int32)
+
+
+def _range_column(ranges: int) -> Column:
+    context = F.shiftrightunsigned("code", 16).bitwiseAND(F.lit(0xFFFFFF))
+    return (F.shiftrightunsigned(context * F.lit(2654435761), 16) % F.lit(ranges)).cast("int")
+
+
+def _keys(codes: np.ndarray, k: int) -> np.ndarray:
+    """The last k bytes of the context and the symbol."""
+    return ((codes >> U(8 * (ORDER - k))) & _CONTEXT[k]) << U(8) | codes >> U(40)
+
+
+def _table(codes: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (context, symbol) keys of one context length, and the sums of n before each and after the last."""
+    keys, n = counted(_keys(codes, k), n)
+    return keys, np.concatenate([[0], np.cumsum(n)])
+
+
+def _tables(m: Mixer, codes: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    return m.low + [_table(codes, n, k) for k in range(LOW + 1, ORDER + 1)]
+
+
+def _node_counts(tables: list[tuple[np.ndarray, np.ndarray]], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones (bits x contexts x codes) at each code's nodes: a node is a run of keys, halved by the next bit."""
+    zeros, ones = np.empty((8, ORDER + 1, len(codes))), np.empty((8, ORDER + 1, len(codes)))
     symbol = codes >> U(40)
-    prefix = (U(1) << U(bit)) | (symbol >> U(8 - bit))
-    out = []
-    for k, b in enumerate(TABLE_BITS):
-        if k < 2:
-            h = (((codes >> U(32)) & U(255)) << U(8) | prefix) if k else prefix
-        else:
-            context = (codes >> U(8 * (ORDER - k))) & _CONTEXT[k]
-            h = mix((context << U(8) | prefix) + U(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> U(64 - b)
-        out.append(h.view(np.int64) + int(_AT[k]))
-    return out, prefix.view(np.int64), ((symbol >> U(7 - bit)) & U(1)).astype(np.float64)
-
-
-def _inputs(m: Mixer, codes: np.ndarray, bit: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    for k, (keys, before) in enumerate(tables):
+        at = _keys(codes, k) & ~U(255)
+        lo, hi = before[np.searchsorted(keys, at)], before[np.searchsorted(keys, at + U(256))]
+        for bit in range(8):
+            half = U(128 >> bit)
+            mid = before[np.searchsorted(keys, at + half)]
+            zeros[bit, k], ones[bit, k] = mid - lo, hi - mid
+            y = (symbol & half) > 0
+            lo, hi, at = np.where(y, mid, lo), np.where(y, hi, mid), np.where(y, at + half, at)
+    return zeros, ones
+
+
+def _inputs(a: np.ndarray, b: np.ndarray, codes: np.ndarray, bit: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretched predictions (contexts x codes), gate and bit; ``own``: leave one occurrence of the bit out."""
-    nodes, prefix, y = _nodes(codes, bit)
-    x = np.empty((ORDER + 1, len(codes)))
-    seen = []
-    for k, at in enumerate(nodes):
-        a, b = m.zeros[at].astype(np.float64), m.ones[at].astype(np.float64)
-        if own:
-            a, b = np.maximum(a - (1 - y), 0), np.maximum(b - y, 0)
-        seen.append(a + b)
-        x[k] = np.log((b + SMOOTH) / (a + SMOOTH))
+    symbol = codes >> U(40)
+    prefix = ((U(1) << U(bit)) | (symbol >> U(8 - bit))).view(np.int64)
+    y = ((symbol >> U(7 - bit)) & U(1)).astype(np.float64)
+    if own:
+        a, b = np.maximum(a - (1 - y), 0), np.maximum(b - y, 0)
+    seen = a + b
     state = np.where(seen[5] > 0, 0, np.where(seen[3] > 0, 1, 2))
-    return x, state * 256 + prefix, y
+    return np.log((b + SMOOTH) / (a + SMOOTH)), state * 256 + prefix, y
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -163,85 +204,54 @@ def _step(stretched: np.ndarray) -> np.ndarray:
     return np.rint((np.clip(stretched, -8, 8) + 8) * (STEPS - 1) / 16).astype(np.int64)
 
 
-def code_bits(m: Mixer, codes: np.ndarray) -> np.ndarray:
-    """Cost in bits of each code's symbol after its context."""
+def _costs(m: Mixer, tables: list[tuple[np.ndarray, np.ndarray]], codes: np.ndarray) -> np.ndarray:
+    """Cost in bits of each code's symbol after its context, given the tables of its contexts."""
     total = np.zeros(len(codes))
-    for bit in range(8):
-        x, gate, y = _inputs(m, codes, bit, own=False)
-        s = _mixed(m, x, gate)
-        p = 0.5 * _squash(s) + 0.5 * m.refined[gate, _step(s)]
-        total -= np.log2(np.where(y > 0, p, 1 - p))
+    for lo in range(0, len(codes), PIECE):
+        part = codes[lo : lo + PIECE]
+        zeros, ones = _node_counts(tables, part)
+        for bit in range(8):
+            x, gate, y = _inputs(zeros[bit], ones[bit], part, bit, own=False)
+            s = _mixed(m, x, gate)
+            p = 0.5 * _squash(s) + 0.5 * m.refined[gate, _step(s)]
+            total[lo : lo + PIECE] -= np.log2(np.where(y > 0, p, 1 - p))
     return total
 
 
-def _node_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of zeros and ones in all nodes, summed by Spark and brought in blocks of fixed size."""
-    size = int(_AT[-1])
-    sparse = pa.schema([("block", pa.int32()), ("place", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64())])
+def code_bits(m: Mixer, codes: np.ndarray) -> np.ndarray:
+    """Cost in bits of a few codes, asked by the driver: the 6-grams of their ranges are brought here."""
+    wanted = np.unique(_range(_turned(codes), m.ranges)).tolist()
+    have = m.counts.where(_range_column(m.ranges).isin(wanted)).toArrow()
+    return _costs(m, _tables(m, have["code"].to_numpy().view(U), have["n"].to_numpy()), codes)
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
-            held.append((b.column(0).to_numpy().view(U), b.column(1).to_numpy()))
-            if sum(len(h[0]) for h in held) >= SPREAD:
-                yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                held = []
-        if held:
-            yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, n in some(batches):
-            at, ones, zeros = [], [], []
-            for bit in range(8):
-                nodes, _, y = _nodes(codes, bit)
-                for k in nodes:
-                    at.append(k)
-                    ones.append(n * y.astype(np.int64))
-                    zeros.append(n - ones[-1])
-            at, ones, zeros = np.concatenate(at), np.concatenate(ones), np.concatenate(zeros)
-            node, place = np.unique(at, return_inverse=True)
-            yield batch(sparse, (node // BLOCK).astype(np.int32), (node % BLOCK).astype(np.int32), np.bincount(place, zeros).astype(np.int64), np.bincount(place, ones).astype(np.int64))
-
-    # Codes that share a context lie together, so that a task folds their common nodes.
-    near = counts.repartitionByRange(F.shiftrightunsigned("code", 16).bitwiseAND(F.lit(0xFFFFFF)))
-    nodes = near.mapInArrow(spread, "block int, place int, zeros long, ones long")
-    dense = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for b in batches:
-            own, place, z, o = (c.to_numpy() for c in b.columns)
-            for k in np.unique(own):
-                part = own == k
-                held = blocks.setdefault(int(k), np.zeros((2, BLOCK), np.int64))
-                np.add.at(held[0], place[part], z[part])
-                np.add.at(held[1], place[part], o[part])
-        for k, v in blocks.items():
-            scale = np.minimum(1.0, 65535.0 / np.maximum(v.max(axis=0), 1))
-            yield batch(dense, [k], [np.ceil(v * scale).astype(np.uint16).tobytes()])
-
-    packed = nodes.repartition("block").mapInArrow(pack, "block int, counts binary").toArrow()
-    out = np.zeros((2, -(-size // BLOCK) * BLOCK), np.uint16)
-    for k, v in zip(packed["block"].to_pylist(), packed["counts"].to_pylist(), strict=True):
-        out[:, k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(v, np.uint16).reshape(2, BLOCK)
-    return out[0, :size].copy(), out[1, :size].copy()
-
-
-def _learn_weights(counts: DataFrame, start: Mixer, rate: float = 0.02) -> np.ndarray:
+
+def _dealt(m: Mixer) -> DataFrame:
+    """(range, code, n), with ranges whole in a task and one after the other."""
+    return m.counts.select(_range_column(m.ranges).alias("range"), "code", "n").repartition(m.ranges, "range").sortWithinPartitions("range", F.xxhash64("code"))
+
+
+def _broadcast(m: Mixer):
+    return m.counts.sparkSession.sparkContext.broadcast(m._replace(counts=None))
+
+
+def _learn_weights(start: Mixer, rate: float = 0.02) -> np.ndarray:
     """Gated weights: every task learns online over its 6-grams, then gates are averaged by how often they were used."""
-    shared = counts.sparkSession.sparkContext.broadcast(start)
+    shared = _broadcast(start)
     schema = pa.schema([("gate", pa.int32()), ("used", pa.float64()), ("w", pa.list_(pa.float64()))])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         m = m._replace(weights=m.weights.copy())
         used = np.zeros(GATES)
-        for b in batches:
-            all_codes, all_n = b.column(0).to_numpy().view(U), b.column(1).to_numpy().astype(np.float64)
+        for t in whole_groups(batches):
+            all_codes, all_n = t.column(1).to_numpy().view(U), t.column(2).to_numpy()
+            tables = _tables(m, all_codes, all_n)
+            # Codes of a range come in no order of context, so that a task's steps see all kinds.
             for lo in range(0, len(all_codes), 4096):
-                codes, n = all_codes[lo : lo + 4096], all_n[lo : lo + 4096]
+                codes, n = all_codes[lo : lo + 4096], all_n[lo : lo + 4096].astype(np.float64)
+                zeros, ones = _node_counts(tables, codes)
                 for bit in range(8):
-                    x, gate, y = _inputs(m, codes, bit, own=True)
+                    x, gate, y = _inputs(zeros[bit], ones[bit], codes, bit, own=True)
                     miss = (y - _squash(_mixed(m, x, gate))) * n
                     mass = np.bincount(gate, n, minlength=GATES)
                     for k in range(ORDER + 1):
@@ -252,36 +262,37 @@ def _learn_weights(counts: DataFrame, start: Mixer, rate: float = 0.02) -> np.nd
         yield batch(schema, hit.astype(np.int32), used[hit], lists(w.reshape(-1), np.arange(len(hit) + 1) * (ORDER + 1), pa.float64()))
 
     out = start.weights.copy()
-    # Rows come in no order of context, so that a task's steps see all kinds.
-    rows = counts.repartition(F.xxhash64("code")).mapInArrow(learn, "gate int, used double, w array<double>")
+    rows = _dealt(start).mapInArrow(learn, "gate int, used double, w array<double>")
     means = [(F.sum(F.col("used") * F.col("w")[k]) / F.sum("used")).alias(f"w{k}") for k in range(ORDER + 1)]
     for r in rows.groupBy("gate").agg(*means).collect():
         out[r.gate] = [r[f"w{k}"] for k in range(ORDER + 1)]
     return out
 
 
-def _learn_map(counts: DataFrame, m: Mixer) -> np.ndarray:
+def _learn_map(m: Mixer) -> np.ndarray:
     """What followed predictions of each gate and step, against a start at the identity."""
-    shared = counts.sparkSession.sparkContext.broadcast(m)
+    shared = _broadcast(m)
     schema = pa.schema([("cell", pa.int32()), ("ones", pa.float64()), ("n", pa.float64())])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        ones, total = np.zeros(GATES * STEPS), np.zeros(GATES * STEPS)
-        for b in batches:
-            all_codes, all_n = b.column(0).to_numpy().view(U), b.column(1).to_numpy().astype(np.float64)
-            for lo in range(0, len(all_codes), 1 << 16):
-                codes, n = all_codes[lo : lo + (1 << 16)], all_n[lo : lo + (1 << 16)]
+        hits, total = np.zeros(GATES * STEPS), np.zeros(GATES * STEPS)
+        for t in whole_groups(batches):
+            all_codes, all_n = t.column(1).to_numpy().view(U), t.column(2).to_numpy()
+            tables = _tables(m, all_codes, all_n)
+            for lo in range(0, len(all_codes), PIECE):
+                codes, n = all_codes[lo : lo + PIECE], all_n[lo : lo + PIECE].astype(np.float64)
+                zeros, ones = _node_counts(tables, codes)
                 for bit in range(8):
-                    x, gate, y = _inputs(m, codes, bit, own=True)
+                    x, gate, y = _inputs(zeros[bit], ones[bit], codes, bit, own=True)
                     cell = gate * STEPS + _step(_mixed(m, x, gate))
-                    ones += np.bincount(cell, n * y, minlength=len(ones))
-                    total += np.bincount(cell, n, minlength=len(ones))
+                    hits += np.bincount(cell, n * y, minlength=len(hits))
+                    total += np.bincount(cell, n, minlength=len(hits))
         hit = np.flatnonzero(total)
-        yield batch(schema, hit.astype(np.int32), ones[hit], total[hit])
+        yield batch(schema, hit.astype(np.int32), hits[hit], total[hit])
 
     ones, total = m.refined.reshape(-1) * 20, np.full(GATES * STEPS, 20.0)
-    for r in counts.mapInArrow(follow, "cell int, ones double, n double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect():
+    for r in _dealt(m).mapInArrow(follow, "cell int, ones double, n double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect():
         ones[r.cell] += r.ones
         total[r.cell] += r.n
     return np.clip(ones / total, 1e-5, 1 - 1e-5).reshape(GATES, STEPS)
@@ -289,12 +300,94 @@ def _learn_map(counts: DataFrame, m: Mixer) -> np.ndarray:
 
 def train_mixer(texts: DataFrame) -> Mixer:
     """Context mixing learned from all rows of a one-column frame of texts."""
+    spark = texts.sparkSession
     counts = _counts(texts, lambda c: grams(c)[0], "byte-grams")
-    zeros, ones = _node_counts(counts)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.count() // RANGE)
+    short = counts.groupBy(F.shiftrightunsigned("code", 8 * (ORDER - LOW)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    code, n = short["code"].to_numpy().view(U) << U(8 * (ORDER - LOW)), short["n"].to_numpy()
     identity = np.tile(_squash(np.arange(STEPS) * 16 / (STEPS - 1) - 8), (GATES, 1))
-    m = Mixer(zeros, ones, np.full((GATES, ORDER + 1), 0.3), identity)
-    m = m._replace(weights=_learn_weights(counts, m))
-    return m._replace(refined=_learn_map(counts, m))
+    m = Mixer(counts, ranges, [_table(code, n, k) for k in range(LOW + 1)], np.full((GATES, ORDER + 1), 0.3), identity)
+    m = m._replace(weights=_learn_weights(m))
+    return m._replace(refined=_learn_map(m))
+
+
+def _distinct(codes: list[np.ndarray], ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct turned codes, their ranges, and the order that puts ranges together."""
+    turned = np.unique(_turned(np.concatenate(codes))) if codes else np.zeros(0, U)
+    own = _range(turned, ranges)
+    return turned, own, np.argsort(own, kind="stable")
+
+
+def _asked(rows: DataFrame, ranges: int) -> DataFrame:
+    """(chunk, range, n, data): each chunk's texts (range -1), and its distinct 6-grams by range, sorted, as differences."""
+    schema = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
+
+    def chunk(held: list[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            for b in held:
+                w.write_batch(b)
+        yield batch(schema, [at], [-1], [len(held)], [sink.getvalue().to_pybytes()])
+        turned, own, order = _distinct([folded(grams(c)[0])[0] for b in held for c in chunks(b.column(1), CHUNK)], ranges)
+        turned, own = turned[order], own[order]
+        cuts, zstd = group_cuts(own), pa.Codec("zstd")
+        data = [zstd.compress(np.diff(turned[lo:hi], prepend=U(0)).tobytes(), asbytes=True) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield batch(schema, np.full(len(data), at), own[cuts[:-1]], np.diff(cuts), data)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            for c in chunks(b.column(1), CHUNK):
+                held.append(b.slice(c.first, c.rows))
+                size += len(c.data)
+                if size >= ASK:
+                    yield from chunk(held, at)
+                    at, held, size = at + 1, [], 0
+        if held:
+            yield from chunk(held, at)
+
+    return stash(rows.mapInArrow(ask, "chunk long, range int, n long, data binary"), "lm-asked")
+
+
+def _answered(m: Mixer, asked: DataFrame) -> DataFrame:
+    """(chunk, range, n, data): the costs of what was asked, in the same order."""
+    shared = _broadcast(m)
+    schema = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, zstd = shared.value, pa.Codec("zstd")
+        current, held, tables = None, [], None
+        for b in batches:
+            own, chunk, code, n = b.column(0).to_numpy(), b.column(1), b.column(2), b.column(3).to_numpy()
+            model = chunk.is_null().to_numpy(zero_copy_only=False)
+            cuts = group_cuts(own * 2 + ~model)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if own[lo] != current:
+                    current, held, tables = own[lo], [], None
+                if model[lo]:
+                    held.append((code.slice(lo, hi - lo).to_numpy().view(U), n[lo:hi]))
+                    continue
+                if tables is None:
+                    codes, times = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, kind) for k, kind in ((0, U), (1, np.int64)))
+                    order = np.argsort(_turned(codes))
+                    codes, times = codes[order], times[order]
+                    tables = _tables(m, codes, times)
+                    known, cost = _turned(codes), _costs(m, tables, codes)
+                    held = []
+                for i in range(lo, hi):
+                    turned = np.cumsum(np.frombuffer(zstd.decompress(b.column(4)[i].as_buffer(), decompressed_size=8 * int(n[i])), U), dtype=U)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, turned), len(known) - 1)
+                        out, new = cost[place], known[place] != turned
+                    else:
+                        out, new = np.zeros(len(turned)), np.ones(len(turned), dtype=bool)
+                    out[new] = _costs(m, tables, _unturned(turned[new]))
+                    yield batch(schema, [chunk[i].as_py()], [int(own[i])], [int(n[i])], [out.tobytes()])
+
+    asks = asked.where("range >= 0").select("range", "chunk", F.lit(None).cast("long").alias("code"), "n", "data")
+    model = m.counts.select(_range_column(m.ranges).alias("range"), F.lit(None).cast("long").alias("chunk"), "code", "n", F.lit(None).cast("binary").alias("data"))
+    both = model.union(asks).repartition(m.ranges, "range").sortWithinPartitions("range", F.col("chunk").asc_nulls_first())
+    return both.mapInArrow(answer, "chunk long, range int, n long, data binary")
 
 
 def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -317,18 +410,32 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     top = word_counts.orderBy(F.desc("n"), "code").limit(FREQUENT_WORDS).toArrow()
     top_code, top_n = top["code"].to_numpy().view(U), top["n"].to_numpy()
     order = np.argsort(top_code)
-    shared = sc.broadcast((train_mixer(train), top_code[order], np.log10(top_n[order] + 1.0)))
+    shared = sc.broadcast((top_code[order], np.log10(top_n[order] + 1.0)))
+    mixer = train_mixer(train)
+    ranges = mixer.ranges
     end_log = float(np.log10(n_train + 1.0))
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_words long, n_common long, common double, bits double, n_bytes long, rare array<long>, rare_n array<long>"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, code, log_n = shared.value
-        for b in batches:
-            for c in chunks(b.column(1), CHUNK):
-                gram, at = grams(c)
-                kinds, place = folded(gram)
-                bits = per_row(np.add, code_bits(m, kinds)[place], at, 0.0)
+        """Answers to a chunk come sorted by range, its texts after them."""
+        code, log_n = shared.value
+        answers: list[np.ndarray] = []
+        for own, data in ((b.column(1)[i].as_py(), b.column(3)[i]) for b in batches for i in range(b.num_rows)):
+            if own >= 0:
+                answers.append(np.frombuffer(data.as_buffer()))
+                continue
+            parts = []
+            for b in pa.ipc.open_stream(data.as_buffer()):
+                for c in chunks(b.column(1), CHUNK):
+                    gram, at = grams(c)
+                    parts.append((b, c, at, *folded(gram)))
+            turned, _, order = _distinct([p[3] for p in parts], ranges)
+            cost = np.empty(len(turned))
+            cost[order] = np.concatenate(answers) if answers else np.zeros(0)
+            answers = []
+            for b, c, at, kinds, place in parts:
+                bits = per_row(np.add, cost[np.searchsorted(turned, _turned(kinds))][place], at, 0.0)
                 w = words(c, lower=True)
                 kinds, place = folded(w.hash)
                 found = np.minimum(np.searchsorted(code, kinds), max(len(code) - 1, 0))
@@ -348,7 +455,9 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                     names=["key", "n_words", "n_common", "common", "bits", "n_bytes", "rare", "rare_n"],
                 )
 
-    measured = stash(rows.mapInArrow(measure, schema).withColumn("row", F.monotonically_increasing_id()), "lm-measures")
+    asked = _asked(rows, ranges)
+    meet = _answered(mixer, asked).union(asked.where("range < 0")).repartition("chunk").sortWithinPartitions("chunk", F.col("range") < 0, "range")
+    measured = stash(meet.mapInArrow(measure, schema).withColumn("row", F.monotonically_increasing_id()), "lm-measures")
     rare = measured.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("code"), F.col("r.rare_n").alias("times"))
     rare = rare.join(word_counts, "code").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("rare_log"))
     out = measured.drop("rare", "rare_n").join(rare, "row", "left")

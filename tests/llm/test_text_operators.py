@@ -206,3 +206,52 @@ def test_mixed_probabilities_sum_to_one(docs):
     context = int.from_bytes(b" the ", "little")
     codes = (np.arange(256, dtype=np.uint64) << np.uint64(40)) | np.uint64(context)
     assert abs((2.0 ** -code_bits(m, codes)).sum() - 1) < 1e-9
+
+
+def test_lm_costs_equal_exact_counts(docs):
+    """Node counts are those of the full (context, bit prefix), however many there are: none shares a slot with another."""
+    import numpy as np
+
+    from ragloom.llm.lm import SMOOTH, STEPS, code_bits, train_mixer
+
+    texts = docs.where("doc_id % 2 = 0").select("text")
+    m = train_mixer(texts)
+    nodes = Counter()
+    for (text,) in texts.collect():
+        raw = bytes(5) + text.encode() + b"\0"
+        for i in range(5, len(raw)):
+            for k in range(6):
+                for bit in range(8):
+                    nodes[raw[i - k : i], bit, raw[i] >> 7 - bit] += 1
+    asked = [raw[i - 5 : i + 1] for i in range(5, len(raw), 7)] + [bytes(x) for x in (b" the x", b"qzvkjq", b"\xff\xfe\xfd\xfc\xfb\xfa", b"zthe z")]
+    want = []
+    for g in asked:
+        cost = 0.0
+        for bit in range(8):
+            prefix, y = g[5] >> 8 - bit, g[5] >> 7 - bit & 1
+            n = [[nodes[g[5 - k : 5], bit, prefix << 1 | v] for v in (0, 1)] for k in range(6)]
+            gate = (0 if sum(n[5]) else 1 if sum(n[3]) else 2) * 256 + (1 << bit | prefix)
+            s = float(np.clip(sum(w * math.log((b + SMOOTH) / (a + SMOOTH)) for w, (a, b) in zip(m.weights[gate], n, strict=True)), -12, 12))
+            p = 0.5 / (1 + math.exp(-s)) + 0.5 * m.refined[gate, int(np.rint((min(max(s, -8), 8) + 8) * (STEPS - 1) / 16))]
+            cost -= math.log2(p if y else 1 - p)
+        want.append(cost)
+    got = code_bits(m, np.array([int.from_bytes(g, "little") for g in asked], dtype=np.uint64))
+    assert np.abs(got - want).max() < 1e-9
+
+
+def test_lm_scores_sum_the_costs_of_all_grams(docs, monkeypatch):
+    """Every text gets the costs of its own 6-grams back, over many small chunks and ranges, held-out ones included."""
+    import numpy as np
+
+    from ragloom.llm.lm import code_bits, held_out, lm_scores, train_mixer
+
+    monkeypatch.setattr("ragloom.llm.lm.ASK", 20_000)
+    monkeypatch.setattr("ragloom.llm.lm.CHUNK", 5_000)
+    m = train_mixer(docs.where(~held_out(docs.doc_id)).select("text"))
+    got = {r.doc_id: -r.score / math.log10(2) for r in lm_scores(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    for i, text in sorted(texts.items())[:12]:
+        raw = bytes(5) + text.encode() + b"\0"
+        codes = np.array([int.from_bytes(raw[k : k + 6], "little") for k in range(len(raw) - 5)], dtype=np.uint64)
+        assert abs(code_bits(m, codes).sum() - got[i]) < 1e-6 * got[i]
