@@ -445,6 +445,12 @@ def relaxed_transport(t):
     return S.relaxed_transport(_pairs(t)).select("shape", "caption", *r6("cost"))
 
 
+@query("set_scores_all")
+def set_scores_all(t):
+    """All shapes with all captions, in tiles; no SQL, as the products are too many for it."""
+    return S.all_pair_scores(*sets(t)).select("shape", "caption", *r6(*S.SCORES))
+
+
 # Segmentation metrics.
 
 NAMES = CLASSES + ["missing"]

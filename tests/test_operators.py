@@ -149,3 +149,28 @@ def test_rest_works_without_training_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "ragloom.llm" not in p.read_text()
+
+
+def test_set_scores_all_pairs(spark):
+    """Every shape meets every caption, as the column expressions over the full cross join have it, and as the batches of eight have theirs."""
+    from ragloom.operators import setmatch as S
+    from ragloom.plans import QUERIES
+    from ragloom.plans.fixtures import sets
+    from ragloom.plans.registry import Tables
+
+    folder = "/root/testdata/sf0.001"
+    parts, words = (d.where(d[k] < 12).cache() for d, k in zip(sets(Tables(spark, folder)), ("shape", "caption")))
+    got = {(r.shape, r.caption): r for r in S.all_pair_scores(parts, words, tile=5).collect()}
+    assert len(got) == 144
+    pairs = S.part_words(parts, words, 1 << 40).cache()
+    want = {
+        "t2i": S.set_scores(S.cross_attention(pairs, True)),
+        "i2t": S.set_scores(S.cross_attention(pairs, False)),
+        "transport": S.relaxed_transport(pairs).withColumnRenamed("cost", "score"),
+        **{k: pairs.groupBy("shape", "caption").agg(S.aggregate(k, pairs.x).alias("score")) for k in ("LogSumExp", "Max", "Sum", "Mean")},
+    }
+    for name, df in want.items():
+        rows = df.collect()
+        assert len(rows) == 144 and all(abs(got[r.shape, r.caption][name] - r.score) < 1e-9 for r in rows), name
+    shapes, captions = (d.select(k).distinct().count() for d, k in zip(sets(Tables(spark, folder)), ("shape", "caption")))
+    assert QUERIES["set_scores_all"](spark, folder).count() == shapes * captions
