@@ -71,16 +71,21 @@ def rank_summary(ranks: DataFrame) -> DataFrame:
     return ranks.agg(share(1).alias("r1"), share(5).alias("r5"), share(10).alias("r10"), F.floor(F.expr("percentile(rank, 0.5)")).alias("median_rank"), F.avg("rank").alias("mean_rank"))
 
 
+def shared_word_jaccard(q: DataFrame, d: DataFrame) -> DataFrame:
+    """(q, d, jaccard): word Jaccard of all pairs that share a word, by a join on words; it is 0 for every other pair."""
+    qw = q.select("q", F.explode(F.array_distinct(tokens(F.lower("qt")))).alias("w"))
+    dw = d.select("d", F.explode(F.array_distinct(tokens(F.lower("dt")))).alias("w"))
+    nq, nd = qw.groupBy("q").agg(F.count(F.lit(1)).alias("nq")), dw.groupBy("d").agg(F.count(F.lit(1)).alias("nd"))
+    common = qw.join(dw, "w").groupBy("q", "d").agg(F.count(F.lit(1)).alias("n")).join(nq, "q").join(nd, "d")
+    return common.select("q", "d", (F.col("n") / (F.col("nq") + F.col("nd") - F.col("n"))).alias("jaccard"))
+
+
 def nearest_texts(q: DataFrame, d: DataFrame, k: int) -> DataFrame:
     """(q, qt, d, dt, jaccard, rank): texts nearest to each query by word Jaccard.
 
     Shared words come from a join on words; texts without any fill up by id.
     """
-    qw = q.select("q", F.explode(F.array_distinct(tokens(F.lower("qt")))).alias("w"))
-    dw = d.select("d", F.explode(F.array_distinct(tokens(F.lower("dt")))).alias("w"))
-    nq, nd = qw.groupBy("q").agg(F.count(F.lit(1)).alias("nq")), dw.groupBy("d").agg(F.count(F.lit(1)).alias("nd"))
-    common = qw.join(dw, "w").groupBy("q", "d").agg(F.count(F.lit(1)).alias("n")).join(nq, "q").join(nd, "d")
-    near = common.select("q", "d", (F.col("n") / (F.col("nq") + F.col("nd") - F.col("n"))).alias("jaccard"))
+    near = shared_word_jaccard(q, d)
     filler = q.select("q").crossJoin(F.broadcast(d.select("d").orderBy("d").limit(k))).withColumn("jaccard", F.lit(0.0))
     both = near.union(filler.join(near, ["q", "d"], "left_anti"))
     top = both.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("jaccard"), "d")).cast("long")).where(F.col("rank") <= k)

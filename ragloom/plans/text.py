@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as X
+from ragloom.operators.ranking import shared_word_jaccard
 from ragloom.operators.vocabulary import decode, encode, vocabulary
 from ragloom.plans.fixtures import CAPTIONS, CORPUS, EDGES, RETR, captions, corpus, edges, queries_and_items
 from ragloom.plans.registry import Tables, query
@@ -288,6 +289,14 @@ def word_jaccard(t):
     return q.join(d, "k").select("q", "d", F.round(X.word_jaccard(F.col("qt"), F.col("dt")), 6).alias("jaccard"))
 
 
+@query("word_jaccard_all")
+def word_jaccard_all(t):
+    """All documents against all benchmark texts; pairs without a shared word, which are 0, make no row.  No SQL, as it would compare all pairs."""
+    q = t.benchmark.select(F.col("item_id").alias("q"), F.col("text").alias("qt"))
+    d = t.documents.select(F.col("doc_id").alias("d"), F.col("text").alias("dt"))
+    return shared_word_jaccard(q, d).select("q", "d", F.round("jaccard", 6).alias("jaccard"))
+
+
 @query(
     "ordered_distinct",
     f"""WITH tok AS (SELECT doc_id, unnest({words('text')}) AS word, generate_subscripts({words('text')}, 1) AS pos FROM documents), f AS (SELECT doc_id, word, min(pos) AS pos FROM tok GROUP BY ALL)

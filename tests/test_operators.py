@@ -174,3 +174,15 @@ def test_set_scores_all_pairs(spark):
         assert len(rows) == 144 and all(abs(got[r.shape, r.caption][name] - r.score) < 1e-9 for r in rows), name
     shapes, captions = (d.select(k).distinct().count() for d, k in zip(sets(Tables(spark, folder)), ("shape", "caption")))
     assert QUERIES["set_scores_all"](spark, folder).count() == shapes * captions
+
+
+def test_word_jaccard_all_pairs(spark):
+    """Every pair that shares a word is found, whatever the ids' remainders; the others are 0."""
+    from ragloom.plans import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    bags = [{r[0]: set((r[1] or "").lower().split()) for r in spark.read.parquet(f"{folder}/{name}.parquet").select(key, "text").collect()} for name, key in (("benchmark", "item_id"), ("documents", "doc_id"))]
+    want = {(q, d): round(len(a & b) / len(a | b), 6) for q, a in bags[0].items() for d, b in bags[1].items() if a & b}
+    got = {(r.q, r.d): r.jaccard for r in QUERIES["word_jaccard_all"](spark, folder).collect()}
+    assert any(q % 20 != d % 20 for q, d in want)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
