@@ -71,12 +71,20 @@ def src_taxonomy(t):
     return rows.select(F.col("synsetId").alias("synset_id"), F.split_part("name", F.lit(","), F.lit(1)).alias("label"))
 
 
-@query("src_class_index", "WITH c AS (SELECT source AS label, dense_rank() OVER (ORDER BY source) - 1 AS class_idx FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0)) SELECT doc_id, label, class_idx::BIGINT AS class_idx FROM documents JOIN c ON source = label")
-def src_class_index(t):
+def _class_index(t: Tables, documents):
     files = t.documents.select("doc_id", F.concat_ws("/", F.lit("root"), "source", F.col("doc_id").cast("string")).alias("path"))
     files = files.withColumn("label", F.element_at(F.split("path", "/"), -2))
-    known = t.documents.where("doc_id % 2 = 0").select(F.col("source").alias("label"))
-    return files.join(F.broadcast(S.class_index(known)), "label").select("doc_id", "label", "class_idx")
+    return files.join(F.broadcast(S.class_index(documents.select(F.col("source").alias("label")))), "label").select("doc_id", "label", "class_idx")
+
+
+@query("src_class_index", "WITH c AS (SELECT source AS label, dense_rank() OVER (ORDER BY source) - 1 AS class_idx FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0)) SELECT doc_id, label, class_idx::BIGINT AS class_idx FROM documents JOIN c ON source = label")
+def src_class_index(t):
+    return _class_index(t, t.documents.where("doc_id % 2 = 0"))
+
+
+@query("src_class_index_all", "WITH c AS (SELECT source AS label, dense_rank() OVER (ORDER BY source) - 1 AS class_idx FROM (SELECT DISTINCT source FROM documents)) SELECT doc_id, label, class_idx::BIGINT AS class_idx FROM documents JOIN c ON source = label")
+def src_class_index_all(t):
+    return _class_index(t, t.documents)
 
 
 @query("split_semi_join", f"WITH {CAPTIONS}, ids AS (SELECT DISTINCT model_id FROM captions WHERE model_id % 5 = 0) SELECT model_id, turn, caption FROM captions WHERE model_id IN (SELECT model_id FROM ids)")
@@ -222,34 +230,77 @@ ids AS (SELECT doc_id, pos, word, coalesce(idx, 0) AS idx FROM tok LEFT JOIN voc
 seq AS (SELECT d.doc_id, coalesce(list(idx ORDER BY pos) FILTER (pos IS NOT NULL), []) AS seq FROM documents d LEFT JOIN ids USING (doc_id) GROUP BY d.doc_id)"""
 
 
+VOCAB_ALL = VOCAB.replace(" WHERE doc_id % 2 = 0", "")
+
+
 def _vocab(t: Tables):
+    """Words of even documents only, so that the queries' SQL has unknown words; the queries named _all take every document."""
     return vocabulary(t.documents.where("doc_id % 2 = 0"), "text")
 
 
+def _vocab_all(t: Tables):
+    return vocabulary(t.documents, "text")
+
+
+def _pad77(t: Tables, v):
+    e = encode(t.documents, "doc_id", "text", v)
+    return e.select("doc_id", F.array_join(F.transform(X.pad(F.col("ids"), 77), lambda x: x.cast("string")), " ").alias("ids"))
+
+
+def _start_end(t: Tables, v):
+    e = encode(t.documents, "doc_id", "text", v).crossJoin(F.broadcast(v.agg(F.max("idx").alias("n"))))
+    return e.select("doc_id", F.concat_ws(" ", (F.col("n") + 1).cast("string"), F.transform("ids", lambda x: x.cast("string")), (F.col("n") + 2).cast("string")).alias("ids"))
+
+
+def _decoded(t: Tables, v):
+    """Ids moved up by one, so that some are out of range and dropped."""
+    e = encode(t.documents, "doc_id", "text", v).withColumn("ids", F.transform("ids", lambda x: F.when(x > 0, x + 1).otherwise(0)))
+    return decode(e, "doc_id", v)
+
+
+def _word_ids(t: Tables, v):
+    w = t.documents.select("doc_id", F.posexplode(X.tokens(F.lower("text"))).alias("pos", "word"))
+    return w.join(v, "word", "left").select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.coalesce("idx", F.lit(0)).cast("long").alias("idx"))
+
+
 @query("vocab_build", f"WITH {VOCAB} SELECT word, idx FROM vocab")
 def vocab_build(t):
     return _vocab(t)
 
 
+@query("vocab_build_all", f"WITH {VOCAB_ALL} SELECT word, idx FROM vocab")
+def vocab_build_all(t):
+    return _vocab_all(t)
+
+
 @query("encode_pad77", f"WITH {VOCAB} SELECT doc_id, array_to_string(list_resize(seq, 77, 0), ' ') AS ids FROM seq")
 def encode_pad77(t):
-    e = encode(t.documents, "doc_id", "text", _vocab(t))
-    return e.select("doc_id", F.array_join(F.transform(X.pad(F.col("ids"), 77), lambda x: x.cast("string")), " ").alias("ids"))
+    return _pad77(t, _vocab(t))
+
+
+@query("encode_pad77_all", f"WITH {VOCAB_ALL} SELECT doc_id, array_to_string(list_resize(seq, 77, 0), ' ') AS ids FROM seq")
+def encode_pad77_all(t):
+    return _pad77(t, _vocab_all(t))
 
 
 @query("encode_start_end", f"WITH {VOCAB}, n AS (SELECT max(idx) AS n FROM vocab) SELECT doc_id, array_to_string([n + 1] || seq || [n + 2], ' ') AS ids FROM seq, n")
 def encode_start_end(t):
-    v = _vocab(t)
-    e = encode(t.documents, "doc_id", "text", v).crossJoin(F.broadcast(v.agg(F.max("idx").alias("n"))))
-    return e.select("doc_id", F.concat_ws(" ", (F.col("n") + 1).cast("string"), F.transform("ids", lambda x: x.cast("string")), (F.col("n") + 2).cast("string")).alias("ids"))
+    return _start_end(t, _vocab(t))
+
+
+@query("encode_start_end_all", f"WITH {VOCAB_ALL}, n AS (SELECT max(idx) AS n FROM vocab) SELECT doc_id, array_to_string([n + 1] || seq || [n + 2], ' ') AS ids FROM seq, n")
+def encode_start_end_all(t):
+    return _start_end(t, _vocab_all(t))
 
 
 @query("decode_ids", f"WITH {VOCAB} SELECT doc_id, string_agg(v.word, ' ' ORDER BY pos) AS text FROM ids JOIN vocab v ON v.idx = ids.idx + 1 WHERE ids.idx > 0 GROUP BY doc_id")
 def decode_ids(t):
-    """Ids moved up by one, so that some are out of range and dropped."""
-    v = _vocab(t)
-    e = encode(t.documents, "doc_id", "text", v).withColumn("ids", F.transform("ids", lambda x: F.when(x > 0, x + 1).otherwise(0)))
-    return decode(e, "doc_id", v)
+    return _decoded(t, _vocab(t))
+
+
+@query("decode_ids_all", f"WITH {VOCAB_ALL} SELECT doc_id, string_agg(v.word, ' ' ORDER BY pos) AS text FROM ids JOIN vocab v ON v.idx = ids.idx + 1 WHERE ids.idx > 0 GROUP BY doc_id")
+def decode_ids_all(t):
+    return _decoded(t, _vocab_all(t))
 
 
 @query(
@@ -310,5 +361,9 @@ def ordered_distinct(t):
 
 @query("join_left_default", f"WITH {VOCAB} SELECT doc_id, pos::BIGINT AS pos, idx FROM ids")
 def join_left_default(t):
-    w = t.documents.select("doc_id", F.posexplode(X.tokens(F.lower("text"))).alias("pos", "word"))
-    return w.join(_vocab(t), "word", "left").select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.coalesce("idx", F.lit(0)).cast("long").alias("idx"))
+    return _word_ids(t, _vocab(t))
+
+
+@query("join_left_default_all", f"WITH {VOCAB_ALL} SELECT doc_id, pos::BIGINT AS pos, idx FROM ids")
+def join_left_default_all(t):
+    return _word_ids(t, _vocab_all(t))

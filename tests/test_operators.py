@@ -186,3 +186,22 @@ def test_word_jaccard_all_pairs(spark):
     got = {(r.q, r.d): r.jaccard for r in QUERIES["word_jaccard_all"](spark, folder).collect()}
     assert any(q % 20 != d % 20 for q, d in want)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_vocabulary_of_all_documents(spark):
+    """Words and labels of odd documents are numbered too; 0 is left for words outside the vocabulary given."""
+    from ragloom.operators.vocabulary import decode, encode, vocabulary
+    from ragloom.plans import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source").collect()
+    bags = [{w for r in docs if r.doc_id % 2 in rest for w in (r.text or "").lower().split()} for rest in ((0,), (0, 1))]
+    got = {r.word for r in QUERIES["vocab_build_all"](spark, folder).collect()}
+    assert got == bags[1] > bags[0]
+    assert QUERIES["join_left_default_all"](spark, folder).where("idx = 0").count() == 0
+    assert QUERIES["src_class_index_all"](spark, folder).count() == sum(r.source is not None for r in docs)
+
+    known = vocabulary(spark.createDataFrame([("b A",), ("c",)], "text string"))
+    rows = encode(spark.createDataFrame([(1, "c x a"), (2, "y")], "id long, text string"), "id", "text", known)
+    assert {r.id: r.ids for r in rows.collect()} == {1: [3, 0, 1], 2: [0]}
+    assert {r.id: r.text for r in decode(rows, "id", known).collect()} == {1: "c a"}
