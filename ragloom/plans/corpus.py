@@ -320,6 +320,17 @@ def _graphs(t):
     return e, e.select("graph_id", F.col("src").alias("node")).union(e.select("graph_id", "dst")).distinct()
 
 
+def _whole_graphs(t):
+    """All lineitem rows, ids as they are: a graph for each supplier."""
+    e = t.lineitem.select(F.col("l_suppkey").alias("graph_id"), F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst"))
+    return e, e.select("graph_id", F.col("src").alias("node")).union(e.select("graph_id", "dst")).distinct()
+
+
+def _padded(nodes):
+    pos = F.row_number().over(Window.partitionBy("graph_id").orderBy("node")) - 1
+    return G.padded_graphs(nodes.select("graph_id", pos.cast("long").alias("pos"), F.col("node").alias("value")))
+
+
 @query(
     "graph_hops",
     f"""WITH RECURSIVE {GRAPHS}, e AS (SELECT graph_id, src, dst FROM graph UNION SELECT graph_id, dst, src FROM graph),
@@ -331,6 +342,12 @@ def graph_hops(t):
     return G.hops(*_graphs(t))
 
 
+@query("graph_hops_all")
+def graph_hops_all(t):
+    """All edges; no SQL, as it would walk all paths.  Rows grow with the square of a graph's nodes, as the matrix of hops does."""
+    return G.hops(*_whole_graphs(t))
+
+
 @query("feature_offset", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 9 + 1 AS a, l_partkey % 9 + 129 AS b, l_linenumber + 257 AS c, count(*) AS n FROM lineitem GROUP BY ALL")
 def feature_offset(t):
     f = G.offset_features(F.array(F.col("l_suppkey") % 9, F.col("l_partkey") % 9, F.col("l_linenumber").cast("long")))
@@ -344,9 +361,12 @@ def feature_offset(t):
 SELECT g.graph_id, k AS pos, coalesce(node, 0) AS value, (node IS NOT NULL)::BIGINT AS mask FROM (SELECT DISTINCT graph_id FROM p) g, m, range(0, 100) r(k) LEFT JOIN p ON p.graph_id = g.graph_id AND p.pos = k WHERE k <= top""",
 )
 def graph_pad_mask(t):
-    nodes = _graphs(t)[1]
-    pos = F.row_number().over(Window.partitionBy("graph_id").orderBy("node")) - 1
-    return G.padded_graphs(nodes.select("graph_id", pos.cast("long").alias("pos"), F.col("node").alias("value")))
+    return _padded(_graphs(t)[1])
+
+
+@query("graph_pad_mask_all")
+def graph_pad_mask_all(t):
+    return _padded(_whole_graphs(t)[1])
 
 
 @query("stoplist_counts", f"WITH {PRED} SELECT truth, count(*) AS n FROM pred WHERE truth <> 'error' GROUP BY truth")

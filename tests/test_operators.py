@@ -205,3 +205,33 @@ def test_vocabulary_of_all_documents(spark):
     rows = encode(spark.createDataFrame([(1, "c x a"), (2, "y")], "id long, text string"), "id", "text", known)
     assert {r.id: r.ids for r in rows.collect()} == {1: [3, 0, 1], 2: [0]}
     assert {r.id: r.text for r in decode(rows, "id", known).collect()} == {1: "c a"}
+
+
+def test_whole_graphs(spark, tmp_path):
+    """Graphs of all edges with ids as they are: paths longer than twelve, against a breadth-first search."""
+    from ragloom.plans import QUERIES
+
+    # Supplier 1 has a chain of 20 edges, a cycle apart from it and a loop; supplier 2 a single edge with large ids.
+    edges = [(1, k, k + 1) for k in range(100, 120)] + [(1, 7, 8), (1, 8, 9), (1, 9, 7), (1, 50, 50), (2, 10**6, 2 * 10**6)]
+    rows = [(g, a, b, 40.0) for g, a, b in edges]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want, members = {}, {}
+    for g in (1, 2):
+        near = {}
+        for _, a, b in (e for e in edges if e[0] == g):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        members[g] = sorted(near)
+        for a in near:
+            dist, todo = {a: 0}, [a]
+            for x in todo:
+                for y in near[x] - dist.keys():
+                    dist[y] = dist[x] + 1
+                    todo.append(y)
+            want |= {(g, a, b): dist.get(b, 510) for b in near}
+    got = {(r.graph_id, r.a, r.b): r.hops for r in QUERIES["graph_hops_all"](spark, str(tmp_path)).collect()}
+    assert got == want and got[1, 100, 120] == 20
+
+    top = len(members[1])
+    padded = {(r.graph_id, r.pos): (r.value, r["mask"]) for r in QUERIES["graph_pad_mask_all"](spark, str(tmp_path)).collect()}
+    assert padded == {(g, k): (m[k], 1) if k < len(m) else (0, 0) for g, m in members.items() for k in range(top)}
