@@ -39,14 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Lower Arrow's rows per batch, from Spark's default of 10,000, for operators that hand whole texts to Python.
+def text_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 32) -> None:
+    """Lower Arrow's rows and bytes per batch, from Spark's 10,000 rows of any size, for operators that hand whole texts to Python.
 
-    A setting of the session, as Spark reads it when a lazy result runs.
+    Settings of the session, as Spark reads them when a lazy result runs; lower ones stay.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    for key, limit in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", megabytes << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        have = spark.conf.get(key)
+        # Sizes may be written with a unit.
+        if not have.isdigit() or int(have) > limit:
+            spark.conf.set(key, str(limit))
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -55,3 +58,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstash(*frames: DataFrame) -> None:
+    """Delete what stash() wrote, once nothing reads it any more; only files in the shared folder go."""
+    for df in frames:
+        spark = df.sparkSession
+        inside = shared_dir(spark).rstrip("/") + "/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            if folder.split(":", 1)[-1].lstrip("/").startswith(inside.split(":", 1)[-1].lstrip("/")):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
