@@ -26,8 +26,8 @@ _COMBINE = np.array([0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7,
 #: The white space that separates words everywhere in this subpackage: blank and \t \n \v \f \r.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -52,6 +52,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def sorted_distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats; numpy's own unique() hashes, which codes with equal low bits slow down many times."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return h.view(np.int64)
@@ -120,7 +126,7 @@ def words(t: Texts, lower: bool = False) -> Words:
         none = np.zeros(0, np.int64)
         return Words(none, none, none.view(U), np.zeros(len(offsets), np.int64))
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     space = _SPACE[data]
     full = np.flatnonzero(np.diff(offsets))
     first, last = offsets[full], offsets[full + 1] - 1
