@@ -8,7 +8,9 @@ follows ``CHUNK_BYTES`` (or the longest single text) and not the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -63,6 +65,24 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for ``mapInArrow``, which gives freed memory back to the system at a task's end.
+
+    Spark keeps a worker process for later tasks and stages, and the process
+    would keep what its largest task had freed.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return task
+
+
 class Texts(NamedTuple):
     """Some consecutive rows of a string column: bytes, and rows+1 offsets into them."""
 

@@ -17,6 +17,7 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -25,12 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import batch, chunks
-from ragloom.session import text_batches
+from ragloom.llm.arrays import batch, chunks, tidy
+from ragloom.llm.frequent import frequent
+from ragloom.session import stash, text_batches, unstash
 
 LEXICON_SIZE = 1 << 16
-#: Words whose results a task keeps; the memory is emptied when it is full.
-MEMO_WORDS = 300_000
+#: Characters of ids and tokens that a task remembers in a generation; two generations are held.
+MEMO_CHARS = 4 << 20
 _NEVER = 1 << 40
 
 #: White space of the tokenizer's ``\\s`` (Unicode White_Space).
@@ -280,11 +282,24 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
         self.v, self.lexicon = vocabulary, lexicon
         self.edges = lexicon.edges()
-        self.known: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        self._forget()
+        self.older = (self.ids, self.tokens)
+
+    def _forget(self) -> None:
+        #: Ids and tokens of each run, as strings joined by blanks.
+        self.ids: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
+        self.chars = 0
+        #: Whether a run is known that gives no token at all.
+        self.blank = False
+
+    def _keep(self, run: str, ids: str, tokens: str) -> None:
+        self.ids[run], self.tokens[run] = ids, tokens
+        self.chars += len(ids) + len(tokens)
+        self.blank |= not ids
 
     def learn(self, runs: set[str]) -> None:
-        """Ids and tokens of runs, each as a string joined by blanks; words go through the lexicon together, the rest is merged."""
+        """Ids and tokens of runs; words go through the lexicon together, the rest is merged."""
         split = {run: self.v.words(run) for run in runs}
         words = list({w for own in split.values() for w in own})
         rank = self.lexicon.ranks([w.encode() for w in words], self.edges).tolist()
@@ -294,42 +309,55 @@ class Encoder:
         tokens, digits = self.v.tokens, self.v.digits
         text = {w: (" ".join([digits[x] for x in i]), " ".join([tokens[x] for x in i])) for w, i in ids.items()}
         for run, own in split.items():
-            self.known[run] = text[own[0]] if len(own) == 1 else (" ".join([text[w][0] for w in own]), " ".join([text[w][1] for w in own]))
+            self._keep(run, *(text[own[0]] if len(own) == 1 else (" ".join([text[w][k] for w in own]) for k in (0, 1))))
 
     def prepare(self, wanted: set[str]) -> None:
         """Have all wanted runs at hand; runs not used since the last change of generation are forgotten."""
-        if len(self.known) > MEMO_WORDS:
-            self.older, self.known = self.known, {}
-        missing = wanted - self.known.keys()
-        for run in missing & self.older.keys():
-            self.known[run] = self.older[run]
-        self.learn(missing - self.older.keys())
+        if self.chars > MEMO_CHARS:
+            self.older = (self.ids, self.tokens)
+            self._forget()
+        missing = wanted - self.ids.keys()
+        old_ids, old_tokens = self.older
+        for run in missing & old_ids.keys():
+            self._keep(run, old_ids[run], old_tokens[run])
+        self.learn(missing - old_ids.keys())
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """Ids and decoded text of each whole text, each as one string joined by blanks."""
         v = self.v
         cut = [[(piece, True) if special else (v.runs(piece), False) for piece, special in v.parts(t)] for t in texts]
-        self.prepare({run for own in cut for runs, special in own if not special for run in runs})
-        known, out = self.known, []
+        self.prepare(set().union(*(runs for own in cut for runs, special in own if not special)))
+        out = []
         for own in cut:
-            found: list[tuple[str, str]] = []
+            ids: list[str] = []
+            tokens: list[str] = []
             for runs, special in own:
-                found += [(v.digits[v.special[runs]], runs)] if special else [known[run] for run in runs]
-            out.append((" ".join([x[0] for x in found if x[0]]), " ".join([x[1] for x in found if x[0]])))
+                ids += [v.digits[v.special[runs]]] if special else map(self.ids.__getitem__, runs)
+                tokens += [runs] if special else map(self.tokens.__getitem__, runs)
+            if self.blank:
+                ids, tokens = [x for x in ids if x], [x for x in tokens if x]
+            out.append((" ".join(ids), " ".join(tokens)))
         return out
 
 
+@lru_cache(maxsize=1)
+def vocabulary(spec: str) -> Vocabulary:
+    """The vocabulary of a tokenizer file, kept by the process for its next task."""
+    return Vocabulary(spec)
+
+
 def frequent_words(df: DataFrame, spec: str, text: str = "text", size: int = LEXICON_SIZE) -> list[str]:
-    """The ``size`` most frequent words of all texts; ties in order of the word.
+    """At most ``size`` of the most frequent words of all texts, sorted; of words with equal counts all or none.
 
-    Tasks send one row per word and batch, so a hot word costs no more than others.
+    Tasks send one row per word and batch, so a hot word costs no more than
+    others.  Words seen once are merged where they are met.
     """
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast(spec)
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(shared.value)
+        v = vocabulary(shared.value)
         for b in batches:
             runs: Counter[str] = Counter()
             for t in b.column(0):
@@ -342,8 +370,11 @@ def frequent_words(df: DataFrame, spec: str, text: str = "text", size: int = LEX
                     words[w] += n
             yield batch(schema, list(words.keys()), list(words.values()))
 
-    counts = df.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    counts = df.select(text).mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = stash(counts, "words")
+    words = [r.word for r in frequent(counts, size).select("word").orderBy("word").collect()]
+    unstash(counts)
+    return words
 
 
 def bpe(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "text", lexicon_size: int = LEXICON_SIZE, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
@@ -357,15 +388,14 @@ def bpe(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "t
     text_batches(df.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as f:
         spec = f.read()
-    v = Vocabulary(spec)
+    v = vocabulary(spec)
     words = frequent_words(df, spec, text, lexicon_size)
     shared = df.sparkSession.sparkContext.broadcast((spec, compile_lexicon({w.encode(): i for w, i in zip(words, v.merge_all(words), strict=True)})))
     kind = df.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, image = shared.value
-        v = Vocabulary(spec)
-        encoder = Encoder(v, map_lexicon(image))
+        encoder = Encoder(vocabulary(spec), map_lexicon(image))
         for b in batches:
             n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
             for c in chunks(b.column(1)):
@@ -388,4 +418,4 @@ def bpe(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(encode, schema).withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(encode), schema).withColumnRenamed("key", key)

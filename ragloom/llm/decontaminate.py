@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import U, batch, chunks, distinct, lists, ranges, shingles, signed, words
+from ragloom.llm.arrays import U, batch, chunks, distinct, lists, ranges, shingles, signed, tidy, words
 
 WORDS = 5
 CONTAINED = 0.8
@@ -41,7 +41,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, n: int = WORDS) -> DataFram
                 s = distinct(shingles(words(c, lower=True), n))
                 yield batch(schema, b.column(0).slice(c.first, c.rows), lists(signed(s.hash), s.offsets, pa.int64()))
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(sets, "key long, shingles array<long>")
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tidy(sets), "key long, shingles array<long>")
 
 
 class ItemIndex:
@@ -130,7 +130,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
                 if len(rows):
                     yield batch(schema, keys.take(pa.array(rows + c.first)), index.items[found], index.sizes[found], common)
 
-    out = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, "doc_id long, item_id long, n_item long, n_shared long")
+    out = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(search), "doc_id long, item_id long, n_item long, n_shared long")
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
@@ -165,4 +165,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", it
                 keep[index.search(shingles(words(c, lower=True), n), c.rows)[0] + c.first] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidy(clean), docs.schema)

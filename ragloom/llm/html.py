@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import batch
+from ragloom.llm.arrays import batch, tidy
 from ragloom.session import text_batches
 
 #: Fixed values of HTML: elements without content, with raw text, and inside a line.
@@ -261,7 +261,7 @@ def train(pages: DataFrame, column: str = "html", labels=semantic_labels) -> Mod
         yield batch(schema, [k[0] for k in keys], [k[1] for k in keys], [seen[k] for k in keys])
 
     # Tags are free text, so only common ones come back: there are at most 1000 features.
-    rows = pages.select(column).mapInArrow(count, "name string, label int, n long").groupBy("name").pivot("label", [0, 1]).agg(F.sum("n"))
+    rows = pages.select(column).mapInArrow(tidy(count), "name string, label int, n long").groupBy("name").pivot("label", [0, 1]).agg(F.sum("n"))
     rows = rows.na.fill(0).orderBy(F.desc(F.col("0") + F.col("1")), "name").limit(1000).collect()
     return fit(Counter({(r["name"], k): r[str(k)] for r in rows for k in (0, 1)}))
 
@@ -340,4 +340,4 @@ def extract(pages: DataFrame, model: Model | None = None, key: str = "page_id",
             texts = [main_text(t.as_py() or "", m) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[key, url, "text", "n_chars"])
 
-    return pages.select(key, url, column).mapInArrow(run, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")
+    return pages.select(key, url, column).mapInArrow(tidy(run), f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")

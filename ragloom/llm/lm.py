@@ -31,8 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import U, Texts, batch, chunks, group_cuts, lists, mix, per_row, whole_groups, words
-from ragloom.session import stash, text_batches
+from ragloom.llm.arrays import U, Texts, batch, chunks, group_cuts, lists, mix, per_row, sorted_distinct, tidy, whole_groups, words
+from ragloom.llm.frequent import frequent
+from ragloom.session import stash, text_batches, unstash
 
 ORDER = 5
 #: Contexts up to this length are broadcast, longer ones are dealt out by their last LOW + 1 bytes.
@@ -119,7 +120,7 @@ def _counts(train: DataFrame, codes_of, name: str) -> DataFrame:
             code, n = counted(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
             yield batch(schema, code.view(np.int64), n)
 
-    return stash(train.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), name)
+    return stash(train.mapInArrow(tidy(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), name)
 
 
 class Mixer(NamedTuple):
@@ -220,7 +221,7 @@ def _costs(m: Mixer, tables: list[tuple[np.ndarray, np.ndarray]], codes: np.ndar
 
 def code_bits(m: Mixer, codes: np.ndarray) -> np.ndarray:
     """Cost in bits of a few codes, asked by the driver: the 6-grams of their ranges are brought here."""
-    wanted = np.unique(_range(_turned(codes), m.ranges)).tolist()
+    wanted = sorted_distinct(_range(_turned(codes), m.ranges)).tolist()
     have = m.counts.where(_range_column(m.ranges).isin(wanted)).toArrow()
     return _costs(m, _tables(m, have["code"].to_numpy().view(U), have["n"].to_numpy()), codes)
 
@@ -262,7 +263,7 @@ def _learn_weights(start: Mixer, rate: float = 0.02) -> np.ndarray:
         yield batch(schema, hit.astype(np.int32), used[hit], lists(w.reshape(-1), np.arange(len(hit) + 1) * (ORDER + 1), pa.float64()))
 
     out = start.weights.copy()
-    rows = _dealt(start).mapInArrow(learn, "gate int, used double, w array<double>")
+    rows = _dealt(start).mapInArrow(tidy(learn), "gate int, used double, w array<double>")
     means = [(F.sum(F.col("used") * F.col("w")[k]) / F.sum("used")).alias(f"w{k}") for k in range(ORDER + 1)]
     for r in rows.groupBy("gate").agg(*means).collect():
         out[r.gate] = [r[f"w{k}"] for k in range(ORDER + 1)]
@@ -292,7 +293,7 @@ def _learn_map(m: Mixer) -> np.ndarray:
         yield batch(schema, hit.astype(np.int32), hits[hit], total[hit])
 
     ones, total = m.refined.reshape(-1) * 20, np.full(GATES * STEPS, 20.0)
-    for r in _dealt(m).mapInArrow(follow, "cell int, ones double, n double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect():
+    for r in _dealt(m).mapInArrow(tidy(follow), "cell int, ones double, n double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect():
         ones[r.cell] += r.ones
         total[r.cell] += r.n
     return np.clip(ones / total, 1e-5, 1 - 1e-5).reshape(GATES, STEPS)
@@ -313,7 +314,7 @@ def train_mixer(texts: DataFrame) -> Mixer:
 
 def _distinct(codes: list[np.ndarray], ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct turned codes, their ranges, and the order that puts ranges together."""
-    turned = np.unique(_turned(np.concatenate(codes))) if codes else np.zeros(0, U)
+    turned = sorted_distinct(_turned(np.concatenate(codes))) if codes else np.zeros(0, U)
     own = _range(turned, ranges)
     return turned, own, np.argsort(own, kind="stable")
 
@@ -346,7 +347,7 @@ def _asked(rows: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield from chunk(held, at)
 
-    return stash(rows.mapInArrow(ask, "chunk long, range int, n long, data binary"), "lm-asked")
+    return stash(rows.mapInArrow(tidy(ask), "chunk long, range int, n long, data binary"), "lm-asked")
 
 
 def _answered(m: Mixer, asked: DataFrame) -> DataFrame:
@@ -387,7 +388,7 @@ def _answered(m: Mixer, asked: DataFrame) -> DataFrame:
     asks = asked.where("range >= 0").select("range", "chunk", F.lit(None).cast("long").alias("code"), "n", "data")
     model = m.counts.select(_range_column(m.ranges).alias("range"), F.lit(None).cast("long").alias("chunk"), "code", "n", F.lit(None).cast("binary").alias("data"))
     both = model.union(asks).repartition(m.ranges, "range").sortWithinPartitions("range", F.col("chunk").asc_nulls_first())
-    return both.mapInArrow(answer, "chunk long, range int, n long, data binary")
+    return both.mapInArrow(tidy(answer), "chunk long, range int, n long, data binary")
 
 
 def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -396,7 +397,8 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Tokens are lower-cased words and one end; score is the mixer's log10
     probability of the text's bytes and its end.  Null texts count as empty
     (one token); a null key is in training; repeated rows stay.  With nothing
-    to learn from all counts are 0.  Only key and text are read.
+    to learn from all counts are 0.  Only key and text are read.  The base is of
+    lower-cased words, score of the text as it stands, capitals and all.
     """
     text_batches(df.sparkSession)
     spark = df.sparkSession
@@ -407,7 +409,7 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     known, in_words = word_counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_train = train.count()
     n, v = in_words + n_train, known + (1 if n_train else 0)
-    top = word_counts.orderBy(F.desc("n"), "code").limit(FREQUENT_WORDS).toArrow()
+    top = frequent(word_counts, FREQUENT_WORDS).toArrow()
     top_code, top_n = top["code"].to_numpy().view(U), top["n"].to_numpy()
     order = np.argsort(top_code)
     shared = sc.broadcast((top_code[order], np.log10(top_n[order] + 1.0)))
@@ -457,7 +459,9 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     asked = _asked(rows, ranges)
     meet = _answered(mixer, asked).union(asked.where("range < 0")).repartition("chunk").sortWithinPartitions("chunk", F.col("range") < 0, "range")
-    measured = stash(meet.mapInArrow(measure, schema).withColumn("row", F.monotonically_increasing_id()), "lm-measures")
+    measured = stash(meet.mapInArrow(tidy(measure), schema).withColumn("row", F.monotonically_increasing_id()), "lm-measures")
+    # What is left to read are the measures and the word counts.
+    unstash(asked, mixer.counts)
     rare = measured.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("code"), F.col("r.rare_n").alias("times"))
     rare = rare.join(word_counts, "code").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("rare_log"))
     out = measured.drop("rare", "rare_n").join(rare, "row", "left")

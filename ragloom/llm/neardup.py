@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import U, Shingles, batch, chunks, distinct, group_cuts, lists, mix, per_row, ranges, shingles, signed, whole_groups, words
+from ragloom.llm.arrays import U, Shingles, batch, chunks, distinct, group_cuts, lists, mix, per_row, ranges, shingles, signed, tidy, whole_groups, words
 from ragloom.llm.components import components
 from ragloom.session import stash, text_batches
 
@@ -175,7 +175,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                 minima = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * MINIMA), c.rows, [None, pa.py_buffer(_signatures(s).tobytes())]).cast(pa.binary())
                 yield batch(sketch_schema, b.column(0).slice(c.first, c.rows), np.diff(s.offsets), signed(p), signed(q), minima)
 
-    sketches = stash(rows.mapInArrow(sketch, "key long, size long, p long, q long, minima binary"), "sketches")
+    sketches = stash(rows.mapInArrow(tidy(sketch), "key long, size long, p long, q long, minima binary"), "sketches")
     live = sketches.where("size > 0 and key is not null")
     classes = stash(live.groupBy("size", "p", "q").agg(F.min("key").alias("rep"), F.min("minima").alias("minima")), "classes")
 
@@ -193,7 +193,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                     region[:, t] = (h & ~U(TREES - 1)) | U(t)
                 yield batch(region_schema, signed(region.reshape(-1)), np.repeat(b.column(0).to_numpy(), TREES))
 
-    planted = classes.select("rep", "minima").mapInArrow(plant, "region long, rep long")
+    planted = classes.select("rep", "minima").mapInArrow(tidy(plant), "region long, rep long")
     regions = planted.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("least")).where("members > 1")
     members = stash(planted.join(regions, "region"), "regions")
     # A region beyond the cap is taken as one piece, which loses no link: step 3 looks at full sets.
@@ -211,7 +211,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                 if len(a):
                     yield batch(_EDGES, a, b)
 
-    pieces = narrow.repartition("region").sortWithinPartitions("region").mapInArrow(grow, "a long, b long")
+    pieces = narrow.repartition("region").sortWithinPartitions("region").mapInArrow(tidy(grow), "a long, b long")
     groups = components(pieces.union(wide))
     groups = groups.union(groups.select("component", "component").distinct())
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
@@ -229,7 +229,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                 s = distinct(shingles(words(c, lower=True), n))
                 yield batch(set_schema, *(b.column(i).slice(c.first, c.rows) for i in range(3)), lists(signed(s.hash), s.offsets, pa.int64()))
 
-    full = found.mapInArrow(sets, "component long, blocks int, key long, shingles array<long>").where(F.size("shingles") > 0)
+    full = found.mapInArrow(tidy(sets), "component long, blocks int, key long, shingles array<long>").where(F.size("shingles") > 0)
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "key", "shingles")
@@ -248,7 +248,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                     if len(a):
                         yield batch(_EDGES, a, b)
 
-    links = full.repartition("cell").sortWithinPartitions("cell").mapInArrow(confirm, "a long, b long")
+    links = full.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(confirm), "a long, b long")
     joined = components(links)
     reps = classes.select("size", "p", "q", "rep").join(joined, F.col("rep") == F.col("node"), "left")
     reps = reps.select("size", "p", "q", F.coalesce("component", "rep").alias("component_id"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import U, Texts, batch, chunks, flat, group_cuts, mix, ranges, signed, whole_groups
+from ragloom.llm.arrays import U, Texts, batch, chunks, flat, group_cuts, mix, ranges, signed, tidy, whole_groups
 from ragloom.session import stash, text_batches
 
 #: Different units of an anchor up to which one task compares them; others are compared by a shuffle of single windows.
@@ -165,7 +165,7 @@ def scan_units(rows: DataFrame, kind: Kind) -> DataFrame:
         if parts:
             yield from settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    return rows.mapInArrow(scan, UNIT_DDL)
+    return rows.mapInArrow(tidy(scan), UNIT_DDL)
 
 
 def judged(all_units: DataFrame, kind: Kind) -> DataFrame:
@@ -225,7 +225,7 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
                 symbols = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(flat.tobytes())])
                 yield batch(schema, anchor[part], hot[part], keys[c.first + own], lo[part], symbols)
 
-    fetched = with_texts(rows, open_units.select("key", "lo", "hi", "anchor", "hot"), "inner", "anchor", "hot").mapInArrow(fetch, "anchor long, hot boolean, key long, lo long, symbols binary")
+    fetched = with_texts(rows, open_units.select("key", "lo", "hi", "anchor", "hot"), "inner", "anchor", "hot").mapInArrow(tidy(fetch), "anchor long, hot boolean, key long, lo long, symbols binary")
     # Written once, as both ways below read it.
     fetched = stash(fetched, "open-units")
     hot_keys = open_units.where("hot").limit(1).count() > 0
@@ -248,7 +248,7 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
             # Windows of different anchors differ, so one comparison serves many anchors.
             yield settle(t["key"].to_numpy(), t["lo"].to_numpy(), t["symbols"])
 
-    out = fetched.where("not hot").select("anchor", "key", "lo", "symbols").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(cold, "key long, lo long, hi long")
+    out = fetched.where("not hot").select("anchor", "key", "lo", "symbols").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(cold), "key long, lo long, hi long")
     if not hot_keys:
         return out
     single = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("key", pa.int64()), ("lo", pa.int64())])
@@ -263,7 +263,7 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
                 p, q = window_ids(data, length, kind)
                 yield batch(single, signed(p), signed(q), part.column(0).to_numpy()[unit], part.column(1).to_numpy()[unit] + place)
 
-    windows = fetched.where("hot").select("key", "lo", "symbols").mapInArrow(split, "p long, q long, key long, lo long")
+    windows = fetched.where("hot").select("key", "lo", "symbols").mapInArrow(tidy(split), "p long, q long, key long, lo long")
     place = F.col("key") if kind.by_document else F.struct("key", "lo")
     least = windows.groupBy("p", "q").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     repeated = windows.join(least, ["p", "q"]).where(place != F.col("least"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import U, Texts, chunks, mix, words
+from ragloom.llm.arrays import U, Texts, chunks, mix, tidy, words
 from ragloom.llm.repeats import Kind, Symbols, compare_windows, judged, merged, scan_units, window_ids, with_texts
 from ragloom.session import stash, text_batches
 
@@ -163,4 +163,4 @@ def deduplicate_words(df: DataFrame, key: str = "doc_id", text: str = "text", ba
                     sha.append(hashlib.sha256(b" ".join(own)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["key", "n_words", "n_removed", "kept_sha256"])
 
-    return with_texts(rows, found, "left").mapInArrow(cut, "key long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("key", key)
+    return with_texts(rows, found, "left").mapInArrow(tidy(cut), "key long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("key", key)

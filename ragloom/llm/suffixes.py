@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import U, Texts, chunks, mix, ranges
+from ragloom.llm.arrays import U, Texts, chunks, mix, ranges, tidy
 from ragloom.llm.repeats import Kind, Symbols, merged, repeated_ranges, with_texts
 
 LENGTH = 100
@@ -126,4 +126,4 @@ def deduplicate_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", ke
     kinds = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
     ddl = f"key long{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * wide
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *carry)
-    return with_texts(rows, found, "left").mapInArrow(cut, ddl).withColumnRenamed("key", key)
+    return with_texts(rows, found, "left").mapInArrow(tidy(cut), ddl).withColumnRenamed("key", key)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import LOWER, U, Shingles, Texts, batch, chunks, group_cuts, mix, per_row, sorted_distinct, words
+from ragloom.llm.arrays import LOWER, U, Shingles, Texts, batch, chunks, group_cuts, mix, per_row, sorted_distinct, tidy, words
 from ragloom.session import stash, text_batches, unstash
 
 BITS = 20
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 x = [_packed(f.hash[lo:hi]) for lo, hi in zip(f.offsets[:-1], f.offsets[1:], strict=True)]
                 yield batch(schema, *(b.column(i).slice(c.first, c.rows) for i in (0, 1, 3)), np.diff(f.offsets), x)
 
-    data = stash(rows.mapInArrow(extract, "label int, shard int, turn long, n int, x binary"), "toxicity-features")
+    data = stash(rows.mapInArrow(tidy(extract), "label int, shard int, turn long, n int, x binary"), "toxicity-features")
     block = pa.schema([("z", pa.binary()), ("n", pa.binary())])
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield batch(block, [pa.compress(times.tobytes(), codec="zstd", asbytes=True)], [b""])
 
     times = np.zeros(SIZE, np.int64)
-    for r in data.select("n", "x").coalesce(SHARDS).mapInArrow(seen, "z binary, n binary").toLocalIterator():
+    for r in data.select("n", "x").coalesce(SHARDS).mapInArrow(tidy(seen), "z binary, n binary").toLocalIterator():
         times += _dense(bytes(r.z), np.int32)
     use = times >= MIN_ROWS
     use[-1] = True
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     ftrl(((np.append(x[use[x]], SIZE - 1), y) for x, y in packed), z, n)
             yield from moved()
 
-        moves = [(_dense(bytes(r.z), np.float32), _dense(bytes(r.n), np.float32)) for r in dealt.mapInArrow(learn, "z binary, n binary").collect()]
+        moves = [(_dense(bytes(r.z), np.float32), _dense(bytes(r.n), np.float32)) for r in dealt.mapInArrow(tidy(learn), "z binary, n binary").collect()]
         # Shards that saw a feature share its move.
         by = np.maximum(sum((dz != 0) | (dn != 0) for dz, dn in moves), 1) if moves else 1
         z, n = z + sum(dz for dz, _ in moves) / by, n + sum(dn for _, dn in moves) / by
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 p = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.rows), pa.array(p)], names=["key", "score"])
 
-    scored = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(apply, f"key {kind}, score double")
+    scored = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(apply), f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), F.coalesce(held_out(F.col("key")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
