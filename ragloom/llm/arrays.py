@@ -21,8 +21,7 @@ CHUNK_BYTES = 1 << 20
 
 U = np.uint64
 #: Odd multipliers; any fixed odd 64-bit numbers would do.
-_P = U(0x9E3779B97F4A7C15)
-_P_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASES = [(U(p), U(pow(p, -1, 1 << 64))) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _COMBINE = np.array([0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xF1357AEA2E62A9C5, 0x2545F4914F6CDD1D, 0xDA942042E4DD58B5, 0x9FB21C651E98DF25], dtype=U)
 
 #: The white space that separates words everywhere in this subpackage: blank and \t \n \v \f \r.
@@ -156,10 +155,20 @@ def words(t: Texts, lower: bool = False) -> Words:
     starts[first] = ~space[first]
     ends[last] = ~space[last]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return Words(start, end, _polynomial(data, start, end, 0), np.searchsorted(start, offsets))
+
+
+def _polynomial(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """Finalised polynomial hash of the bytes of each word, to one of two bases."""
+    base, inverse = _BASES[which]
     sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * _power(_P, "p", len(data)), out=sums[1:])
-    h = mix((sums[end] - sums[start]) * _power(_P_INV, "q", len(data))[start] + (end - start).astype(U))
-    return Words(start, end, h, np.searchsorted(start, offsets))
+    np.cumsum((data.astype(U) + U(1)) * _power(base, f"p{which}", len(data)), out=sums[1:])
+    return mix((sums[end] - sums[start]) * _power(inverse, f"q{which}", len(data))[start] + (end - start).astype(U))
+
+
+def second_hash(t: Texts, w: Words) -> np.ndarray:
+    """A hash of the same words, case kept, that owes nothing to the first."""
+    return _polynomial(t.data, w.start, w.end, 1) if len(w.start) else w.hash
 
 
 class Shingles(NamedTuple):

@@ -32,23 +32,34 @@ _MUL = mix(np.arange(11, 75, dtype=U)) | U(1)
 
 
 class Symbols(NamedTuple):
-    """Symbols of some texts for one window kind: k-gram hash at each place, and row offsets."""
+    """Symbols of some texts for one window kind: two independent k-gram hashes at each place, and row offsets.
+
+    The first chooses anchors, the second verifies that units with one anchor are equal.
+    """
 
     gram: np.ndarray
+    proof: np.ndarray
     offsets: np.ndarray
 
 
 class Kind(NamedTuple):
-    """How a text splits into symbols, and what counts as earlier."""
+    """How a text splits into symbols, and what counts as earlier.
+
+    What is fetched of a text, to compare windows, is a slice of it that holds
+    whole symbols, and the last three functions work on such slices.
+    """
 
     window: int
     gram: int
     symbols: Callable[[Texts], Symbols]
-    #: Symbol range of a row -> bytes that stand for it, of a fixed width per symbol.
-    payload: Callable[[Texts], tuple[np.ndarray, np.ndarray]]
-    #: Payload bytes of several units and their lengths in symbols -> class of each window in them.
-    classes: Callable[[np.ndarray, np.ndarray], np.ndarray]
-    width: int
+    #: Byte range of each symbol, and row offsets.
+    spans: Callable[[Texts], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: Class of each window of some slices, given its first symbol: equal windows share it, others most likely don't.
+    classes: Callable[[Texts, np.ndarray], np.ndarray]
+    #: Whether the windows at two lists of first symbols are equal, byte by byte or word by word.
+    equal: Callable[[Texts, np.ndarray, np.ndarray], np.ndarray]
+    #: 128 bits of the content of each window.
+    ids: Callable[[Texts, np.ndarray], tuple[np.ndarray, np.ndarray]]
     #: True: a window repeats if it starts in a smaller document; False: also earlier in the same one.
     by_document: bool
 
@@ -96,7 +107,7 @@ def units(s: Symbols, kind: Kind) -> Units:
     last = span + kind.window - kind.gram
     unit = mix(span.astype(U) + U(1))
     for j in range(-(-(w - 1 + kind.window) // kind.gram)):
-        unit += mix(s.gram[lo + np.minimum(j * kind.gram, last)] * _MUL[j])
+        unit += mix(s.proof[lo + np.minimum(j * kind.gram, last)] * _MUL[j])
     return Units(signed(low[lo]), signed(mix(unit)), row, lo - s.offsets[row], ends - s.offsets[row])
 
 
@@ -150,14 +161,15 @@ def scan_units(rows: DataFrame, kind: Kind) -> DataFrame:
         parts: list[tuple[np.ndarray, ...]] = []
         size = 0
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            known = ~np.asarray(b.column(0).is_null())
+            # Nulls are filled first: numpy would make floats of a column that has some, which merges large keys.
+            keys = b.column(0).fill_null(0).to_numpy()
+            known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for c in chunks(b.column(1)):
                 u = units(kind.symbols(c), kind)
                 row = u.row + c.first
                 ok = known[row]
                 if ok.any():
-                    parts.append((u.anchor[ok], u.unit[ok], keys[row[ok]].astype(np.int64), u.lo[ok], u.hi[ok]))
+                    parts.append((u.anchor[ok], u.unit[ok], keys[row[ok]], u.lo[ok], u.hi[ok]))
                     size += len(parts[-1][0])
                 if size >= SETTLE_UNITS:
                     yield from settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -190,10 +202,31 @@ def with_texts(rows: DataFrame, ranges_: DataFrame, how: str, *extra: str) -> Da
     return rows.join(_by_document(ranges_, *extra), "key", how)
 
 
-def _windows(payload: np.ndarray, length: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
-    """Unit and place of every window of some units, given their symbol counts."""
-    own = length - kind.window + 1
-    return np.repeat(np.arange(len(length)), own), ranges(own)
+def _windows(t: Texts, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slice, place in it and first symbol of every window of some slices."""
+    _, _, offsets = kind.spans(t)
+    own = np.maximum(np.diff(offsets) - kind.window + 1, 0)
+    unit, place = np.repeat(np.arange(len(own)), own), ranges(own)
+    return unit, place, offsets[unit] + place
+
+
+def late_windows(t: Texts, key: np.ndarray, lo: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """Key and place of every window that repeats among some slices, each compared with the first of its class itself."""
+    unit, place, first = _windows(t, kind)
+    cls = kind.classes(t, first)
+    k, p = key[unit], lo[unit] + place
+    while True:
+        order = np.lexsort((p, k, cls))
+        cuts = group_cuts(cls[order])
+        head = np.empty(len(order), np.int64)
+        head[order] = np.repeat(order[cuts[:-1]], np.diff(cuts))
+        late = np.flatnonzero(k != k[head] if kind.by_document else (k != k[head]) | (p != p[head]))
+        wrong = late[~kind.equal(t, first[late], first[head[late]])]
+        if not len(wrong):
+            return k[late], p[late]
+        # Different windows met in a class by chance: those unlike its first form another.
+        _, cls = np.unique(np.stack([cls.astype(np.int64), np.isin(np.arange(len(cls)), wrong)]), axis=1, return_inverse=True)
+        cls = cls.reshape(-1)
 
 
 def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataFrame:
@@ -214,13 +247,17 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
             at = at - at[0]
             lo, hi, anchor, hot = (items.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             for c in chunks(b.column(1), FETCH_BYTES):
-                data, offsets = kind.payload(c)
+                starts, ends, offsets = kind.spans(c)
                 own = np.repeat(np.arange(c.rows), np.diff(at[c.first : c.first + c.rows + 1]))
-                part = slice(at[c.first], at[c.first + c.rows])
-                start = (offsets[own] + lo[part]) * kind.width
-                end = (offsets[own] + hi[part] + kind.window) * kind.width
+                part = np.arange(at[c.first], at[c.first + c.rows])
+                # A key that comes with several texts has ranges of them all: a range that a text has no place for is none of its own.
+                fits = hi[part] + kind.window <= np.diff(offsets)[own]
+                own, part = own[fits], part[fits]
+                if not len(part):
+                    continue
+                start, end = starts[offsets[own] + lo[part]], ends[offsets[own] + hi[part] + kind.window - 1]
                 size = end - start
-                flat = data[np.repeat(start, size) + ranges(size)]
+                flat = c.data[np.repeat(start, size) + ranges(size)]
                 cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 symbols = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(flat.tobytes())])
                 yield batch(schema, anchor[part], hot[part], keys[c.first + own], lo[part], symbols)
@@ -232,16 +269,8 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
 
     def settle(key: np.ndarray, lo: np.ndarray, symbols: pa.Array) -> pa.RecordBatch:
         """Repeats among the windows of some units."""
-        data, at = flat(symbols)
-        length = np.diff(at) // kind.width
-        unit, place = _windows(data, length, kind)
-        cls = kind.classes(data, length)
-        k, p = key[unit], lo[unit] + place
-        order = np.lexsort((p, k, cls))
-        k, p, cuts = k[order], p[order], group_cuts(cls[order])
-        head = np.repeat(cuts[:-1], np.diff(cuts))
-        late = k != k[head] if kind.by_document else (k != k[head]) | (p != p[head])
-        return batch(RANGES, *merged(k[late], p[late], p[late] + kind.window))
+        k, p = late_windows(Texts(0, *flat(symbols)), key, lo, kind)
+        return batch(RANGES, *merged(k, p, p + kind.window))
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 2 << 20):
@@ -257,10 +286,9 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                data, at = flat(part.column(2))
-                length = np.diff(at) // kind.width
-                unit, place = _windows(data, length, kind)
-                p, q = window_ids(data, length, kind)
+                t = Texts(0, *flat(part.column(2)))
+                unit, place, first = _windows(t, kind)
+                p, q = kind.ids(t, first)
                 yield batch(single, signed(p), signed(q), part.column(0).to_numpy()[unit], part.column(1).to_numpy()[unit] + place)
 
     windows = fetched.where("hot").select("key", "lo", "symbols").mapInArrow(tidy(split), "p long, q long, key long, lo long")
@@ -270,21 +298,6 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
     return out.union(repeated.select("key", "lo", (F.col("lo") + kind.window).alias("hi")))
 
 
-def window_ids(data: np.ndarray, length: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of the content of every window."""
-    unit, place = _windows(data, length, kind)
-    first = (np.concatenate([[0], np.cumsum(length)[:-1]])[unit] + place) * kind.width
-    p, q = np.zeros(len(first), U), np.zeros(len(first), U)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    wide = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
-    size = kind.window * kind.width
-    for j, at in enumerate([*range(0, size - 8, 8), size - 8]):
-        x = wide[first + at].astype(U)
-        p = mix(p + x * _MUL[j % 64])
-        q = mix(q * _MUL[(j + 7) % 64] + x)
-    return p, q
-
-
 def repeated_ranges(rows: DataFrame, kind: Kind, name: str) -> DataFrame:
     """(key, lo, hi) ranges of symbols covered by repeated windows, over a (key, text) frame; written to the shared folder."""
     text_batches(rows.sparkSession)

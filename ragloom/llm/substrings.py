@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import U, Texts, chunks, mix, tidy, words
-from ragloom.llm.repeats import Kind, Symbols, compare_windows, judged, merged, scan_units, window_ids, with_texts
-from ragloom.session import stash, text_batches
+from ragloom.llm.arrays import U, Texts, chunks, mix, second_hash, tidy, words
+from ragloom.llm.repeats import Kind, Symbols, compare_windows, judged, merged, scan_units, with_texts
+from ragloom.session import stash, text_batches, unstash
 
 WINDOW = 13
 GRAM = 5
-BUCKETS = 32
 #: A run is merged with the one before it if it has more than this share of its rows.
 SIMILAR = 0.6
 
@@ -33,28 +32,46 @@ _WEIGHTS = mix(np.arange(101, 101 + GRAM, dtype=U)) | U(1)
 
 def word_symbols(t: Texts) -> Symbols:
     w = words(t)
-    gram = np.zeros(len(w.hash), U)
-    for k in range(GRAM):
-        gram[: len(gram) - k] += w.hash[k:] * _WEIGHTS[k]
-    return Symbols(mix(gram), w.offsets)
+    grams = []
+    for h in (w.hash, second_hash(t, w)):
+        gram = np.zeros(len(h), U)
+        for k in range(GRAM):
+            gram[: len(gram) - k] += h[k:] * _WEIGHTS[k]
+        grams.append(mix(gram))
+    return Symbols(*grams, w.offsets)
 
 
-def word_payload(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = words(t)
-    return w.hash.view(np.uint8), w.offsets
+    return w.start, w.end, w.offsets
 
 
-def word_classes(data: np.ndarray, length: np.ndarray) -> np.ndarray:
-    p, q = window_ids(data, length, WORDS)
-    order = np.lexsort((q, p))
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (p[order][1:] != p[order][:-1]) | (q[order][1:] != q[order][:-1])
-    out = np.empty(len(p), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+def word_ids(t: Texts, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = words(t)
+    out = []
+    for h in (w.hash, second_hash(t, w)):
+        window = np.zeros(len(h), U)
+        for k in range(WINDOW):
+            window[: len(h) - k] += mix(h[k:] + U(k)) * _WEIGHTS[k % GRAM]
+        out.append(mix(window)[first])
+    return out[0], out[1]
+
 
+def word_classes(t: Texts, first: np.ndarray) -> np.ndarray:
+    return word_ids(t, first)[0]
 
-WORDS = Kind(WINDOW, GRAM, word_symbols, word_payload, word_classes, 8, True)
+
+def word_equal(t: Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Word by word: lengths, and both hashes of the bytes."""
+    w = words(t)
+    same = np.ones(len(a), dtype=bool)
+    for values in (w.end - w.start, w.hash, second_hash(t, w)):
+        for k in range(WINDOW):
+            same &= values[a + k] == values[b + k]
+    return same
+
+
+WORDS = Kind(WINDOW, GRAM, word_symbols, word_spans, word_classes, word_equal, word_ids, True)
 
 
 class FingerprintIndex:
@@ -64,8 +81,9 @@ class FingerprintIndex:
     larger keys than all earlier ones, or are judged as if they had.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        """``buckets``: of every run; by default as many as the session's shuffle partitions, so that they follow the input."""
+        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
 
     def _write(self, units: DataFrame) -> str:
@@ -98,6 +116,7 @@ class FingerprintIndex:
         compared = stash(compare_windows(history, found.where("state = 2"), WORDS), "fingerprint-windows")
         settled_here = self.spark.table(run).where("settled").select("key", "lo", "hi")
         out = stash(settled_here.union(found.where("state = 1").select("key", "lo", "hi")).union(compared), "fingerprint-ranges")
+        unstash(both, found, compared)
         self.runs.append(run)
         return out
 
@@ -123,12 +142,16 @@ class FingerprintIndex:
         self.runs = []
 
 
-def deduplicate_words(df: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 2, buckets: int = BUCKETS) -> DataFrame:
+def deduplicate_words(df: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 3, buckets: int | None = None) -> DataFrame:
     """key, n_words, n_removed and kept_sha256 of every row, the table taken in ``batches`` by key.
 
+    Each batch is judged against the runs of those before it, which are
+    compacted in between, so the last of three reads a compacted run.
+
     A word goes if a window of WINDOW words over it also starts in a document
     with a smaller key.  Null and empty texts have no words; rows that repeat a
-    key are one document and each give a row; rows with a null key are not
+    key are one document and each give a row (with other texts, each loses what
+    is found in any of them, at the same places); rows with a null key are not
     judged.  Only key and text are read.
     """
     text_batches(df.sparkSession)
@@ -138,9 +161,10 @@ def deduplicate_words(df: DataFrame, key: str = "doc_id", text: str = "text", ba
     found = None
     for i in range(len(cuts) + 1):
         part = rows if not cuts else rows.where((F.col("key") > cuts[i - 1] if i else F.lit(True)) & (F.col("key") <= cuts[i] if i < len(cuts) else F.lit(True)))
-        ranges = index.add(part, rows)
+        ranges = index.add(part, rows if i == len(cuts) else rows.where(F.col("key") <= cuts[i]))
         found = found.union(ranges) if found else ranges
-        index.compact()
+        if i < len(cuts):
+            index.compact()
     index.drop()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

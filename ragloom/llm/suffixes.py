@@ -24,20 +24,20 @@ from ragloom.llm.repeats import Kind, Symbols, merged, repeated_ranges, with_tex
 
 LENGTH = 100
 GRAM = 32
-_A, _B = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
+_A, _B, _C, _D = (U(m) for m in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
-def gram_buckets(data: np.ndarray) -> np.ndarray:
+def gram_buckets(data: np.ndarray, a: np.uint64 = _A, b: np.uint64 = _B) -> np.ndarray:
     """64-bit bucket of the 32 bytes from each place, built from halves: 8, 16, 32."""
     padded = np.concatenate([data, np.zeros(GRAM + 8, np.uint8)])
     h = np.ndarray(len(data) + GRAM, dtype="<u8", buffer=padded.data, strides=(1,)).astype(U)
     for half in (8, 16):
-        h = mix(h[:-half] * _A + (h[half:] ^ (h[half:] >> U(29))) * _B)
+        h = mix(h[:-half] * a + (h[half:] ^ (h[half:] >> U(29))) * b)
     return h[: len(data)]
 
 
 def byte_symbols(t: Texts) -> Symbols:
-    return Symbols(gram_buckets(t.data), t.offsets)
+    return Symbols(gram_buckets(t.data), gram_buckets(t.data, _C, _D), t.offsets)
 
 
 def refine(bucket: np.ndarray, depth: int, places: np.ndarray, length: int) -> np.ndarray:
@@ -73,26 +73,58 @@ def refine(bucket: np.ndarray, depth: int, places: np.ndarray, length: int) -> n
     return pointer[places]
 
 
-def byte_classes(data: np.ndarray, length: np.ndarray) -> np.ndarray:
-    own = length - LENGTH + 1
-    first = np.concatenate([[0], np.cumsum(length)[:-1]])
-    places = np.repeat(first, own) + ranges(own)
-    return refine(gram_buckets(data), GRAM, places, LENGTH)
+def byte_spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.arange(len(t.data))
+    return at, at + 1, t.offsets
 
 
-BYTES = Kind(LENGTH, GRAM, byte_symbols, lambda t: (t.data, t.offsets), byte_classes, 1, False)
+def byte_classes(t: Texts, first: np.ndarray) -> np.ndarray:
+    return refine(gram_buckets(t.data), GRAM, first, LENGTH)
+
+
+#: Places at which eight bytes are read to see all of a window.
+_EIGHTS = [*range(0, LENGTH - 8, 8), LENGTH - 8]
+
+
+def _eights(t: Texts) -> np.ndarray:
+    padded = np.concatenate([t.data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(t.data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def byte_equal(t: Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    wide, same = _eights(t), np.ones(len(a), dtype=bool)
+    for at in _EIGHTS:
+        same &= wide[a + at] == wide[b + at]
+    return same
+
+
+def byte_ids(t: Texts, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    wide = _eights(t)
+    p, q = np.zeros(len(first), U), np.zeros(len(first), U)
+    for at in _EIGHTS:
+        x = wide[first + at].astype(U)
+        p, q = mix(p * _A + x), mix((q ^ x) * _C + _D)
+    return p, q
+
+
+BYTES = Kind(LENGTH, GRAM, byte_symbols, byte_spans, byte_classes, byte_equal, byte_ids, False)
 
 
 def deduplicate_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 of every row, with keep_text also kept_text, and the columns to carry.
 
     Keys are whole numbers and order the documents; rows that repeat a key and
-    text are one document, each with its row.  Null and empty texts give zeros
+    text are one document, each with its row.  Of rows that repeat a key with
+    other texts, each loses what is found in any of them, at the same places;
+    give such rows keys of their own.  Null and empty texts give zeros
     and the hash of nothing; rows with a null key are not judged.  A cut inside
     a character leaves a broken one, which kept text drops and the hash keeps.
-    Only key, text and the columns to carry are read; these must not have the
-    names of the result.
+    Only key, text and the columns to carry are read; a carried column may not
+    have a name of the result.
     """
+    clash = {key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"} & set(carry)
+    if clash:
+        raise ValueError(f"columns of the result cannot be carried: {sorted(clash)}")
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     found = repeated_ranges(rows, BYTES, "suffixes")
     wide, extra = keep_text, len(carry)

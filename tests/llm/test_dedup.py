@@ -8,10 +8,11 @@ import pytest
 
 import corpus_pipeline
 from ragloom.llm import repeats
+from ragloom.llm.arrays import Texts
 from ragloom.llm.components import components
 from ragloom.llm.neardup import drop_near_duplicates, near_duplicates
 from ragloom.llm.substrings import FingerprintIndex, deduplicate_words
-from ragloom.llm.suffixes import byte_classes, deduplicate_bytes
+from ragloom.llm.suffixes import BYTES, byte_classes, deduplicate_bytes
 from ragloom.session import stash
 from tests.llm.conftest import SF, split_words
 
@@ -123,11 +124,35 @@ def test_bucket_refinement_classes():
     content = [s[p : p + 100].tobytes() for s in strings for p in range(len(s) - 99)]
     number = {}
     want = [number.setdefault(c, len(number)) for c in content]
-    got = byte_classes(data, length).tolist()
+    t = Texts(0, data, np.concatenate([[0], np.cumsum(length)]))
+    first = np.concatenate([np.arange(a, b - 99) for a, b in zip(t.offsets[:-1], t.offsets[1:], strict=True)])
+    got = byte_classes(t, first).tolist()
     number = {}
     assert [number.setdefault(c, len(number)) for c in got] == want
 
 
+def test_classes_that_mix_windows_are_told_apart():
+    """Windows are compared themselves, so a class that holds different ones removes nothing wrong."""
+    text = np.frombuffer((b"".join(b"%03d-" % k for k in range(30)) * 2)[:230], np.uint8)
+    t = Texts(0, text, np.array([0, 115, 230]))
+    same = BYTES._replace(classes=lambda t, first: np.zeros(len(first), np.int64))
+    key, lo = np.array([1, 2]), np.array([0, 0])
+    want = sorted(zip(*(x.tolist() for x in repeats.late_windows(t, key, lo, BYTES)), strict=True))
+    assert sorted(zip(*(x.tolist() for x in repeats.late_windows(t, key, lo, same)), strict=True)) == want
+
+
+def test_odd_keys(spark):
+    """Keys above 2**53 beside a null key, and keys that repeat with other texts, nulls and nothing."""
+    line = "".join(f"{k:05d} " for k in range(40))
+    big = spark.createDataFrame([(2**60, line), (2**60 + 1, line), (None, line)], "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in deduplicate_bytes(big).collect()}
+    assert found == {2**60: 0, 2**60 + 1: len(line), None: 0}
+    found = {r.doc_id: r.n_removed for r in deduplicate_words(big, batches=1, buckets=2).collect()}
+    assert found == {2**60: 0, 2**60 + 1: 40, None: 0}
+    twins = spark.createDataFrame([(1, line), (2, "short"), (2, "x " * 300 + line), (2, None), (2, ""), (3, line)], "doc_id long, text string")
+    assert deduplicate_bytes(twins).count() == deduplicate_words(twins, buckets=2).count() == 6
+
+
 @pytest.mark.parametrize("batches", [1, 3])
 def test_words_against_brute_force(spark, odd, nothing, batches):
     assert deduplicate_words(nothing, batches=batches).count() == 0
