@@ -183,7 +183,7 @@ def shingles(w: Words, n: int) -> Shingles:
         return Shingles(w.hash, w.offsets)
     acc = np.zeros(len(w.hash), dtype=U)
     for k in range(n):
-        acc[: len(acc) - k] += w.hash[k:] * _COMBINE[k]
+        acc[: max(len(acc) - k, 0)] += w.hash[k:] * _COMBINE[k]
     acc = mix(acc)
     own = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     starts = np.repeat(w.offsets[:-1], own) + ranges(own)

@@ -36,7 +36,7 @@ def word_symbols(t: Texts) -> Symbols:
     for h in (w.hash, second_hash(t, w)):
         gram = np.zeros(len(h), U)
         for k in range(GRAM):
-            gram[: len(gram) - k] += h[k:] * _WEIGHTS[k]
+            gram[: max(len(h) - k, 0)] += h[k:] * _WEIGHTS[k]
         grams.append(mix(gram))
     return Symbols(*grams, w.offsets)
 
@@ -52,7 +52,7 @@ def word_ids(t: Texts, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for h in (w.hash, second_hash(t, w)):
         window = np.zeros(len(h), U)
         for k in range(WINDOW):
-            window[: len(h) - k] += mix(h[k:] + U(k)) * _WEIGHTS[k % GRAM]
+            window[: max(len(h) - k, 0)] += mix(h[k:] + U(k)) * _WEIGHTS[k % GRAM]
         out.append(mix(window)[first])
     return out[0], out[1]
 

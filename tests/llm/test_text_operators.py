@@ -94,10 +94,12 @@ def test_contained_items(spark, odd, docs, nothing, monkeypatch, limit):
     """Broadcast and join give the same pairs as brute force, for short, empty and repeated items too."""
     monkeypatch.setattr("ragloom.llm.decontaminate.BROADCAST_SHINGLES", limit)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    some = spark.createDataFrame([(100, "a b c d e f g h"), (101, None), (102, ""), (103, "WORD"), (104, "same line here same line here"), (105, "a b c d e f g h")], "item_id long, text string")
+    some = spark.createDataFrame([(100, "a b c d e f g h"), (101, None), (102, ""), (103, "WORD"), (104, "same line here same line here"), (105, "a b c d e f g h"), (105, "WORD"), (None, "word"), (None, None)], "item_id long, text string")
     for d, q in ((docs, bench), (odd, some), (odd, bench), (nothing, bench), (odd, some.limit(0))):
         got = Counter((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in contained_items(d, q).collect())
         assert got == brute_contained([(r.doc_id, r.text) for r in d.collect()], [(r.item_id, r.text) for r in q.collect()])
+    assert {r.source for r in decontaminate(odd, some).collect()} == {"null text", "empty", "only space", "odd characters", "very long"}
+    assert decontaminate(nothing, bench).count() == 0 and decontaminate(odd, some.limit(0)).count() == odd.count()
     clean = decontaminate(docs, bench)
     assert clean.columns == docs.columns and contained_items(clean, bench).count() == 0
 
