@@ -1,106 +1,181 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
-Each rule is a boolean column "this text is bad".  A sample tells what each rule
-costs and how much it rejects; rules run in the order of rejections per cost, in
-one CASE chain that stops at the first rule that fires.
+Each rule is a boolean column "this text is bad" over measures of the text.  A
+sample tells what each rule costs, with the measures that it needs, and how much
+it rejects; rules run in the order of rejections per cost, and a measure is
+worked out only for texts that no earlier rule has rejected.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.session import stash
+from ragloom.session import stash, unstash
 
 #: Java regex of the white space between words.
 SPACE = r"[\x20\x09-\x0D]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Columns that a cascade adds for a while begin so.
+OWN = "_quality_"
+#: What quality() returns beside the columns of its input.
+RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
 class Rule(NamedTuple):
     name: str
+    needs: tuple[str, ...]
     bad: Column
 
 
-def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the base measures of a text; null counts as empty, so every count is 0.
+class Measure(NamedTuple):
+    needs: tuple[str, ...]
+    value: Column
+
+
+def _own(name: str) -> Column:
+    return F.col(OWN + name)
+
+
+def _repeats() -> Column:
+    """(hash, position) pairs in order, if any two windows are equal."""
+    windows = _own("windows")
+    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), pairs).otherwise(F.slice(pairs, 1, 0))
+
+
+def _repeat_words() -> Column:
+    pairs = _own("pairs")
+    twins = F.zip_with(pairs, F.slice(pairs, F.lit(2), F.greatest(F.size(pairs), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    covered = F.transform(F.flatten(F.filter(twins, lambda x: x.isNotNull())), lambda i: F.array(i, i + 1, i + 2))
+    return F.size(F.array_distinct(F.flatten(covered))).cast("long")
+
+
+def _measures() -> dict[str, Measure]:
+    """Measures of the column OWN + "text", each with those that it is made of.
 
     n_repeat_words looks for equal 3-word windows with a set of their hashes
     first; only a text that has some goes on to sort (hash, position) pairs.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = df.withColumn("_text", t).withColumn("_words", F.array_remove(F.split("_text", SPACE + "+"), ""))
-    d = d.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    d = d.withColumn("n_words", F.size("_words").cast("long"))
-    starts = F.slice("_words", F.lit(1), F.greatest(F.col("n_words").cast("int") - 2, F.lit(0)))
-    d = d.withColumn("_windows", F.transform(starts, lambda w, i: F.xxhash64(w, F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2))))
-    pairs = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    d = d.withColumn("_pairs", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), pairs).otherwise(F.slice(pairs, 1, 0)))
-    twins = F.zip_with("_pairs", F.slice("_pairs", F.lit(2), F.greatest(F.size("_pairs"), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    covered = F.transform(F.flatten(F.filter(twins, lambda x: x.isNotNull())), lambda i: F.array(i, i + 1, i + 2))
-    d = d.withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(covered))).cast("long"))
-    d = d.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
-    d = d.withColumn("n_symbols", F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long"))
-    d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return d.drop("_windows", "_pairs")
+    text, words, lines, n = _own("text"), _own("words"), _own("lines"), _own("n_words")
+    starts = F.slice(words, F.lit(1), F.greatest(n.cast("int") - 2, F.lit(0)))
+    return {
+        "words": Measure((), F.array_remove(F.split(text, SPACE + "+"), "")),
+        "lines": Measure((), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))),
+        "n_words": Measure(("words",), F.size(words).cast("long")),
+        "windows": Measure(("words", "n_words"), F.transform(starts, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))),
+        "pairs": Measure(("windows",), _repeats()),
+        "n_repeat_words": Measure(("pairs",), _repeat_words()),
+        "word_chars": Measure(("words",), F.length(F.array_join(words, "")).cast("long")),
+        "n_symbols": Measure((), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long")),
+        "n_lines": Measure(("lines",), F.size(lines)),
+        "n_dup_lines": Measure(("lines",), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")),
+        "bangs": Measure((), F.regexp_count(text, F.lit("!"))),
+        "capitals": Measure((), F.regexp_count(text, F.lit("[A-Z]"))),
+        "base_failed": Measure(("n_words", "n_repeat_words"), (n < MIN_WORDS) | (100 * _own("n_repeat_words") > MAX_REPEAT_PERCENT * n)),
+    }
 
 
 def default_rules() -> list[Rule]:
-    """Rules over with_measures() columns; all compare whole numbers, so any engine agrees."""
-    n, chars = F.col("n_words"), F.col("word_chars")
+    """Rules over whole numbers, so any engine agrees; the two halves of the base rule are rules of their own."""
+    n, chars, of = _own("n_words"), _own("word_chars"), _own
     return [
-        Rule("base", F.col("base_failed")),
-        Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
-        Rule("short_words", chars < 2 * n),
-        Rule("long_words", chars > 20 * n),
-        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.size("_lines")),
-        Rule("shouting", 2 * F.regexp_count("_text", F.lit("!")) > n),
-        Rule("capitals", 2 * F.regexp_count("_text", F.lit("[A-Z]")) > chars),
+        Rule("few_words", ("n_words",), n < MIN_WORDS),
+        Rule("repeats", ("n_words", "n_repeat_words"), 100 * of("n_repeat_words") > MAX_REPEAT_PERCENT * n),
+        Rule("symbols", ("n_words", "n_symbols"), 10 * of("n_symbols") > 3 * n),
+        Rule("short_words", ("n_words", "word_chars"), chars < 2 * n),
+        Rule("long_words", ("n_words", "word_chars"), chars > 20 * n),
+        Rule("duplicate_lines", ("n_lines", "n_dup_lines"), 2 * of("n_dup_lines") > of("n_lines")),
+        Rule("shouting", ("n_words", "bangs"), 2 * of("bangs") > n),
+        Rule("capitals", ("word_chars", "capitals"), 2 * of("capitals") > chars),
     ]
 
 
+def _with(df: DataFrame, names: Iterable[str], only: Column | None = None) -> DataFrame:
+    """Adds measures that df lacks, after those that they are made of; null where ``only`` does not hold."""
+    known = _measures()
+    for name in names:
+        if OWN + name not in df.columns:
+            df = _with(df, known[name].needs, only)
+            value = known[name].value
+            df = df.withColumn(OWN + name, value if only is None else F.when(only, value))
+    return df
+
+
+def _with_text(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn(OWN + "text", F.coalesce(F.col(text), F.lit("")))
+
+
+def cascade(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Adds OWN + "rejected", the first rule that fires, or null; a rule and its measures are worked out for what is left.
+
+    The row id at the end, always true, keeps the optimizer from copying the chain of rules into a later
+    filter on the verdict, where every use of a verdict would double it.
+    """
+    rejected = OWN + "rejected"
+    df = df.withColumn(rejected, F.lit(None).cast("string"))
+    for r in rules:
+        left = F.col(rejected).isNull()
+        df = _with(df, r.needs, left)
+        df = df.withColumn(rejected, F.when(left, F.when(r.bad, F.lit(r.name))).otherwise(F.col(rejected)))
+    return df.withColumn(rejected, F.when(F.monotonically_increasing_id() >= 0, F.col(rejected)))
+
+
 def order_rules(df: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 2000) -> list[Rule]:
-    """Rules by rejections per second on a sample of about ``sample_rows`` rows.
+    """Rules by rejections per second on a sample of about ``sample_rows`` raw texts.
 
-    The order never changes which rows are kept, only how soon a bad one is
-    left.  An empty sample leaves the rules as they are.
+    A rule is timed with all measures it needs, from the text on, less what a
+    job costs that looks at no text; the better of two runs counts.  The order
+    never changes which rows are kept, only how soon a bad one is left.  An
+    empty sample leaves the rules as they are.
     """
-    total = df.count()
+    total = df.count() if sample_rows else 0
     if not total:
         return list(rules)
-    few = df.select(text).sample(fraction=min(1.0, sample_rows / total), seed=11)
-    sample = stash(with_measures(few, text), "rule-sample")
-    seen = {}
+    sample = stash(_with_text(df.select(text).sample(fraction=min(1.0, sample_rows / total), seed=11), text).select(OWN + "text"), "rule-sample")
+
+    def run(needs: Iterable[str], bad: Column) -> tuple[int, float]:
+        counted, took = _with(sample, needs).agg(F.count_if(bad)), []
+        for _ in range(2):
+            began = time.perf_counter()
+            rejected = counted.first()[0]
+            took.append(time.perf_counter() - began)
+        return rejected, min(took)
+
+    idle = run((), F.octet_length(OWN + "text") < 0)[1]
+    rate = {}
     for r in rules:
-        began = time.perf_counter()
-        rejected = sample.agg(F.count_if(r.bad)).first()[0]
-        seen[r.name] = (rejected + 0.5) / (time.perf_counter() - began)
-    return sorted(rules, key=lambda r: -seen[r.name])
-
-
-def cascade(rules: Sequence[Rule]) -> Column:
-    """Name of the first rule that fires, null if none does."""
-    chain = F.when(rules[0].bad, F.lit(rules[0].name))
-    for r in rules[1:]:
-        chain = chain.when(r.bad, F.lit(r.name))
-    return chain
+        rejected, took = run(r.needs, r.bad)
+        rate[r.name] = (rejected + 0.5) / max(took - idle, 0.001)
+    unstash(sample)
+    return sorted(rules, key=lambda r: -rate[r.name])
 
 
 def quality(df: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
     """The rows of df with the base measures, base_failed and kept.
 
-    Works on any extra columns except those named like the measures, which are
-    replaced.  Every row comes back once; an empty table comes back empty.
+    The base measures are asked for, so they are worked out for every row; the
+    cascade saves what further rules need.  Every row comes back once, repeated
+    rows too; a null or empty text has zeros and fails the base rule; an empty
+    table comes back empty.  Columns of df stay, except that one named like a
+    result gives way to it, and names that begin with OWN are not allowed.
+    """
+    ordered = order_rules(df, list(rules or default_rules()), text, sample_rows)
+    taken = [c for c in df.columns if c not in RESULT]
+    # Every column travels under its own name only after the text is read, which may have a result's name.
+    d = cascade(_with(_with_text(df, text), RESULT[:-1]), ordered)
+    return d.select(*(F.col(f"`{c}`") for c in taken), *(_own(c).alias(c) for c in RESULT[:-1]), _own("rejected").isNull().alias("kept"))
+
+
+def good(df: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
+    """The rows of df that no rule rejects, with all their columns; each measure only for rows still in question.
+
+    Rows with null, empty or repeated texts are judged as quality() judges them.
     """
-    measured = with_measures(df, text)
     ordered = order_rules(df, list(rules or default_rules()), text, sample_rows)
-    # The row id, always true here, keeps the optimizer from copying the measures into a later filter on
-    # kept, where they would be computed anew for every use.
-    kept = cascade(ordered).isNull() & (F.monotonically_increasing_id() >= 0)
-    return measured.withColumn("kept", kept).drop("_text", "_words", "_lines")
+    return cascade(_with_text(df, text), ordered).where(_own("rejected").isNull()).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -8,11 +8,12 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ragloom.llm.bpe import Encoder, Vocabulary, bpe, compile_lexicon, map_lexicon
 from ragloom.llm.decontaminate import contained_items, decontaminate
 from ragloom.llm.lm import lm_scores
-from ragloom.llm.quality import default_rules, order_rules, quality
+from ragloom.llm.quality import cascade, default_rules, good, order_rules, quality
 from ragloom.llm.sharding import assign_shards
 from ragloom.llm.toxicity import toxicity
 from tests.llm.conftest import SF, split_words
@@ -34,7 +35,7 @@ def measures(text):
 
 def test_quality_measures(odd, docs):
     for df in (odd, docs):
-        for r in quality(df).collect():
+        for r in quality(df, sample_rows=0).collect():
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measures(r.text)
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
             assert not (r.base_failed and r.kept)
@@ -42,14 +43,28 @@ def test_quality_measures(odd, docs):
 
 def test_quality_keeps_columns_and_rows(odd, nothing):
     assert quality(odd).count() == odd.count()
-    assert set(odd.columns) <= set(quality(odd).columns)
+    assert set(odd.columns) <= set(quality(odd, sample_rows=0).columns)
     assert quality(nothing).count() == 0
 
 
+def test_quality_with_clashing_names(odd):
+    """A column named like a result gives way to it; the filter keeps every column as it was."""
+    plain = {(r.doc_id, r.n_words, r.kept) for r in quality(odd.select("doc_id", "text"), sample_rows=0).collect()}
+    clash = odd.selectExpr("doc_id", "text n_words", "'x' kept", "1 base_failed", "'y' `a.b`")
+    assert {(r.doc_id, r.n_words, r.kept) for r in quality(clash, text="n_words", sample_rows=0).collect()} == plain
+    left = good(clash, text="n_words", sample_rows=0).collect()
+    assert {r.doc_id for r in left} == {i for i, _, kept in plain if kept} and all(r.kept == "x" and r["a.b"] == "y" for r in left)
+
+
+def test_filter_equals_the_verdict(docs, nothing):
+    assert {r.doc_id for r in good(docs).collect()} == {r.doc_id for r in quality(docs, sample_rows=0).where("kept").collect()}
+    assert good(nothing).columns == nothing.columns and good(nothing).count() == 0
+
+
 def test_rule_order_does_not_change_the_verdict(docs):
     rules = default_rules()
     assert {r.name for r in order_rules(docs, rules)} == {r.name for r in rules}
-    kept = lambda rs: {(r.doc_id, r.kept) for r in quality(docs, rules=rs).collect()}
+    kept = lambda rs: {r.doc_id for r in cascade(docs.withColumn("_quality_text", F.coalesce("text", F.lit(""))), rs).where("_quality_rejected is null").collect()}
     assert kept(rules) == kept(rules[::-1])
 
 
