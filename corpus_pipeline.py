@@ -1,6 +1,8 @@
 """A training-data pipeline of five stages over ``documents``.
 
 Each stage takes what the one before kept, written as Parquet and read again.
+Every stage takes an empty table, and columns beyond those of ``documents``,
+which it leaves out.
 The last one has no SQL form, so neither has the whole; tests hold each stage
 against a plain version.
 """
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from ragloom.llm.bpe import bpe
 from ragloom.llm.decontaminate import decontaminate
 from ragloom.llm.neardup import drop_near_duplicates
-from ragloom.llm.quality import quality
+from ragloom.llm.quality import good
 from ragloom.llm.suffixes import deduplicate_bytes
 from ragloom.session import stash
 
@@ -21,28 +23,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return quality(docs).where("kept").select(*COLUMNS)
+    """Rejected documents go; null and empty texts are rejected, repeated rows are judged alike."""
+    return good(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id."""
+    """One document of each group stays, the one with the smallest id; texts without words, rows with a null id, and repeats of a row that stays all stay."""
     return drop_near_duplicates(docs, n=5, percent=80).select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated 100-byte strings go; a document of which nothing is left goes too."""
+    """Bytes of repeated 100-byte strings go, and a character that is cut; a document of which nothing is left goes too, as an empty one does."""
     cut = deduplicate_bytes(docs, keep_text=True, carry=["lang", "source"]).where("kept_text <> ''")
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each row by its own text; an empty benchmark takes none."""
     return decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
+    """Token ids of what is left, a row for each document; null and empty texts have none."""
     import public_tokenizers
 
     return bpe(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
