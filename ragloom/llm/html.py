@@ -33,6 +33,8 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 #: Elements that end an open element of their own kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select body html".split())
+#: Elements with a feature of their own; all others share one, so there are fewer than 200 features whatever the pages.
+NAMED = INLINE | ENDS_P | SCOPES | SIBLINGS.keys() | frozenset("#root head button caption center dialog figcaption label legend optgroup output search summary tbody tfoot thead".split())
 
 #: Words in tag, class, id or role that speak for boilerplate or for content.
 BOILERPLATE = frozenset(
@@ -167,7 +169,7 @@ def node_features(p: Page) -> list[tuple[str, ...]]:
         marks[node] += sum(map(t.count, ".,;:!?"))
     out = []
     for i, tag in enumerate(p.tags):
-        seen = [f"hint {p.hints[i]}", f"tag {tag}" if not p.hints[i] else "tag hinted"]
+        seen = [f"hint {p.hints[i]}", "tag hinted" if p.hints[i] else f"tag {tag}" if tag in NAMED else "tag other"]
         if size[i]:
             seen.append(f"length {min(size[i].bit_length(), 10)}")
             seen.append(f"links {min(4, 4 * p.links[i] // size[i])}")
@@ -247,8 +249,8 @@ def fit(table: Counter) -> Model:
 def train(pages: DataFrame, column: str = "html", labels=semantic_labels) -> Model:
     """Count features by label, and labels by parent label, over all labelled pages.
 
-    ``labels`` gives a parsed page's labels, None where unknown.  What tasks
-    return is bounded by the number of features, not of pages.
+    ``labels`` gives a parsed page's labels, None where unknown.  All pages and
+    all features count; what tasks return is bounded by the number of features.
     """
     schema = pa.schema([("name", pa.string()), ("label", pa.int32()), ("n", pa.int64())])
 
@@ -260,10 +262,8 @@ def train(pages: DataFrame, column: str = "html", labels=semantic_labels) -> Mod
         keys = list(seen)
         yield batch(schema, [k[0] for k in keys], [k[1] for k in keys], [seen[k] for k in keys])
 
-    # Tags are free text, so only common ones come back: there are at most 1000 features.
-    rows = pages.select(column).mapInArrow(tidy(count), "name string, label int, n long").groupBy("name").pivot("label", [0, 1]).agg(F.sum("n"))
-    rows = rows.na.fill(0).orderBy(F.desc(F.col("0") + F.col("1")), "name").limit(1000).collect()
-    return fit(Counter({(r["name"], k): r[str(k)] for r in rows for k in (0, 1)}))
+    rows = pages.select(column).mapInArrow(tidy(count), "name string, label int, n long").groupBy("name", "label").agg(F.sum("n").alias("n"))
+    return fit(Counter({(r["name"], r["label"]): r["n"] for r in rows.collect()}))
 
 
 def marginals(p: Page, m: Model) -> list[float]:
