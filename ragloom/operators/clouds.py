@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import md5_number, md5_unit
+from ragloom.session import stash
 
 AXES = ("x", "y", "z")
 
@@ -139,19 +139,23 @@ def split_near(df: DataFrame, view: tuple[float, float, float], k: int) -> DataF
 
 
 def farthest_points(df: DataFrame, n: int) -> DataFrame:
-    """(cloud_id, place, point_id): farthest-point sampling from the smallest id; one group per cloud, clouds are tasks' units."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id")
-        p, ids = pdf[list(AXES)].to_numpy(), pdf["point_id"].to_numpy()
-        left = np.full(len(p), np.inf)
-        chosen = [0]
-        for _ in range(min(n, len(p)) - 1):
-            left = np.minimum(left, ((p - p[chosen[-1]]) ** 2).sum(axis=1))
-            chosen.append(int(left.argmax()))
-        return pd.DataFrame({"cloud_id": pdf["cloud_id"].iloc[0], "place": np.arange(len(chosen)), "point_id": ids[chosen]})
-
-    return df.select("cloud_id", "point_id", *AXES).groupBy("cloud_id").applyInPandas(run, "cloud_id long, place long, point_id long")
+    """(cloud_id, place, point_id): farthest-point sampling from the smallest id, ties to the smaller id.
+
+    Each round every point meets the few chosen ones of its cloud, and one
+    aggregate that combines before the shuffle finds the farthest: a cloud of
+    any size is spread over all tasks, and only chosen points are written.
+    """
+    points = df.select("cloud_id", F.struct("point_id", *AXES).alias("p"))
+    chosen = points.groupBy("cloud_id").agg(F.array(F.min_by("p", "p.point_id")).alias("chosen"))
+    for _ in range(n - 1):
+        apart = lambda c: sum(((F.col(f"p.{x}") - c[x]) * (F.col(f"p.{x}") - c[x]) for x in AXES), F.lit(0.0))
+        left = points.join(chosen, "cloud_id").where(~F.exists("chosen", lambda c: c["point_id"] == F.col("p.point_id")))
+        left = left.withColumn("d2", F.array_min(F.transform("chosen", apart)))
+        best = left.groupBy("cloud_id").agg(F.max_by("p", F.struct("d2", -F.col("p.point_id"))).alias("best"))
+        longer = F.when(F.col("best").isNull(), F.col("chosen")).otherwise(F.concat("chosen", F.array("best")))
+        chosen = stash(chosen.join(best, "cloud_id", "left").select("cloud_id", longer.alias("chosen")), "chosen-points")
+    places = chosen.select("cloud_id", F.posexplode("chosen").alias("place", "p"))
+    return places.select("cloud_id", F.col("place").cast("long").alias("place"), "p.point_id")
 
 
 def neighbours(q: DataFrame, s: DataFrame, k: int, farthest: bool = False) -> DataFrame:

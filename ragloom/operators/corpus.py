@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.functions.text import has_term, is_corpus_row, md5_number, n_words, norm_ws
+from ragloom.functions.text import is_corpus_row, md5_number, n_words, norm_ws
 
 #: Attribute vocabularies, matched as substrings.
 ATTRIBUTES = {
-    "colors": "red blue green yellow orange purple pink black white gray grey brown beige cream navy maroon gold silver bronze copper".split(),
-    "materials": "wood wooden oak pine mahogany teak walnut metal steel iron aluminum brass copper plastic acrylic glass leather fabric cotton velvet silk linen marble stone ceramic bamboo rattan wicker upholstered".split(),
-    "styles": "modern,contemporary,vintage,antique,traditional,minimalist,industrial,scandinavian,mid-century,rustic,shabby chic,art deco,victorian,baroque,colonial,country,urban,zen,bohemian,eclectic".split(","),
-    "functions": "storage seating sleeping dining working reading display lighting decorative entertainment organization".split(),
-    "shapes": "round square rectangular oval circular linear curved straight angular geometric organic".split(),
-    "sizes": "small medium large compact oversized miniature full-size queen king twin single double".split(),
+    "colors": ["red", "blue", "green", "yellow", "orange", "purple", "pink", "black", "white", "gray", "grey", "brown", "beige", "cream", "navy", "maroon", "gold", "silver", "bronze", "copper"],
+    "materials": ["wood", "wooden", "oak", "pine", "mahogany", "teak", "walnut", "metal", "steel", "iron", "aluminum", "brass", "copper", "plastic", "acrylic", "glass", "leather", "fabric", "cotton", "velvet", "silk", "linen", "marble", "stone", "ceramic", "bamboo", "rattan", "wicker", "upholstered"],
+    "styles": ["modern", "contemporary", "vintage", "antique", "traditional", "minimalist", "industrial", "scandinavian", "mid-century", "rustic", "shabby chic", "art deco", "victorian", "baroque", "colonial", "country", "urban", "zen", "bohemian", "eclectic"],
+    "functions": ["storage", "seating", "sleeping", "dining", "working", "reading", "display", "lighting", "decorative", "entertainment", "organization"],
+    "shapes": ["round", "square", "rectangular", "oval", "circular", "linear", "curved", "straight", "angular", "geometric", "organic"],
+    "sizes": ["small", "medium", "large", "compact", "oversized", "miniature", "full-size", "queen", "king", "twin", "single", "double"],
 }
 #: The smaller vocabularies, matched at word boundaries.
 BOUNDARY_ATTRIBUTES = {
     "colors": ATTRIBUTES["colors"],
-    "materials": "wood wooden oak pine mahogany metal steel iron aluminum plastic acrylic glass leather fabric cotton velvet marble stone upholstered".split(),
-    "styles": "modern,contemporary,vintage,antique,traditional,minimalist,industrial,scandinavian,mid-century,rustic,art deco,bohemian".split(","),
+    "materials": ["wood", "wooden", "oak", "pine", "mahogany", "metal", "steel", "iron", "aluminum", "plastic", "acrylic", "glass", "leather", "fabric", "cotton", "velvet", "marble", "stone", "upholstered"],
+    "styles": ["modern", "contemporary", "vintage", "antique", "traditional", "minimalist", "industrial", "scandinavian", "mid-century", "rustic", "art deco", "bohemian"],
     "shapes": ATTRIBUTES["shapes"],
 }
 #: Categories, settings and sentence templates.
-CATEGORIES = "chair,table,sofa,bed,cabinet,shelf,lamp,desk,stool,bench,dresser,wardrobe,bookshelf,coffee table,dining table,armchair,nightstand".split(",")
+CATEGORIES = ["chair", "table", "sofa", "bed", "cabinet", "shelf", "lamp", "desk", "stool", "bench", "dresser", "wardrobe", "bookshelf", "coffee table", "dining table", "armchair", "nightstand"]
 SETTINGS = ["living room", "dining room", "bedroom", "office", "study"]
 TEMPLATES = [
     "This {category} features a {style} design with {material} construction and {color} finish.",
@@ -77,19 +79,41 @@ def terms(spark: SparkSession, vocab: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, own in vocab.items() for v in own], "type string, term string")
 
 
+def _terms_of(found: Column, own: list[str]) -> Column:
+    return F.array_intersect(F.array(*map(F.lit, sorted(set(own)))), found)
+
+
+def _held_terms(docs: DataFrame, vocab: dict[str, list[str]], text: str, boundary: bool) -> DataFrame:
+    """Adds _found, the vocabulary's terms that each text holds; the lower-cased text is made once.
+
+    With boundary, a text's distinct words are made once and meet all one-word
+    terms, with or without a final s, in one set operation; only terms of
+    several words are searched for.
+    """
+    every = sorted({x for own in vocab.values() for x in own})
+    d = docs.withColumn("_low", F.lower(text))
+    hits = lambda terms, test: F.array_compact(F.array(*[F.when(test(x), F.lit(x)) for x in terms])) if terms else F.array().cast("array<string>")
+    if not boundary:
+        return d.withColumn("_found", hits(every, lambda x: F.col("_low").contains(x))).drop("_low")
+    plain = [x for x in every if x.isascii() and x.isalnum()]
+    wide = [x for x in every if x not in plain]
+    d = d.withColumn("_words", F.array_distinct(F.split("_low", "[^A-Za-z0-9_]+")))
+    singular = F.transform(F.filter("_words", lambda w: w.endswith("s")), lambda w: F.substring(w, 1, F.length(w) - 1))
+    vocabulary = F.array(*map(F.lit, plain))
+    one = F.array_union(F.array_intersect(vocabulary, F.col("_words")), F.array_intersect(vocabulary, singular))
+    search = lambda x: F.col("_low").contains(x) & F.regexp_like("_low", F.lit(f"(?:^|[^A-Za-z0-9_]){re.escape(x)}s?(?:[^A-Za-z0-9_]|$)"))
+    return d.withColumn("_found", F.concat(one, hits(wide, search))).drop("_low", "_words")
+
+
 def attributes(docs: DataFrame, vocab: dict[str, list[str]], key: str = "doc_id", text: str = "text", boundary: bool = False) -> DataFrame:
     """(key, type, values): attribute terms of each text, sorted; types without a hit are absent.
 
     The vocabulary is a list of constants, so each text is matched where it
     lies, without a join or a shuffle.
     """
-    low = F.lower(text)
-    found = []
-    for kind, own in vocab.items():
-        test = (lambda x: has_term(F.col(text), F.lit(x), plural=True)) if boundary else (lambda x: low.contains(x))
-        hits = F.array_compact(F.array(*[F.when(test(x), F.lit(x)) for x in sorted(set(own))]))
-        found.append(F.struct(F.lit(kind).alias("type"), hits.alias("values")))
-    rows = docs.select(key, F.explode(F.array(*found)).alias("a"))
+    d = _held_terms(docs.select(key, text), vocab, text, boundary).where(F.size("_found") > 0)
+    found = [F.struct(F.lit(kind).alias("type"), _terms_of(F.col("_found"), own).alias("values")) for kind, own in vocab.items()]
+    rows = d.select(key, F.explode(F.array(*found)).alias("a"))
     return rows.select(key, "a.type", "a.values").where(F.size("values") > 0)
 
 
@@ -105,12 +129,10 @@ def quality_score(confidence: Column, n_attributes: Column, words: Column, sourc
 
 def scored(docs: DataFrame, vocab: dict[str, list[str]] = ATTRIBUTES) -> DataFrame:
     """Adds n_attributes and score to (doc_id, text, source, confidence, ...); one pass, nothing shuffled."""
-    low = F.lower("text")
     n = F.lit(0)
     for own in vocab.values():
-        for x in sorted(set(own)):
-            n = n + low.contains(x).cast("int")
-    d = docs.withColumn("n_attributes", n.cast("long"))
+        n = n + F.size(_terms_of(F.col("_found"), own))
+    d = _held_terms(docs, vocab, "text", False).withColumn("n_attributes", n.cast("long")).drop("_found")
     return d.withColumn("score", quality_score(F.col("confidence"), F.col("n_attributes"), n_words(F.col("text")), F.col("source")))
 
 

@@ -32,13 +32,19 @@ def _matrix(keys: pa.Array, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return k, values.to_numpy(zero_copy_only=False).reshape(len(k), -1)
 
 
-def block_products(q: DataFrame, d: DataFrame, q_key: str, q_vec: str, d_key: str, d_vec: str, k: int | None = None, least: float | None = None, exclude_self: bool = False) -> DataFrame:
+def block_products(q: DataFrame, d: DataFrame, q_key: str, q_vec: str, d_key: str, d_vec: str, k: int | None = None, least: float | None = None, exclude_self: bool = False, once: bool = False) -> DataFrame:
     """(q, d, sim): inner products of two vector tables, rounded to 9 places.
 
     Blocks of q meet blocks of d; what leaves a task is the k best of each query
-    in a block, or what reaches ``least``, or all.
+    in a block, or what reaches ``least``, or all.  All pairs of vectors are
+    worked out, so the work grows with the product of both tables; beyond that,
+    ``nearest_by_hash`` is the way.  ``once``: q and d are one table, and each
+    two blocks meet in one order only, so a pair of vectors comes in one order.
     """
-    pairs = blocks(q, q_key, q_vec).select(F.col("keys").alias("qk"), F.col("values").alias("qv")).crossJoin(blocks(d, d_key, d_vec).select("keys", "values"))
+    left = blocks(q, q_key, q_vec).select(F.col("block").alias("qb"), F.col("keys").alias("qk"), F.col("values").alias("qv"))
+    right = blocks(d, d_key, d_vec)
+    pairs = left.join(right, F.col("qb") <= F.col("block")) if once else left.crossJoin(right)
+    pairs = pairs.select("qk", "qv", "keys", "values")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -48,6 +54,8 @@ def block_products(q: DataFrame, d: DataFrame, q_key: str, q_vec: str, d_key: st
                 s = np.round(qv @ dv.T, 9)
                 if exclude_self:
                     s[qk[:, None] == dk[None, :]] = -np.inf
+                if once and np.array_equal(qk, dk):
+                    s[qk[:, None] >= dk[None, :]] = -np.inf
                 if k is not None and k < len(dk):
                     order = np.argsort(dk, kind="stable")
                     dk, s = dk[order], s[:, order]
@@ -73,9 +81,10 @@ def top_k(q: DataFrame, d: DataFrame, k: int, q_key: str = "q", q_vec: str = "qv
 def similar_pairs(df: DataFrame, least: float, key: str = "id", vector: str = "v", strict: bool = True) -> DataFrame:
     """(i, j, sim) with i < j of cosine above (or, not strict, at least) a threshold."""
     unit = df.select(key, V.l2_normalize(F.col(vector)).alias("u"))
-    p = block_products(unit, unit, key, "u", key, "u", least=least)
-    p = p.where("q < d" + (f" and sim > {least}" if strict else ""))
-    return p.select(F.col("q").alias("i"), F.col("d").alias("j"), "sim")
+    p = block_products(unit, unit, key, "u", key, "u", least=least, once=True)
+    if strict:
+        p = p.where(F.col("sim") > least)
+    return p.select(F.least("q", "d").alias("i"), F.greatest("q", "d").alias("j"), "sim").where("i < j")
 
 
 def mean_vectors(df: DataFrame, group: str, vector: str, weight: str | None = None, unit: bool = False) -> DataFrame:
@@ -87,10 +96,16 @@ def mean_vectors(df: DataFrame, group: str, vector: str, weight: str | None = No
     return out.withColumn("v", V.l2_normalize(F.col("v"))) if unit else out
 
 
-def nearest_by_hash(df: DataFrame, distance: float, key: str = "id", vector: str = "v") -> DataFrame:
-    """(i, j, distance) within a distance, by random projections: approximate, for tables too large for blocks."""
+def nearest_by_hash(df: DataFrame, distance: float, key: str = "id", vector: str = "v", tables: int = 8) -> DataFrame:
+    """(i, j, distance) of unit vectors within a distance, by random projections: approximate, for tables too large for blocks.
+
+    Projected on a random direction, two vectors at that distance lie about
+    distance / sqrt(dimensions) apart; buckets twice as wide hold six of ten
+    such pairs in one table, and 0.999 of them in one of eight.
+    """
     rows = df.select(key, array_to_vector(F.col(vector)).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=2.0, numHashTables=8, seed=7).fit(rows)
+    dimensions = df.select(F.max(F.size(vector))).first()[0] or 1
+    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=2 * distance / dimensions**0.5, numHashTables=tables, seed=7).fit(rows)
     p = lsh.approxSimilarityJoin(rows, rows, distance, distCol="distance")
     return p.select(F.col(f"datasetA.{key}").alias("i"), F.col(f"datasetB.{key}").alias("j"), "distance").where("i < j")
 

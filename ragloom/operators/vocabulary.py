@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import tokens
+from ragloom.session import stash
 
 
 def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, idx): distinct lower-case words numbered from 1 in order.
 
-    The sort ranges the words over partitions, and zipWithIndex shifts each by
-    the counts of those before, so no task sees the whole vocabulary.
+    The sort deals ranges of words out to partitions; each word is numbered in
+    its range and moved on by the counts of the ranges before, so no task sees
+    the whole vocabulary.  Ranges are written once, so that both uses agree.
     """
-    words = df.select(F.explode(tokens(F.lower(text))).alias("word")).distinct().sort("word")
-    return words.rdd.zipWithIndex().map(lambda r: (r[0].word, r[1] + 1)).toDF("word string, idx long")
+    words = df.select(F.explode(tokens(F.lower(text))).alias("word")).distinct().repartitionByRange("word")
+    words = stash(words.withColumn("range", F.spark_partition_id()), "vocabulary")
+    counts = words.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("word"))
+    return words.withColumn("place", inside).join(counts.select("range", before.alias("first")), "range").select("word", (F.col("place") + F.col("first")).alias("idx"))
 
 
 def encode(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:

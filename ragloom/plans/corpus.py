@@ -168,10 +168,10 @@ def quality_score(t):
     return C.scored(corpus(t)).select("doc_id", "n_attributes", F.round("score", 6).alias("score"))
 
 
-@query("quality_filter", f"WITH {CORPUS}, s AS (SELECT *, round(({SCORE})::DOUBLE, 6) AS score FROM corpus) SELECT doc_id, score AS confidence FROM s WHERE score >= 0.7")
+@query("quality_filter", f"WITH {CORPUS}, s AS (SELECT *, round(({SCORE})::DOUBLE, 6) AS score FROM corpus) SELECT doc_id, score AS confidence FROM s WHERE score >= 0.5")
 def quality_filter(t):
     s = C.scored(corpus(t)).withColumn("confidence", F.round("score", 6))
-    return s.where("confidence >= 0.7").select("doc_id", "confidence")
+    return s.where("confidence >= 0.5").select("doc_id", "confidence")
 
 
 BUILD = f"""{CORPUS}, clean AS (SELECT doc_id, {nws('text')} AS text, category, source, confidence FROM corpus),

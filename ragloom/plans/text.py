@@ -179,11 +179,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM s
 SELECT doc_id, pos::BIGINT AS pos, text FROM r WHERE n <= 3 AND len(string_split(text, ' ')) >= 10""",
 )
 def paragraph_top3(t):
-    p = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    p = p.where((X.n_words(F.col("raw")) >= 5) & X.contains_any(F.col("raw"), ["the", "que"]))
-    p = p.withColumn("text", X.clean_paragraph(F.col("raw"))).where("text <> ''")
-    p = p.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where("n <= 3")
-    return p.where(X.n_words(F.col("text")) >= 10).select("doc_id", F.col("pos").cast("long").alias("pos"), "text")
+    """The first three of a text's paragraphs that pass, picked inside its array: nothing is shuffled."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("raw")))
+    fit = F.filter(lines, lambda x: (X.n_words(x["raw"]) >= 5) & X.contains_any(x["raw"], ["the", "que"]))
+    clean = F.transform(fit, lambda x: F.struct(x["pos"].alias("pos"), X.clean_paragraph(x["raw"]).alias("text")))
+    top = F.slice(F.filter(clean, lambda x: x["text"] != ""), 1, 3)
+    p = t.documents.select("doc_id", F.explode(top).alias("p")).select("doc_id", "p.pos", "p.text")
+    return p.where(X.n_words(F.col("text")) >= 10)
 
 
 @query(
@@ -194,10 +196,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS n F
 SELECT doc_id, pos::BIGINT AS pos, line FROM r WHERE n <= 9""",
 )
 def clean_generated_lines(t):
-    p = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    p = p.withColumn("line", F.trim(F.regexp_replace("raw", r"^[-0-9. \t\r\f]+", ""))).where(F.length("line").between(24, 220))
-    p = p.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("pos")))).where("n <= 9")
-    return p.select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+    """The last nine of a text's lines of fitting length, picked inside its array."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.cast("long").alias("pos"), F.trim(F.regexp_replace(x, r"^[-0-9. \t\r\f]+", "")).alias("line")))
+    fit = F.filter(lines, lambda x: F.length(x["line"]).between(24, 220))
+    last = F.slice(fit, F.greatest(F.size(fit) - 8, F.lit(1)), F.lit(9))
+    return t.documents.select("doc_id", F.explode(last).alias("p")).select("doc_id", "p.pos", "p.line")
 
 
 @query("html_unescape")

@@ -222,7 +222,7 @@ def dedup_sem_top5(t):
     d = _confident(t)
     unit_ = d.select("id", V.l2_normalize(F.col("v")).alias("u"))
     near = O.top_k(unit_, unit_, 4, "id", "u", "id", "u", exclude_self=True).where("sim > 0.9")
-    return D.drop_in_turn(d, near.select(F.col("q").alias("i"), F.col("d").alias("j"), "rank"), directed=True).select("id", "confidence")
+    return D.drop_in_turn(d, near.select(F.col("q").alias("i"), F.col("d").alias("j"), "rank")).select("id", "confidence")
 
 
 @query("dedup_sem_greedy")
@@ -258,8 +258,19 @@ def _ranked(t):
     return K.ranked(K.similarities(*queries_and_items(t)))
 
 
-def _labelled(t):
-    return K.hits(_ranked(t), F.col("q_label") == F.col("d_label"))
+def _labelled(t, k: int):
+    """The k nearest items of each query with hit, and how many items are relevant to it, counted by label: no query sorts all items."""
+    q, d = queries_and_items(t)
+    top = O.top_k(q, d, k).join(q.select("q", "q_label"), "q").join(d.select("d", "d_label"), "d")
+    relevant = d.groupBy(F.col("d_label").alias("q_label")).agg(F.count(F.lit(1)).alias("relevant"))
+    return top.withColumn("hit", (F.col("q_label") == F.col("d_label")).cast("int")).join(relevant, "q_label", "left").na.fill(0, ["relevant"])
+
+
+def _first(t, hit):
+    """(q, rr) of every query: one over the rank of its first hit, 0 without one."""
+    q, d = queries_and_items(t)
+    found = K.first_ranks(K.similarities(q, d), hit)
+    return q.select("q").join(found, "q", "left").select("q", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("rr"))
 
 
 @query("rank_full", f"WITH {RETR} SELECT q, d, rank FROM ranked")
@@ -275,7 +286,7 @@ m AS (SELECT k, avg(n / k) AS precision, avg(CASE WHEN rel > 0 THEN n / rel ELSE
 for _name, _metric in (("precision_at_k", "precision"), ("recall_at_k", "recall"), ("rr_at_k", "rr"), ("ndcg_at_k", "ndcg")):
 
     def _at(t, metric=_metric):
-        return K.at_k(_labelled(t), 5).select("k", F.round(metric, 6).alias(metric))
+        return K.at_k(_labelled(t, 5), 5).select("k", F.round(metric, 6).alias(metric))
 
     query(_name, f"{AT} SELECT k, round({_metric}, 6)::DOUBLE AS {_metric} FROM m")(_at)
 
@@ -290,17 +301,16 @@ def mrr_full(t):
 
 @query("mrr_zero", f"{FIRST} SELECT round(avg(CASE WHEN q % 5 = 0 THEN 0 ELSE coalesce(1.0 / first, 0) END), 6) AS mrr FROM f")
 def mrr_zero(t):
-    h = K.hits(_ranked(t), (F.col("q_label") == F.col("d_label")) & (F.col("q") % 5 != 0))
-    return K.reciprocal_rank(h).agg(F.round(F.avg("rr"), 6).alias("mrr"))
+    return _first(t, (F.col("q_label") == F.col("d_label")) & (F.col("q") % 5 != 0)).agg(F.round(F.avg("rr"), 6).alias("mrr"))
 
 
 NEAREST = f"WITH {RETR}, g AS (SELECT q, any_value(q_label) AS category, string_agg(d::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 5) AS nearest, 1.0 / min(rank) FILTER (d = q - 1) AS rr, string_agg(printf('%.6f', sim), ',' ORDER BY rank) FILTER (rank <= 5) AS distances FROM ranked GROUP BY q)"
 
 
 def _nearest(t):
-    r = _ranked(t)
-    five = F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "d", "sim"))))
-    g = r.groupBy("q").agg(F.max("q_label").alias("category"), five.alias("five"), (1.0 / F.min(F.when(F.col("d") == F.col("q") - 1, F.col("rank")))).alias("rr"))
+    q, d = queries_and_items(t)
+    five = O.top_k(q, d, 5).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "d", "sim"))).alias("five"))
+    g = q.select("q", F.col("q_label").alias("category")).join(five, "q").join(K.first_ranks(K.similarities(q, d), F.col("d") == F.col("q") - 1), "q", "left").withColumn("rr", 1.0 / F.col("rank"))
     return g.select(
         "q",
         "category",
@@ -315,7 +325,7 @@ def nearest_info(t):
     return _nearest(t).drop("distances")
 
 
-@query("nearest_report", f"{NEAREST} SELECT q AS cat_id, q - 1 AS groundtruth, nearest AS retrieved_models FROM g")
+@query("nearest_report", f"{NEAREST} SELECT q AS cat_id, q - 1 AS groundtruth, nearest AS retrieved_models, distances FROM g")
 def nearest_report(t):
     """Written as JSON lines and read back."""
     import uuid
@@ -326,14 +336,14 @@ def nearest_report(t):
     n = _nearest(t).select(F.col("q").alias("cat_id"), (F.col("q") - 1).alias("groundtruth"), F.split("nearest", ",").alias("retrieved_models"), F.split("distances", ",").cast("array<double>").alias("distance"))
     n.write.json(path)
     back = t.spark.read.schema("cat_id long, groundtruth long, retrieved_models array<string>, distance array<double>").json(path)
-    return back.select("cat_id", "groundtruth", F.array_join("retrieved_models", ",").alias("retrieved_models"))
+    distances = F.array_join(F.transform("distance", lambda x: F.format_string("%.6f", x)), ",")
+    return back.select("cat_id", "groundtruth", F.array_join("retrieved_models", ",").alias("retrieved_models"), distances.alias("distances"))
 
 
 @query("retrieval_summary", f"{AT}, f AS (SELECT q, min(rank) FILTER (q_label = d_label) AS first FROM ranked GROUP BY q) SELECT round(100 * (SELECT rr FROM m WHERE k = 1), 2)::DOUBLE AS rr1, round(100 * (SELECT rr FROM m WHERE k = 5), 2)::DOUBLE AS rr5, round(100 * (SELECT ndcg FROM m WHERE k = 5), 2)::DOUBLE AS ndcg5, round(100 * (SELECT avg(coalesce(1.0 / first, 0)) FROM f), 2)::DOUBLE AS mrr")
 def retrieval_summary(t):
-    h = _labelled(t)
-    a = K.at_k(h, 5).agg(*[F.round(100 * F.max(F.when(F.col("k") == k, F.col(c))), 2).alias(f"{c}{k}") for c, k in (("rr", 1), ("rr", 5), ("ndcg", 5))])
-    return a.crossJoin(K.reciprocal_rank(h).agg(F.round(100 * F.avg("rr"), 2).alias("mrr")))
+    a = K.at_k(_labelled(t, 5), 5).agg(*[F.round(100 * F.max(F.when(F.col("k") == k, F.col(c))), 2).alias(f"{c}{k}") for c, k in (("rr", 1), ("rr", 5), ("ndcg", 5))])
+    return a.crossJoin(_first(t, F.col("q_label") == F.col("d_label")).agg(F.round(100 * F.avg("rr"), 2).alias("mrr")))
 
 
 GRADED = f"""WITH {RETR}, g AS (SELECT q, d, rank, CASE WHEN d = q - 1 THEN 2 WHEN q_label = d_label THEN 1 ELSE 0 END AS rel FROM ranked),
@@ -341,9 +351,12 @@ o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rel DESC, d) AS ideal
 SELECT q, round(CASE WHEN sum(rel) > 0 THEN sum(CASE WHEN rank <= 10 THEN (2 ** rel - 1) / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN (2 ** rel - 1) / log2(ideal + 1) ELSE 0 END) ELSE 0 END, 6) AS ndcg FROM o GROUP BY q"""
 
 
+def _with_grades(r):
+    return r.withColumn("rel", F.when(F.col("d") == F.col("q") - 1, 2).when(F.col("q_label") == F.col("d_label"), 1).otherwise(0))
+
+
 def _graded(t):
-    rel = F.when(F.col("d") == F.col("q") - 1, 2).when(F.col("q_label") == F.col("d_label"), 1).otherwise(0)
-    return _ranked(t).withColumn("rel", rel)
+    return _with_grades(_ranked(t))
 
 
 @query("ndcg_graded", GRADED)
@@ -353,7 +366,9 @@ def ndcg_graded(t):
 
 @query("ndcg_lists", f"WITH {RETR}, g AS (SELECT q, list(CASE WHEN d = q - 1 THEN 2 WHEN q_label = d_label THEN 1 ELSE 0 END ORDER BY rank) AS rels FROM ranked WHERE rank <= 20 GROUP BY q), i AS (SELECT q, rels, list_reverse_sort(rels) AS ideal FROM g) SELECT q, round(CASE WHEN list_sum(rels) > 0 THEN list_sum(list_transform(range(1, 21), lambda k: (2 ** rels[k] - 1) / log2(k + 1))) / list_sum(list_transform(range(1, 21), lambda k: (2 ** ideal[k] - 1) / log2(k + 1))) ELSE 0 END, 6) AS ndcg FROM i")
 def ndcg_lists(t):
-    g = _graded(t).where("rank <= 20").groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "rel"))), lambda s: s["rel"]).alias("rels"))
+    q, d = queries_and_items(t)
+    top = _with_grades(O.top_k(q, d, 20).join(q.select("q", "q_label"), "q").join(d.select("d", "d_label"), "d"))
+    g = top.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "rel"))), lambda s: s["rel"]).alias("rels"))
     gain = lambda a: F.aggregate(F.transform(a, lambda x, i: (F.pow(F.lit(2.0), x) - 1) / F.log2(i + F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
     best = gain(F.sort_array("rels", asc=False))
     return g.select("q", F.round(F.when(best > 0, gain(F.col("rels")) / best).otherwise(0.0), 6).alias("ndcg"))

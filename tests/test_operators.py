@@ -32,24 +32,15 @@ def test_text_functions(spark):
     assert one(spark, X.html_unescape(F.lit(page))) == html.unescape(html.unescape(page)).strip().lower()
 
 
-def replay(rows, pairs):
-    """The sequential rule: a row that is still there drops each later partner of lower or equal confidence, or itself."""
-    gone = set()
-    near = {}
-    for i, j in sorted(pairs):
-        near.setdefault(i, []).append(j)
-    for i in sorted(near):
-        if i in gone:
-            continue
-        for j in near[i]:
-            if j in gone:
-                continue
-            if rows[i] >= rows[j]:
-                gone.add(j)
-            else:
-                gone.add(i)
-                break
-    return set(rows) - gone
+def replay(confidence, pairs):
+    """Every row takes its turn on what is still there."""
+    left = set(confidence)
+    for row in sorted(confidence):
+        partners = [j for i, j in pairs if i == row and j in left]
+        higher = [confidence[j] > confidence[row] for j in partners]
+        if row in left:
+            left -= set(partners[: higher.index(True)] + [row] if any(higher) else partners)
+    return left
 
 
 def greedy(n, pairs):
