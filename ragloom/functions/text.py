@@ -72,6 +72,12 @@ def word_jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
 
 
+def word_vector(c: Column, size: int = 64) -> Column:
+    """How many words of a text fall into each of some classes, by their hash: a plain stand-in for a text embedding."""
+    classes = F.transform(tokens(F.lower(c)), lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(classes, lambda x: x == i)).cast("double"))
+
+
 def one_hot(c: Column, classes: list[str]) -> Column:
     """1 at the value's class, or at the last class if it is unknown."""
     known = F.when(c.isin(classes), c).otherwise(F.lit(classes[-1]))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.functions.text import is_corpus_row, md5_number, n_words, norm_ws
+from ragloom.functions.text import is_corpus_row, md5_number, n_words, norm_ws, word_vector
 
 #: Attribute vocabularies, matched as substrings.
 ATTRIBUTES = {
@@ -136,12 +136,24 @@ def scored(docs: DataFrame, vocab: dict[str, list[str]] = ATTRIBUTES) -> DataFra
     return d.withColumn("score", quality_score(F.col("confidence"), F.col("n_attributes"), n_words(F.col("text")), F.col("source")))
 
 
-def build_corpus(rows: DataFrame, categories: list[str], vocab: dict[str, list[str]] = ATTRIBUTES, least: float = 0.5) -> DataFrame:
-    """Normalise, filter, keep the most confident of equal texts, score, and keep good rows with the score as confidence."""
-    from ragloom.operators.dedup import keep_best
+def build_corpus(rows: DataFrame, categories: list[str], vocab: dict[str, list[str]] = ATTRIBUTES, least: float = 0.5, similar: float | None = None, above: int = 1000, vector: Column | None = None) -> DataFrame:
+    """Normalise, filter, keep the most confident of equal texts, score, and keep good rows with the score as confidence.
 
-    clean = rows.withColumn("text", norm_ws(F.col("text"))).where(is_corpus_row(F.col("text"), categories))
-    return scored(keep_best(clean), vocab).where(F.col("score") >= least).withColumn("confidence", F.col("score")).drop("score")
+    With ``similar``, rows left after that, if they are more than ``above``, also
+    take turns in dropping rows whose vectors (of their words, unless another is
+    given) have a larger cosine; see drop_in_turn.
+    """
+    from ragloom.operators.dedup import drop_in_turn, keep_best
+    from ragloom.operators.vectors import similar_pairs
+    from ragloom.session import stash
+
+    clean = keep_best(rows.withColumn("text", norm_ws(F.col("text"))).where(is_corpus_row(F.col("text"), categories)))
+    if similar is not None:
+        clean = stash(clean, "clean-corpus")
+        if clean.count() > above:
+            vectors = clean.select("doc_id", (word_vector(F.col("text")) if vector is None else vector).alias("v"))
+            clean = drop_in_turn(clean, similar_pairs(vectors, similar, "doc_id"), "doc_id")
+    return scored(clean, vocab).where(F.col("score") >= least).withColumn("confidence", F.col("score")).drop("score")
 
 
 def cache_lookup(wanted: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

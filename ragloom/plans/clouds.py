@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from ragloom.plans.fixtures import CLASSES, EMB, POINTS, PRED, RETR, SETS, emb,
 from ragloom.plans.registry import query
 from ragloom.plans.text import nws, words
 from ragloom.plans.vectors import NEXT, _next
+from ragloom.session import shared_dir
+from ragloom.sources import tables
 from ragloom.streaming import ingest as T
 
 W = f"WITH {POINTS}"
@@ -590,12 +593,33 @@ def best_runs(t):
     return m.orderBy(F.desc("accuracy"), "run").limit(3)
 
 
-@query("metrics_table", f"{FOLDS}, m AS (SELECT fold, class, 100 * tp / greatest(actual + predicted - tp, 1) AS iou FROM k) SELECT fold, " + ", ".join(f"round(max(iou) FILTER (class = '{c}'), 6) AS {c}" for c in CLASSES) + " FROM m WHERE fold <> 'all' GROUP BY fold")
+METRICS = f"{FOLDS}, m AS (SELECT fold, class, 100 * tp / greatest(actual + predicted - tp, 1) AS iou FROM k) SELECT fold, " + ", ".join(f"round(max(iou) FILTER (class = '{c}'), 6) AS {c}" for c in CLASSES) + " FROM m WHERE fold <> 'all' GROUP BY fold"
+
+
+@query("metrics_table", METRICS)
 def metrics_table(t):
     k = M.class_counts(M.confusion(pred(t), NAMES, "error", ["area"]), ["area"]).withColumn("iou", F.round(M.percent("tp", "union"), 6))
     return k.groupBy(F.col("area").cast("string").alias("fold")).pivot("class", CLASSES).agg(F.max("iou"))
 
 
+@query("metrics_append", METRICS)
+def metrics_append(t):
+    """The same rows, written in two goes to one CSV and read back."""
+    m, path = metrics_table(t), f"{shared_dir(t.spark)}/metrics-{uuid.uuid4().hex}"
+    for part in (m.where("fold < '3'"), m.where("fold >= '3'")):
+        tables.append_metrics(part, path)
+    return t.spark.read.schema("fold string, " + ", ".join(f"`{c}` double" for c in m.columns[1:])).option("header", True).csv(path)
+
+
+@query("snk_predictions", f"WITH {PRED} SELECT area AS frame, event_id, (10 * list_position({CLASSES}, pred))::BIGINT AS submitted FROM pred")
+def snk_predictions(t):
+    """One folder of predictions for each area, with class names replaced by numbers of a lookup table."""
+    path = f"{shared_dir(t.spark)}/predictions-{uuid.uuid4().hex}"
+    lookup = t.spark.createDataFrame([(c, 10 * (i + 1)) for i, c in enumerate(CLASSES)], "label string, submitted long")
+    tables.write_predictions(pred(t).select(F.col("area").alias("frame"), "event_id", F.col("pred").alias("label")), lookup, path)
+    return t.spark.read.schema("event_id long, submitted long, frame long").parquet(path)
+
+
 # Streams.
 
 

@@ -186,6 +186,12 @@ def corpus_build(t):
     return b.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("n_attributes").alias("n_attributes"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
+@query("corpus_build_semantic")
+def corpus_build_semantic(t):
+    """The whole build with semantic deduplication over all corpus rows."""
+    return C.build_corpus(corpus(t), categories(), similar=0.85).select("doc_id", "category", "source", "n_attributes", F.round("confidence", 6).alias("confidence"))
+
+
 @query("dist_category", "SELECT lang AS category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 6)::DOUBLE AS percent FROM documents GROUP BY lang")
 def dist_category(t):
     return C.share(t.documents.groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n"))).orderBy(F.desc("n"), "category")

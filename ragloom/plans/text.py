@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as X
@@ -138,6 +137,15 @@ def snk_jsonl(t):
     return t.spark.read.schema("doc_id long, category string, obj_id string, confidence double").json(path)
 
 
+@query("snk_structured", f"WITH {CORPUS} SELECT doc_id, category, source, confidence, (SELECT count(*) FROM corpus) AS total, (SELECT string_agg(DISTINCT category, ',' ORDER BY category) FROM corpus) AS categories, (SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM corpus) AS sources, (SELECT round(avg(confidence), 6) FROM corpus) AS average FROM corpus")
+def snk_structured(t):
+    path = _scratch(t, "structured")
+    S.write_structured(corpus(t), path)
+    entries, about = S.read_structured(t.spark, path, "doc_id long, category string, source string, confidence double")
+    about = about.select(F.col("total_entries").alias("total"), F.array_join("categories", ",").alias("categories"), F.array_join("sources", ",").alias("sources"), F.round("average_confidence", 6).alias("average"))
+    return entries.crossJoin(F.broadcast(about))
+
+
 @query("snk_vectors", "SELECT vec_id AS id, label::BIGINT AS label, i - 1 AS pos, round(embedding[i]::DOUBLE, 6) AS value FROM embeddings, range(1, 65) r(i)")
 def snk_vectors(t):
     path = _scratch(t, "vectors")

@@ -42,6 +42,31 @@ def write_corpus(df: DataFrame, path: str) -> None:
     df.withColumn("obj_id", F.col("category")).write.json(path)
 
 
+def write_structured(df: DataFrame, path: str) -> None:
+    """A corpus as two parts: entries, and one row of metadata beside them."""
+    entries, about = f"{path}/entries", f"{path}/metadata"
+    df.write.json(entries)
+    names = lambda c: F.array_sort(F.collect_set(c))
+    df.agg(F.count(F.lit(1)).alias("total_entries"), names("category").alias("categories"), names("source").alias("sources"), F.avg("confidence").alias("average_confidence")).write.json(about)
+
+
+def read_structured(spark: SparkSession, path: str, entries: str) -> tuple[DataFrame, DataFrame]:
+    """Entries, given their schema, and the row of metadata."""
+    about = "total_entries long, categories array<string>, sources array<string>, average_confidence double"
+    return spark.read.schema(entries).json(f"{path}/entries"), spark.read.schema(about).json(f"{path}/metadata")
+
+
+def append_metrics(df: DataFrame, path: str) -> None:
+    """Adds metric rows to those already written, as CSV with a header."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def write_predictions(df: DataFrame, lookup: DataFrame, path: str, frame: str = "frame", label: str = "label") -> None:
+    """Predictions by frame, a folder for each, with labels replaced by those of a lookup table (label, submitted)."""
+    mapped = df.join(lookup.select(F.col("label").alias(label), "submitted"), label)
+    mapped.drop(label).repartition(frame).write.partitionBy(frame).parquet(path)
+
+
 def read_vocabulary_captions(spark: SparkSession, path: str, category: str) -> DataFrame:
     """Captions of one category from a vocabulary file, tokens joined to a sentence."""
     c = spark.read.schema(VOCABULARY).json(path, multiLine=True).select(F.explode("captions").alias("c"))

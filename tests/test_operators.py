@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as X
 from ragloom.operators import clouds as P
+from ragloom.operators import corpus as C
 from ragloom.operators import dedup as D
 from ragloom.operators import graph as G
 from ragloom.operators import ranking as K
@@ -64,6 +65,58 @@ def test_dedup_rules(spark, seed):
     assert {x.id for x in D.keep_greedily(r, p).collect()} == greedy(n, pairs)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_turns_with_partners_on_both_sides(spark, seed):
+    """Ranked partners may come before their row, as with nearest neighbours."""
+    g = np.random.default_rng(seed)
+    rows = {i: float(g.choice([0.6, 0.7, 0.9])) for i in range(20)}
+    pairs = [(i, int(j)) for i in rows for j in g.permutation(20)[:2] if i != j]
+    ranked = [(i, j, k) for k, (i, j) in enumerate(pairs)]
+    r = spark.createDataFrame(list(rows.items()), "id long, confidence double")
+    p = spark.createDataFrame(ranked, "i long, j long, rank long")
+    assert {x.id for x in D.drop_in_turn(r, p).collect()} == replay(rows, pairs)
+
+
+def test_corpus_with_semantic_dedup(spark):
+    """Of near texts, in the order of ids, the more confident stays; small corpora are left as they are."""
+    words = [f"w{k}" for k in range(40)]
+    base = "the " + " ".join(words)
+    texts = [(1, base, 0.9), (2, base.replace("w3 ", "x3 "), 0.7), (3, base.replace("w5 ", "x5 "), 0.9), (4, "the " + " ".join(w[::-1] for w in words), 0.9)]
+    rows = spark.createDataFrame([(i, t, "en", "caption", c) for i, t, c in texts], "doc_id long, text string, category string, source string, confidence double")
+    kept = lambda **how: {r.doc_id for r in C.build_corpus(rows, ["the"], **how).collect()}
+    unit = [np.bincount([hash(w) % 512 for w in t.split()], minlength=512) for _, t, _ in texts]
+    assert unit[0] @ unit[1] / np.linalg.norm(unit[0]) / np.linalg.norm(unit[1]) > 0.85
+    assert kept() == kept(similar=0.85) == {1, 2, 3, 4}
+    assert kept(similar=0.85, above=0) == {1, 4}
+
+
+def test_nearest_by_hash_recall(spark):
+    """At least nine of ten pairs within the distance, in truth nearly all."""
+    g = np.random.default_rng(3)
+    v = g.normal(size=(300, 64))
+    v = np.concatenate([v, v + g.normal(size=v.shape) * 0.4])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    d = np.linalg.norm(v[:, None] - v[None], axis=2)
+    near = {(i, j) for i, j in zip(*np.where(d < 0.5), strict=True) if i < j}
+    found = {(r.i, r.j) for r in O.nearest_by_hash(rows, 0.5).collect()}
+    assert len(near) > 100 and found <= near and len(found) >= 0.9 * len(near)
+
+
+def test_farthest_points(spark):
+    """Against a plain loop; a cloud of fewer points gives them all."""
+    g = np.random.default_rng(4)
+    rows = [(c, i, *map(float, g.normal(size=3))) for c, n in ((0, 40), (1, 3)) for i in range(n)]
+    got = P.farthest_points(spark.createDataFrame(rows, "cloud_id long, point_id long, x double, y double, z double"), 6)
+    got = {(r.cloud_id, r.place): r.point_id for r in got.collect()}
+    for c in (0, 1):
+        p = np.array([r[2:] for r in rows if r[0] == c])
+        chosen = [0]
+        while len(chosen) < min(6, len(p)):
+            chosen.append(int(((p[:, None] - p[chosen][None]) ** 2).sum(axis=2).min(axis=1).argmax()))
+        assert [got[c, k] for k in range(len(chosen))] == chosen and (c, len(chosen)) not in got
+
+
 def test_closure_with_cycle(spark):
     e = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("c", "r", "a"), ("c", "x", "d")], "src string, rel string, dst string")
     s = spark.createDataFrame([("a",)], "node string")
