@@ -55,14 +55,18 @@ def first_ranks(s: DataFrame, hit: Column, q: str = "q", d: str = "d") -> DataFr
     return s.join(best, q).groupBy(q).agg((1 + F.count_if(beats)).cast("long").alias("rank"))
 
 
-def graded_ndcg(r: DataFrame, rel: str, k: int) -> DataFrame:
-    """(q, ndcg) with numeric relevance; 0 if the ideal is 0."""
+def graded_ndcg(r: DataFrame, rel: str, *ks: int) -> DataFrame:
+    """(q, ndcg) with numeric relevance, or (q, ndcg1, ndcg5, ...) of several k in one pass; 0 if the ideal is 0."""
     gain = F.pow(F.lit(2.0), F.col(rel)) - 1
     w = Window.partitionBy("q").orderBy(F.desc(rel), "d")
     rows = r.withColumn("_ideal", F.row_number().over(w))
-    dcg = F.sum(F.when(F.col("rank") <= k, gain / F.log2(F.col("rank") + 1)))
-    best = F.sum(F.when(F.col("_ideal") <= k, gain / F.log2(F.col("_ideal") + 1)))
-    return rows.groupBy("q").agg(F.when(best > 0, dcg / best).otherwise(0.0).alias("ndcg"))
+
+    def at(k: int) -> Column:
+        dcg = F.sum(F.when(F.col("rank") <= k, gain / F.log2(F.col("rank") + 1)))
+        best = F.sum(F.when(F.col("_ideal") <= k, gain / F.log2(F.col("_ideal") + 1)))
+        return F.when(best > 0, dcg / best).otherwise(0.0)
+
+    return rows.groupBy("q").agg(*[at(k).alias("ndcg" if len(ks) == 1 else f"ndcg{k}") for k in ks])
 
 
 def rank_summary(ranks: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def read_labelled_files(spark: SparkSession, path: str, known: DataFrame) -> Dat
     """(path, label, class_idx) of files whose folder is a known label."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     files = files.withColumn("label", F.element_at(F.split("path", "/"), -2))
-    return files.join(F.broadcast(class_index(known)), "label")
+    return files.join(class_index(known), "label")
 
 
 def split_members(data: DataFrame, ids: DataFrame, key: str) -> DataFrame:
