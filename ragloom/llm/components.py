@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.session import stash
+from ragloom.session import stash, unstash
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stash(edges, "edges")
     seen = print_of(edges)
     while True:
-        edges = stash(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, stash(_small_star(_large_star(edges)), "edges")
+        unstash(before)
         now = print_of(edges)
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.arrays import U, Shingles, batch, chunks, distinct, group_cuts, lists, mix, per_row, ranges, shingles, signed, tidy, whole_groups, words
 from ragloom.llm.components import components
-from ragloom.session import stash, text_batches
+from ragloom.session import stash, text_batches, unstash
 
 MINIMA = 64
 TREES = 16
@@ -218,6 +218,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     blocks = F.ceil(F.col("members") / F.lit(CAP)).cast("int")
     candidates = groups.join(sizes, "component").select(F.col("node").alias("key"), "component", blocks.alias("blocks"))
     candidates = stash(candidates, "candidates")
+    unstash(members)
     if candidates.count() <= BROADCAST_ROWS:
         candidates = F.broadcast(candidates)
     found = rows.join(candidates, "key").select("component", "blocks", "key", "text")

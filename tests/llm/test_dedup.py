@@ -183,6 +183,7 @@ def test_index_compacts_runs(spark):
 def test_near_duplicates_against_brute_force(spark, docs, odd, nothing, monkeypatch, cap):
     """Small caps send regions and groups through the ways for large ones."""
     monkeypatch.setattr("ragloom.llm.neardup.CAP", cap)
+    monkeypatch.setattr("ragloom.llm.neardup.BROADCAST_ROWS", 400_000 if cap > 8 else 0)
     assert near_duplicates(nothing).count() == 0
     g = np.random.default_rng(7)
     rows = []
@@ -198,6 +199,28 @@ def test_near_duplicates_against_brute_force(spark, docs, odd, nothing, monkeypa
         assert Counter(tuple(r) for r in near_duplicates(df, n=n).collect()) == brute_components(pairs(df), n)
 
 
+def test_near_duplicates_with_repeated_rows(odd):
+    """Rows that repeat a key are one document, each with its row; without words nothing is linked."""
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates(odd, n=4).collect())
+    assert got[9, 9, True] == 2 and got[6, 1, False] == 1 and got.total() == odd.count()
+    assert all(i == c and kept for i, c, kept in got if i != 6)
+
+
+def test_stages_on_odd_tables(spark, odd):
+    """Every stage takes nulls, empty texts, repeated rows, columns with names that operators use, and no rows at all."""
+    extra = "cast(doc_id as string) key, 1 n_words, 'x' kept, 'y' component_id, 2 n, 'z' kept_text, array(1) ids"
+    docs = odd.selectExpr("doc_id", "text", "'en' lang", "source", "cast(length(text) as long) n_chars", *extra.split(", "))
+    docs = docs.union(docs.limit(1).selectExpr("cast(null as long)", "text", "lang", "'null id'", *docs.columns[4:]))
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+        assert set(corpus_pipeline.COLUMNS) <= set(stage(spark, docs, SF).columns) or name == "bpe_encoding"
+    kept = {name: Counter(r.source for r in stage(spark, docs, SF).select("source").collect()) for name, stage in corpus_pipeline.STAGES[1:4]}
+    assert kept["near_dedup"]["copy of 1"] == 0 and kept["near_dedup"]["repeated row"] + kept["near_dedup"]["lines"] == 2 and kept["near_dedup"]["null id"] == 1
+    assert kept["suffix_dedup"]["null text"] == kept["suffix_dedup"]["empty"] == 0 and kept["suffix_dedup"]["null id"] == 1
+    assert kept["benchmark_decontamination"] == Counter(r.source for r in docs.collect())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
