@@ -5,6 +5,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +16,7 @@ from ragloom.llm.decontaminate import contained_items, decontaminate
 from ragloom.llm.lm import lm_scores
 from ragloom.llm.quality import cascade, default_rules, good, order_rules, quality
 from ragloom.llm.sharding import assign_shards
-from ragloom.llm.toxicity import toxicity
+from ragloom.llm.toxicity import ALPHA, BETA, L1, L2, SIZE, ftrl, toxicity, weights
 from tests.llm.conftest import SF, split_words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -179,12 +180,46 @@ def test_toxicity_on_held_out_rows(spark, odd, nothing):
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in truth]
-    assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.95
+    right = sum(r.predicted == truth[r.doc_id] for r in held)
+    assert right / len(held) > 0.95 and right > sum(truth[r.doc_id] == 0 for r in held)
+    clean = [r.score for r in held if not truth[r.doc_id]]
+    assert all(np.mean([r.score > c for c in clean]) > 0.5 for r in held if truth[r.doc_id])
     assert {r.score for r in toxicity(odd, labels.limit(0)).collect()} == {0.5}
     assert toxicity(nothing, labels).count() == 0
     assert toxicity(odd, odd.selectExpr("doc_id", "cast(null as int) toxic", "text")).count() == odd.count()
 
 
+def test_ftrl_equals_a_plain_loop():
+    """One pass over random rows against the published update, feature by feature."""
+    g = np.random.default_rng(1)
+    rows = [(np.append(np.unique(g.integers(0, 30, 6)), SIZE - 1), int(g.random() < 0.4)) for _ in range(300)]
+    z, n = np.zeros(SIZE), np.zeros(SIZE)
+    ftrl(iter(rows), z, n)
+    zs, ns = Counter(), Counter()
+
+    def weight(i):
+        l1 = L1 if i < SIZE - 1 else 0.0
+        return 0.0 if abs(zs[i]) <= l1 else -(zs[i] - math.copysign(l1, zs[i])) / ((BETA + math.sqrt(ns[i])) / ALPHA + L2)
+
+    for x, y in rows:
+        own = {int(i): weight(int(i)) for i in x}
+        gradient = 1 / (1 + math.exp(-sum(own.values()))) - y
+        for i, w in own.items():
+            sigma = (math.sqrt(ns[i] + gradient**2) - math.sqrt(ns[i])) / ALPHA
+            zs[i] += gradient - sigma * w
+            ns[i] += gradient**2
+    assert np.allclose(weights(z, n)[sorted(zs)], [weight(i) for i in sorted(zs)])
+
+
+def test_null_and_large_keys(spark):
+    """Keys come back as they are: null, above 2**53, and repeated with other texts."""
+    df = spark.createDataFrame([(2**60, "one two"), (2**60 + 1, "one two"), (None, "one two"), (5, "x"), (5, None), (5, "")], "doc_id long, text string")
+    keys = Counter(r.doc_id for r in df.collect())
+    labels = df.selectExpr("doc_id", "1 toxic")
+    for out in (toxicity(df, labels), lm_scores(df), bpe(df, PATH), assign_shards(df)):
+        assert Counter(r.doc_id for r in out.select("doc_id").collect()) == keys
+
+
 def brute_base(rows):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     c = Counter()
