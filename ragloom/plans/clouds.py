@@ -128,7 +128,16 @@ def pc_split_near(t):
     return P.split_near(points(t), VIEW, 12).select("cloud_id", "point_id", "removed")
 
 
-@query("pc_fps")
+#: Farthest-point sampling: each step takes the point whose nearest chosen one is farthest, the smaller id on ties.
+FPS = f"""WITH RECURSIVE {POINTS}, fps(place, cloud_id, chosen) AS (
+  SELECT 0::BIGINT, cloud_id, [arg_min(struct_pack(id := point_id, x := x, y := y, z := z), point_id)] FROM points GROUP BY cloud_id UNION ALL
+  SELECT f.place + 1, f.cloud_id, list_append(any_value(f.chosen), arg_max(struct_pack(id := p.point_id, x := p.x, y := p.y, z := p.z),
+    struct_pack(d := list_min(list_transform(f.chosen, lambda c: (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z))), i := -p.point_id)))
+  FROM fps f JOIN points p ON p.cloud_id = f.cloud_id AND NOT list_contains(list_transform(f.chosen, lambda c: c.id), p.point_id) WHERE f.place < 9 GROUP BY f.place, f.cloud_id),
+picked AS (SELECT cloud_id, place, chosen[-1].id AS point_id FROM fps)"""
+
+
+@query("pc_fps", f"{FPS} SELECT * FROM picked")
 def pc_fps(t):
     return P.farthest_points(points(t), 10)
 
@@ -171,7 +180,13 @@ def pc_relative(t):
     return P.relative(_ball(t), points(t), 0.15).select("cloud_id", "q", "place", *r6("dx", "dy", "dz", "member"), F.round(F.col("member") - F.col("own"), 6).alias("gap"))
 
 
-@query("pc_sample_group")
+@query(
+    "pc_sample_group",
+    f"""{FPS}, near AS (SELECT a.cloud_id, a.point_id AS q, b.point_id AS s FROM picked c JOIN points a ON a.cloud_id = c.cloud_id AND a.point_id = c.point_id AND c.place < 8 JOIN points b ON a.cloud_id = b.cloud_id WHERE {D2} < 0.2 * 0.2),
+g AS (SELECT cloud_id, q, list(s ORDER BY s)[1:8] AS found FROM near GROUP BY ALL), ball AS (SELECT cloud_id, q, k AS place, coalesce(found[k + 1], found[1]) AS s FROM g, range(0, 8) r(k))
+SELECT ball.cloud_id, q, place, s, round((b.x - a.x) / 0.2, 6) AS dx, round((b.y - a.y) / 0.2, 6) AS dy, round((b.z - a.z) / 0.2, 6) AS dz
+FROM ball JOIN points a ON a.cloud_id = ball.cloud_id AND a.point_id = q JOIN points b ON b.cloud_id = ball.cloud_id AND b.point_id = s""",
+)
 def pc_sample_group(t):
     p = points(t)
     centres = P.farthest_points(p, 8).join(p, ["cloud_id", "point_id"])

