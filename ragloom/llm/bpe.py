@@ -22,17 +22,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import batch, chunks, tidy
+from ragloom.llm.arrays import batch, chunks, ranges, tidy
 from ragloom.llm.frequent import frequent
 from ragloom.session import stash, text_batches, unstash
 
 LEXICON_SIZE = 1 << 16
-#: Characters of ids and tokens that a task remembers in a generation; two generations are held.
-MEMO_CHARS = 4 << 20
+#: Characters of ids and tokens that a process remembers in a generation; two generations are held.
+MEMO_CHARS = 10 << 20
 _NEVER = 1 << 40
 
 #: White space of the tokenizer's ``\\s`` (Unicode White_Space).
@@ -105,25 +106,33 @@ class Vocabulary:
         return np.where(hit, self.pair_rank[at], _NEVER), self.pair_id[at]
 
     def merge_all(self, words: list[str]) -> list[list[int]]:
-        """Ids of words: merge the pair of lowest rank, the leftmost of equals, until none is left.
+        """Ids of words: merge the pair of lowest rank, the leftmost of equals, until none is left."""
+        order, ids, n = self.merged(words)
+        cuts = np.cumsum(n)[:-1]
+        out: list[list[int]] = [[] for _ in words]
+        for i, own in zip(order.tolist(), np.split(ids, cuts) if len(words) else [], strict=True):
+            out[i] = own.tolist()
+        return out
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same as an order of the words, their ids in that order, and the number of each word's ids.
 
         Words of similar length take their merges in step, one merge each a turn.
         """
         raw = [w.encode() for w in words]
-        out: list[list[int]] = [[] for _ in words]
         length = np.array([len(w) for w in raw], dtype=np.int64)
         order = np.argsort(length, kind="stable")
+        done = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         at = 0
         while at < len(order):
             wide = int(length[order[at]])
             top = int(np.searchsorted(length[order], max(wide + 2, wide * 5 // 4), side="right"))
             part = order[at : min(top, at + max(1, (1 << 19) // max(length[order[min(top, len(order)) - 1]], 1)))]
-            for i, ids in zip(part, self._merge_block([raw[i] for i in part]), strict=True):
-                out[i] = ids
+            done.append(self._merge_block([raw[i] for i in part]))
             at += len(part)
-        return out
+        return order, np.concatenate([ids for ids, _ in done]), np.concatenate([n for _, n in done])
 
-    def _merge_block(self, raw: list[bytes]) -> list[list[int]]:
+    def _merge_block(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not hasattr(self, "pair"):
             self._tables()
         n = np.array([len(w) for w in raw], dtype=np.int64)
@@ -153,7 +162,17 @@ class Vocabulary:
             left = m > 0
             t, k = todo[left], m[left]
             rank[t, k - 1], made[t, k - 1] = self._ranks(x[t, k - 1], token[left])
-        return [own[:k].tolist() for own, k in zip(x, (x >= 0).sum(axis=1), strict=True)]
+        # Ids stand at the left of their rows.
+        return x[x >= 0], (x >= 0).sum(axis=1)
+
+    def strings(self, ids: np.ndarray, n: np.ndarray) -> tuple[list[str], list[str]]:
+        """Numbers and tokens of lists of ids, each list as one string joined by blanks."""
+        if not hasattr(self, "by_id"):
+            known = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
+            self.by_id = (pa.array(map(str, range(len(known)))), pa.array(known))
+        at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        joined = (pc.binary_join(pa.ListArray.from_arrays(at, names.take(pa.array(ids))), " ").to_pylist() for names in self.by_id)
+        return tuple(joined)
 
 
 class Transducer(NamedTuple):
@@ -293,23 +312,23 @@ class Encoder:
         #: Whether a run is known that gives no token at all.
         self.blank = False
 
-    def _keep(self, run: str, ids: str, tokens: str) -> None:
-        self.ids[run], self.tokens[run] = ids, tokens
-        self.chars += len(ids) + len(tokens)
-        self.blank |= not ids
-
     def learn(self, runs: set[str]) -> None:
         """Ids and tokens of runs; words go through the lexicon together, the rest is merged."""
         split = {run: self.v.words(run) for run in runs}
         words = list({w for own in split.values() for w in own})
-        rank = self.lexicon.ranks([w.encode() for w in words], self.edges).tolist()
-        unseen = [w for w, r in zip(words, rank, strict=True) if r < 0]
-        ids = dict(zip(unseen, self.v.merge_all(unseen), strict=True))
-        ids |= {w: self.lexicon.output(r) for w, r in zip(words, rank, strict=True) if r >= 0}
-        tokens, digits = self.v.tokens, self.v.digits
-        text = {w: (" ".join([digits[x] for x in i]), " ".join([tokens[x] for x in i])) for w, i in ids.items()}
-        for run, own in split.items():
-            self._keep(run, *(text[own[0]] if len(own) == 1 else (" ".join([text[w][k] for w in own]) for k in (0, 1))))
+        rank = self.lexicon.ranks([w.encode() for w in words], self.edges)
+        hit = np.flatnonzero(rank >= 0)
+        unseen = [words[i] for i in np.flatnonzero(rank < 0)]
+        order, ids, n = self.v.merged(unseen)
+        first, size = self.lexicon.id_at[rank[hit]].astype(np.int64), np.diff(self.lexicon.id_at)[rank[hit]]
+        ids = np.concatenate([ids, self.lexicon.ids[np.repeat(first, size) + ranges(size)]])
+        named = [unseen[i] for i in order.tolist()] + [words[i] for i in hit.tolist()]
+        numbers, tokens = (dict(zip(named, x, strict=True)) for x in self.v.strings(ids, np.concatenate([n, size])))
+        for text, keep in ((numbers, self.ids), (tokens, self.tokens)):
+            new = {run: text[own[0]] if len(own) == 1 else " ".join([text[w] for w in own]) for run, own in split.items()}
+            keep |= new
+            self.chars += sum(map(len, new.values()))
+            self.blank |= "" in new.values()
 
     def prepare(self, wanted: set[str]) -> None:
         """Have all wanted runs at hand; runs not used since the last change of generation are forgotten."""
@@ -318,9 +337,13 @@ class Encoder:
             self._forget()
         missing = wanted - self.ids.keys()
         old_ids, old_tokens = self.older
-        for run in missing & old_ids.keys():
-            self._keep(run, old_ids[run], old_tokens[run])
-        self.learn(missing - old_ids.keys())
+        again = missing & old_ids.keys()
+        for old, keep in ((old_ids, self.ids), (old_tokens, self.tokens)):
+            new = {run: old[run] for run in again}
+            keep |= new
+            self.chars += sum(map(len, new.values()))
+            self.blank |= "" in new.values()
+        self.learn(missing - again)
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """Ids and decoded text of each whole text, each as one string joined by blanks."""
@@ -346,6 +369,12 @@ def vocabulary(spec: str) -> Vocabulary:
     return Vocabulary(spec)
 
 
+@lru_cache(maxsize=1)
+def encoder(spec: str, image: bytes) -> Encoder:
+    """The encoder for a vocabulary and a lexicon, kept with what it remembers for the process' next task."""
+    return Encoder(vocabulary(spec), map_lexicon(image))
+
+
 def frequent_words(df: DataFrame, spec: str, text: str = "text", size: int = LEXICON_SIZE) -> list[str]:
     """At most ``size`` of the most frequent words of all texts, sorted; of words with equal counts all or none.
 
@@ -394,12 +423,11 @@ def bpe(df: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str = "t
     kind = df.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec, image = shared.value
-        encoder = Encoder(vocabulary(spec), map_lexicon(image))
+        known = encoder(*shared.value)
         for b in batches:
             n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
             for c in chunks(b.column(1)):
-                for ids, decoded in encoder.encode([x or "" for x in b.column(1).slice(c.first, c.rows).to_pylist()]):
+                for ids, decoded in known.encode([x or "" for x in b.column(1).slice(c.first, c.rows).to_pylist()]):
                     n.append(ids.count(" ") + 1 if ids else 0)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
