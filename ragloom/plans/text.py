@@ -76,9 +76,9 @@ def _class_index(t: Tables, documents):
     return files.join(F.broadcast(S.class_index(documents.select(F.col("source").alias("label")))), "label").select("doc_id", "label", "class_idx")
 
 
-@query("src_class_index", "WITH c AS (SELECT source AS label, dense_rank() OVER (ORDER BY source) - 1 AS class_idx FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0)) SELECT doc_id, label, class_idx::BIGINT AS class_idx FROM documents JOIN c ON source = label")
+@query("src_class_index", "WITH c AS (SELECT source AS label, dense_rank() OVER (ORDER BY source) - 1 AS class_idx FROM (SELECT DISTINCT source FROM documents)) SELECT doc_id, label, class_idx::BIGINT AS class_idx FROM documents JOIN c ON source = label")
 def src_class_index(t):
-    return _class_index(t, t.documents.where("doc_id % 2 = 0"))
+    return _class_index(t, t.documents)
 
 
 @query("src_class_index_all", "WITH c AS (SELECT source AS label, dense_rank() OVER (ORDER BY source) - 1 AS class_idx FROM (SELECT DISTINCT source FROM documents)) SELECT doc_id, label, class_idx::BIGINT AS class_idx FROM documents JOIN c ON source = label")
@@ -243,20 +243,12 @@ def detect_category(t):
 
 
 VOCAB = f"""tok AS (SELECT doc_id, unnest({words('lower(text)')}) AS word, generate_subscripts({words('lower(text)')}, 1) AS pos FROM documents),
-vocab AS (SELECT word, row_number() OVER (ORDER BY word)::BIGINT AS idx FROM (SELECT DISTINCT word FROM tok WHERE doc_id % 2 = 0)),
+vocab AS (SELECT word, row_number() OVER (ORDER BY word)::BIGINT AS idx FROM (SELECT DISTINCT word FROM tok)),
 ids AS (SELECT doc_id, pos, word, coalesce(idx, 0) AS idx FROM tok LEFT JOIN vocab USING (word)),
 seq AS (SELECT d.doc_id, coalesce(list(idx ORDER BY pos) FILTER (pos IS NOT NULL), []) AS seq FROM documents d LEFT JOIN ids USING (doc_id) GROUP BY d.doc_id)"""
 
 
-VOCAB_ALL = VOCAB.replace(" WHERE doc_id % 2 = 0", "")
-
-
 def _vocab(t: Tables):
-    """Words of even documents only, so that the queries' SQL has unknown words; the queries named _all take every document."""
-    return vocabulary(t.documents.where("doc_id % 2 = 0"), "text")
-
-
-def _vocab_all(t: Tables):
     return vocabulary(t.documents, "text")
 
 
@@ -286,9 +278,9 @@ def vocab_build(t):
     return _vocab(t)
 
 
-@query("vocab_build_all", f"WITH {VOCAB_ALL} SELECT word, idx FROM vocab")
+@query("vocab_build_all", f"WITH {VOCAB} SELECT word, idx FROM vocab")
 def vocab_build_all(t):
-    return _vocab_all(t)
+    return _vocab(t)
 
 
 @query("encode_pad77", f"WITH {VOCAB} SELECT doc_id, array_to_string(list_resize(seq, 77, 0), ' ') AS ids FROM seq")
@@ -296,9 +288,9 @@ def encode_pad77(t):
     return _pad77(t, _vocab(t))
 
 
-@query("encode_pad77_all", f"WITH {VOCAB_ALL} SELECT doc_id, array_to_string(list_resize(seq, 77, 0), ' ') AS ids FROM seq")
+@query("encode_pad77_all", f"WITH {VOCAB} SELECT doc_id, array_to_string(list_resize(seq, 77, 0), ' ') AS ids FROM seq")
 def encode_pad77_all(t):
-    return _pad77(t, _vocab_all(t))
+    return _pad77(t, _vocab(t))
 
 
 @query("encode_start_end", f"WITH {VOCAB}, n AS (SELECT max(idx) AS n FROM vocab) SELECT doc_id, array_to_string([n + 1] || seq || [n + 2], ' ') AS ids FROM seq, n")
@@ -306,9 +298,9 @@ def encode_start_end(t):
     return _start_end(t, _vocab(t))
 
 
-@query("encode_start_end_all", f"WITH {VOCAB_ALL}, n AS (SELECT max(idx) AS n FROM vocab) SELECT doc_id, array_to_string([n + 1] || seq || [n + 2], ' ') AS ids FROM seq, n")
+@query("encode_start_end_all", f"WITH {VOCAB}, n AS (SELECT max(idx) AS n FROM vocab) SELECT doc_id, array_to_string([n + 1] || seq || [n + 2], ' ') AS ids FROM seq, n")
 def encode_start_end_all(t):
-    return _start_end(t, _vocab_all(t))
+    return _start_end(t, _vocab(t))
 
 
 @query("decode_ids", f"WITH {VOCAB} SELECT doc_id, string_agg(v.word, ' ' ORDER BY pos) AS text FROM ids JOIN vocab v ON v.idx = ids.idx + 1 WHERE ids.idx > 0 GROUP BY doc_id")
@@ -316,9 +308,9 @@ def decode_ids(t):
     return _decoded(t, _vocab(t))
 
 
-@query("decode_ids_all", f"WITH {VOCAB_ALL} SELECT doc_id, string_agg(v.word, ' ' ORDER BY pos) AS text FROM ids JOIN vocab v ON v.idx = ids.idx + 1 WHERE ids.idx > 0 GROUP BY doc_id")
+@query("decode_ids_all", f"WITH {VOCAB} SELECT doc_id, string_agg(v.word, ' ' ORDER BY pos) AS text FROM ids JOIN vocab v ON v.idx = ids.idx + 1 WHERE ids.idx > 0 GROUP BY doc_id")
 def decode_ids_all(t):
-    return _decoded(t, _vocab_all(t))
+    return _decoded(t, _vocab(t))
 
 
 @query(
@@ -351,11 +343,10 @@ d AS (SELECT doc_id AS d, list_distinct({words('lower(text)')}) AS b, text AS dt
 jac AS (SELECT q, d, qt, dt, CASE WHEN len(list_distinct(a || b)) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(a || b)) ELSE 0.0 END AS jaccard FROM q, d)"""
 
 
-@query("word_jaccard", f"WITH {KB} SELECT q, d, round(jaccard, 6) AS jaccard FROM jac WHERE d % 20 = q % 20")
+@query("word_jaccard", f"WITH {KB} SELECT q, d, round(jaccard, 6) AS jaccard FROM jac WHERE jaccard > 0")
 def word_jaccard(t):
-    q = t.benchmark.select(F.col("item_id").alias("q"), F.col("text").alias("qt"), (F.col("item_id") % 20).alias("k"))
-    d = t.documents.select(F.col("doc_id").alias("d"), F.col("text").alias("dt"), (F.col("doc_id") % 20).alias("k"))
-    return q.join(d, "k").select("q", "d", F.round(X.word_jaccard(F.col("qt"), F.col("dt")), 6).alias("jaccard"))
+    """All pairs that share a word; it is 0 for every other pair."""
+    return word_jaccard_all(t)
 
 
 @query("word_jaccard_all")
@@ -382,6 +373,6 @@ def join_left_default(t):
     return _word_ids(t, _vocab(t))
 
 
-@query("join_left_default_all", f"WITH {VOCAB_ALL} SELECT doc_id, pos::BIGINT AS pos, idx FROM ids")
+@query("join_left_default_all", f"WITH {VOCAB} SELECT doc_id, pos::BIGINT AS pos, idx FROM ids")
 def join_left_default_all(t):
-    return _word_ids(t, _vocab_all(t))
+    return _word_ids(t, _vocab(t))
