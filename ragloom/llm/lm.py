@@ -42,12 +42,12 @@ LOW = 2
 GATES = 256 * 3
 STEPS = 33
 SMOOTH = 0.4
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: 6-grams whose node counts are held at a time, and that a range of contexts has on average.
 PIECE = 1 << 14
 RANGE = 100_000
 #: Bytes of text whose distinct 6-grams are asked for together.
-ASK = 8 << 20
+ASK = 6 << 20
 #: Words whose counts every task holds; rarer ones are joined.
 FREQUENT_WORDS = 1 << 18
 _CONTEXT = [U((1 << 8 * k) - 1) for k in range(ORDER + 1)]
@@ -71,7 +71,7 @@ def grams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 def folded(codes: np.ndarray, bits: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Codes with most repeats folded, and for each code its place among them, in linear time."""
     if not len(codes):
-        return codes, np.zeros(0, np.int64)
+        return codes, np.zeros(0, np.int32)
     slot = (mix(codes) >> U(64 - bits)).view(np.int64)
     table = np.zeros(1 << bits, dtype=np.int64)
     table[slot] = np.arange(len(codes))
@@ -79,7 +79,7 @@ def folded(codes: np.ndarray, bits: int = 20) -> tuple[np.ndarray, np.ndarray]:
     rep = np.where(codes[rep] == codes, rep, np.arange(len(codes)))
     is_rep = np.zeros(len(codes), dtype=bool)
     is_rep[rep] = True
-    return codes[is_rep], (np.cumsum(is_rep) - 1)[rep]
+    return codes[is_rep], (np.cumsum(is_rep, dtype=np.int32) - np.int32(1))[rep]
 
 
 def counted(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -435,7 +435,7 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             turned, _, order = _distinct([p[3] for p in parts], ranges)
             cost = np.empty(len(turned))
             cost[order] = np.concatenate(answers) if answers else np.zeros(0)
-            answers = []
+            answers, order = [], None
             for b, c, at, kinds, place in parts:
                 bits = per_row(np.add, cost[np.searchsorted(turned, _turned(kinds))][place], at, 0.0)
                 w = words(c, lower=True)
