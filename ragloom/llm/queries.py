@@ -1,4 +1,7 @@
-"""The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
+"""The queries of this subpackage by name, and DuckDB SQL for those that SQL can express.
+
+None reads columns beyond those that its contract names, so others may have any name.
+"""
 
 from __future__ import annotations
 
@@ -25,45 +28,55 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts give zeros; repeated rows each give a row and don't remove each other's bytes; a null doc_id is not judged; an empty table gives none."""
     return deduplicate_bytes(_table(spark, sf_dir, "documents"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty pages give an empty text; repeated rows stay; an empty table gives none."""
     return extract(_table(spark, sf_dir, "pages"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts get the constant's score; repeated rows each give a row; without labels every score is 0.5."""
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each item found in a document; null and empty texts hold nothing and are never found; repeated document rows give repeated rows."""
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have one token, their end; a null doc_id is in training; repeated rows stay; an empty table gives none."""
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have zeros and fail the base rule; every row comes back once, repeated ones too."""
     out = quality(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without words are linked with nothing; repeated rows are one document, each with its row; the smallest doc_id stands for ties; a null doc_id is kept alone."""
     return near_duplicates(_table(spark, sf_dir, "documents"), n=4)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no tokens; repeated rows stay; an empty table gives none."""
     import public_tokenizers
 
     return bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text counts 8 bytes; a null doc_id counts as the empty key; equal keys share a shard and have slots of their own."""
     return assign_shards(_table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no words; repeated rows each give a row and don't remove each other's words; a null doc_id is not judged."""
     return deduplicate_words(_table(spark, sf_dir, "documents"))
 
 
