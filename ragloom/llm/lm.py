@@ -400,7 +400,8 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     to learn from all counts are 0.  Only key and text are read.  The base is of
     lower-cased words, score of the text as it stands, capitals and all.
     """
-    text_batches(df.sparkSession)
+    # Rows hold whole chunks of texts or costs, so batches are kept small.
+    text_batches(df.sparkSession, megabytes=8)
     spark = df.sparkSession
     sc = spark.sparkContext
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
