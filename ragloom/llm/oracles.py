@@ -112,3 +112,40 @@ c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+TOP_K = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id OR c.v <> q.v WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms,
+         row_number() OVER () AS row FROM documents),
+w AS (SELECT lang, source, row, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT g.lang, (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS v FROM (SELECT DISTINCT lang FROM d) g),
+g AS (SELECT DISTINCT lang, source FROM d),
+gs AS (SELECT g.lang, g.source, v.v, coalesce(sum(c.n), 0)::BIGINT AS total FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+ls AS (SELECT lang, v, sum(total)::BIGINT AS total FROM gs GROUP BY ALL),
+lc AS (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL),
+p AS (SELECT gs.lang, gs.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (gs.total + gs.v) AS p
+  FROM gs JOIN kept k ON k.lang = gs.lang LEFT JOIN c ON c.lang = gs.lang AND c.source = gs.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0)::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+lp AS (SELECT ls.lang, lc.term, 1 + (1000000000 * (lc.n + 1)) // (ls.total + ls.v) AS q FROM ls JOIN lc USING (lang)),
+terms AS (SELECT p.lang, p.source, p.term AS item, ((p.p - lp.q) * (p.p - lp.q) // lp.q)::BIGINT AS value FROM p JOIN lp USING (lang, term) WHERE p.n > 0 AND p.p > lp.q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM every
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms) WHERE rank <= 200
+"""

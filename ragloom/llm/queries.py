@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ragloom.llm import oracles
 from ragloom.llm.bpe import bpe
+from ragloom.llm.conversations import repair_conversations
 from ragloom.llm.decontaminate import contained_items
+from ragloom.llm.divergence import source_divergence
 from ragloom.llm.html import extract
 from ragloom.llm.lm import lm_scores
 from ragloom.llm.neardup import near_duplicates
@@ -20,6 +22,7 @@ from ragloom.llm.quality import quality
 from ragloom.llm.sharding import assign_shards
 from ragloom.llm.substrings import deduplicate_words
 from ragloom.llm.suffixes import deduplicate_bytes
+from ragloom.llm.topk import pivot_top_k
 from ragloom.llm.toxicity import toxicity
 
 
@@ -80,9 +83,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_words(_table(spark, sf_dir, "documents"))
 
 
+def op11_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null vectors, and those with a null or a component that is not finite, take no part; equal rows count once; fewer rows give shorter lists; an empty table gives none."""
+    return pivot_top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls read as ''; a group without terms has zero counts; repeated rows are documents of their own; an empty table gives none."""
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls are one blank, a null conv_id is a conversation; a conversation without rows left has zeros; an empty table gives none."""
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_toxicity, op4_decontamination, op5_lm_scoring, op6_quality_rules, op7_near_duplicates, op8_bpe, op9_sharding, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_extraction, op3_toxicity, op4_decontamination, op5_lm_scoring, op6_quality_rules, op7_near_duplicates, op8_bpe, op9_sharding, op10_substring_dedup, op11_pivot_top_k, op12_source_divergence, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": oracles.CONTAINMENT, "op6_quality_rules": oracles.QUALITY, "op7_near_duplicates": oracles.NEAR_DUPLICATES, "op9_sharding": oracles.SHARDING, "op10_substring_dedup": oracles.SUBSTRINGS}
+    return {"op4_decontamination": oracles.CONTAINMENT, "op6_quality_rules": oracles.QUALITY, "op7_near_duplicates": oracles.NEAR_DUPLICATES, "op9_sharding": oracles.SHARDING, "op10_substring_dedup": oracles.SUBSTRINGS, "op11_pivot_top_k": oracles.TOP_K, "op12_source_divergence": oracles.DIVERGENCE}
