@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import md5_number, md5_unit
+from ragloom.operators.nearest import nearest_points
 from ragloom.session import stash
 
 AXES = ("x", "y", "z")
@@ -161,12 +162,17 @@ def farthest_points(df: DataFrame, n: int) -> DataFrame:
 def neighbours(q: DataFrame, s: DataFrame, k: int, farthest: bool = False) -> DataFrame:
     """(cloud_id, q, s, d2, rank): the k nearest support points of each query point of the same cloud, ties to the smaller id.
 
-    Pairs meet by cloud; for clouds too large for that, cut them into cells
-    first (see within).
+    Blocks of points are looked up by rings, see nearest_points.  The farthest
+    points have no such order: there all pairs of a cloud are worked out, and
+    each task keeps k of a query's.
     """
-    a = q.select("cloud_id", F.col("point_id").alias("q"), *AXES)
-    b = s.select("cloud_id", F.col("point_id").alias("s"), *[F.col(c).alias(f"b_{c}") for c in AXES])
-    pairs = a.join(b, "cloud_id").withColumn("d2", F.round(distance2(), 9))
+    if farthest:
+        a = q.select("cloud_id", F.col("point_id").alias("q"), *AXES)
+        b = s.select("cloud_id", F.col("point_id").alias("s"), *[F.col(c).alias(f"b_{c}") for c in AXES])
+        pairs = a.join(b, "cloud_id").select("cloud_id", "q", "s", distance2().alias("d2"))
+    else:
+        pairs = nearest_points(q, s, k)
+    pairs = pairs.withColumn("d2", F.round("d2", 9))
     w = Window.partitionBy("cloud_id", "q").orderBy(F.desc("d2") if farthest else F.col("d2"), "s")
     return pairs.select("cloud_id", "q", "s", "d2", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
 
@@ -209,10 +215,8 @@ def interpolate(q: DataFrame, s: DataFrame, squared: bool = False) -> DataFrame:
 
 
 def nearest_distances(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(cloud_id, d2): squared distance of each point of a to its nearest in b; a minimum that combines before the shuffle."""
-    p = a.select("cloud_id", F.col("point_id").alias("q"), *AXES)
-    r = b.select("cloud_id", *[F.col(c).alias(f"b_{c}") for c in AXES])
-    return p.join(r, "cloud_id").groupBy("cloud_id", "q").agg(F.min(distance2()).alias("d2")).select("cloud_id", "d2")
+    """(cloud_id, d2): squared distance of each point of a to its nearest in b."""
+    return nearest_points(a, b, 1).groupBy("cloud_id", "q").agg(F.min("d2").alias("d2")).select("cloud_id", "d2")
 
 
 def chamfer(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragloom.functions.automaton import terms_held
 from ragloom.functions.text import is_corpus_row, md5_number, n_words, norm_ws, word_vector
 
 #: Attribute vocabularies, matched as substrings.
@@ -88,13 +89,15 @@ def _held_terms(docs: DataFrame, vocab: dict[str, list[str]], text: str, boundar
 
     With boundary, a text's distinct words are made once and meet all one-word
     terms, with or without a final s, in one set operation; only terms of
-    several words are searched for.
+    several words are searched for.  The row id at the end, always true, keeps
+    the optimizer from working _found out anew wherever it is used.  Without
+    boundary, terms are found by one walk along the text.
     """
     every = sorted({x for own in vocab.values() for x in own})
     d = docs.withColumn("_low", F.lower(text))
-    hits = lambda terms, test: F.array_compact(F.array(*[F.when(test(x), F.lit(x)) for x in terms])) if terms else F.array().cast("array<string>")
     if not boundary:
-        return d.withColumn("_found", hits(every, lambda x: F.col("_low").contains(x))).drop("_low")
+        return d.withColumn("_found", terms_held(F.col("_low"), every)).drop("_low")
+    once = lambda found: F.when(F.monotonically_increasing_id() >= 0, found)
     plain = [x for x in every if x.isascii() and x.isalnum()]
     wide = [x for x in every if x not in plain]
     d = d.withColumn("_words", F.array_distinct(F.split("_low", "[^A-Za-z0-9_]+")))
@@ -102,7 +105,8 @@ def _held_terms(docs: DataFrame, vocab: dict[str, list[str]], text: str, boundar
     vocabulary = F.array(*map(F.lit, plain))
     one = F.array_union(F.array_intersect(vocabulary, F.col("_words")), F.array_intersect(vocabulary, singular))
     search = lambda x: F.col("_low").contains(x) & F.regexp_like("_low", F.lit(f"(?:^|[^A-Za-z0-9_]){re.escape(x)}s?(?:[^A-Za-z0-9_]|$)"))
-    return d.withColumn("_found", F.concat(one, hits(wide, search))).drop("_low", "_words")
+    hits = F.array_compact(F.array(*[F.when(search(x), F.lit(x)) for x in wide])) if wide else F.array().cast("array<string>")
+    return d.withColumn("_found", once(F.concat(one, hits))).drop("_low", "_words")
 
 
 def attributes(docs: DataFrame, vocab: dict[str, list[str]], key: str = "doc_id", text: str = "text", boundary: bool = False) -> DataFrame:

@@ -36,6 +36,13 @@ class Grid(NamedTuple):
 
     pivots: np.ndarray
     cuts: list[np.ndarray]
+    #: An orthonormal turn of the coordinates, those that hold most of the sample first.
+    axes: np.ndarray
+
+    @property
+    def size(self) -> int:
+        """Cells."""
+        return sum(len(c) + 1 for c in self.cuts)
 
     def cell(self, distances: np.ndarray) -> np.ndarray:
         near = distances[:, : len(self.cuts)].argmin(axis=1)
@@ -54,7 +61,7 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Lists of numbers as rows, each filled up with zeros to ``width``."""
+    """Lists of numbers as rows, each filled up with zeros, or cut, to ``width``."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     ends = column.offsets.to_numpy()
@@ -63,17 +70,22 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     if len(sizes) and (sizes == width).all():
         return flat.reshape(len(sizes), width)
     out = np.zeros((len(sizes), width), flat.dtype)
-    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], sizes)] = flat
+    row, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], sizes)
+    inside = place < width
+    out[row[inside], place[inside]] = flat[inside]
     return out
 
 
-def grid(df: DataFrame, vector: str, count: int = PIVOTS, sample: int = SAMPLE) -> tuple[Grid, int]:
+def grid(df: DataFrame, vector: str, count: int = PIVOTS, sample: int = SAMPLE, least_rows: int = 2 * BLOCK) -> tuple[Grid, int]:
     """Pivots far from each other, from the vectors of the smallest hashes, with cuts so that cells of that sample are even; and the width.
 
-    Pivots only decide how much is skipped, never what is found.
+    Pivots only decide how much is skipped, never what is found.  A table of no
+    more than ``least_rows`` is one cell around the origin.
     """
     n, width = df.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
     width = width or 0
+    if n <= least_rows:
+        return Grid(np.zeros((1, width)), [np.zeros(0)], np.eye(width)), width
     taken = df.select(vector).orderBy(F.xxhash64(vector)).limit(sample).toArrow().column(0)
     x = matrix(taken, width).astype(float) if len(taken) else np.zeros((1, width))
     chosen, far = [0], np.full(len(x), np.inf)
@@ -90,7 +102,7 @@ def grid(df: DataFrame, vector: str, count: int = PIVOTS, sample: int = SAMPLE)
         own = np.sort(d[near == p, p])
         parts = max(1, round(cells * len(own) / len(x)))
         cuts.append(np.unique(own[[len(own) * i // parts for i in range(1, parts)]]) if len(own) and parts > 1 else np.zeros(0))
-    return Grid(x[chosen], cuts), width
+    return Grid(x[chosen], cuts, np.linalg.eigh(np.nan_to_num(x.T @ x))[1][:, ::-1]), width
 
 
 def distinct_vectors(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -158,8 +170,10 @@ class Directory(NamedTuple):
 
 
 def directory(blocks: DataFrame, by: Grid) -> Directory:
-    """Intervals of each cell, combined before the shuffle; ``CELLS`` and a cell for each pivot at most."""
+    """Intervals of each cell, combined before the shuffle; ``CELLS`` and a cell for each pivot at most.  Of a single cell nothing has to be known."""
     n = len(by.pivots)
+    if by.size == 1:
+        return Directory(np.zeros(1, np.int32), np.full((1, n), -np.inf), np.full((1, n), np.inf), np.full(1, np.inf))
     ends = [f(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, f in (("low", F.min), ("high", F.max)) for i in range(n)]
     rows = blocks.groupBy("cell").agg(*ends, F.max("most").alias("most")).toPandas()
     return Directory(rows["cell"].to_numpy(np.int32), rows[[f"low{i}" for i in range(n)]].to_numpy(float), rows[[f"high{i}" for i in range(n)]].to_numpy(float), rows["most"].to_numpy(float))
@@ -230,7 +244,7 @@ class Pair(NamedTuple):
 Kernel = Callable[[Pair, int], tuple[np.ndarray, np.ndarray, np.ndarray, int]]
 
 
-def search(rows: DataFrame, asked: DataFrame, k: int, kernel: Kernel, exclude_self: bool, report: bool = False) -> DataFrame:
+def search(rows: DataFrame, asked: DataFrame, k: int, kernel: Kernel, exclude_self: bool, report: bool = False, least_rows: int = 2 * BLOCK) -> DataFrame:
     """(ask, place, q, d, sim) of the k best, at least, of each query; ``ranked`` ranks them.
 
     rows: (keys, vector); asked: the same with one key each.  Every query first
@@ -238,13 +252,12 @@ def search(rows: DataFrame, asked: DataFrame, k: int, kernel: Kernel, exclude_se
     have to reach.  Both rounds are equal joins on the cell.  ``exclude_self``
     leaves out the row of a query's own key and vector.  ``report`` returns
     instead (pairs, evaluated) of each two blocks that met in the second round.
+    With a single cell the first round is all.
     """
-    by, width = grid(rows, "vector")
+    by, width = grid(rows, "vector", least_rows=least_rows)
     whole = rows.schema["vector"].dataType.elementType.typeName() == "long"
-    blocks = stash(blocked(rows, by, width), "pivot-blocks")
-    asking = blocked(asked, by, width, ASKING).select(F.col("block").alias("ask"), F.col("keys").alias("asked"), F.col("vectors").alias("q_vectors"), F.col("table").alias("q_table"))
-    asking = stash(asking, "pivot-queries")
-    cells = directory(blocks, by)
+    blocks = blocked(rows, by, width)
+    asking = blocked(asked, by, width, ASKING).select(F.col("cell").alias("q_cell"), F.col("block").alias("ask"), F.col("keys").alias("asked"), F.col("vectors").alias("q_vectors"), F.col("table").alias("q_table"))
     kind = "long" if whole else "double"
     n_pivots = len(by.pivots)
 
@@ -278,23 +291,28 @@ def search(rows: DataFrame, asked: DataFrame, k: int, kernel: Kernel, exclude_se
                 i, s, dk = best(i, s, dk)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), ask.as_py(), np.int64)), pa.array(i.astype(np.int32)), pa.array(qk[i]), pa.array(dk), pa.array(s)], names=["ask", "place", "q", "d", "sim"])
 
-    def met(pairs: DataFrame, asking: DataFrame, only_count: bool = False) -> DataFrame:
+    def met(both: DataFrame, only_count: bool = False) -> DataFrame:
         columns = ["ask", "asked", "q_vectors", "q_table", "least", "sizes", "keys", "vectors", "table", "low", "high"]
-        spread = pairs.repartition("ask", "cell").join(asking, "ask").join(blocks, "cell").select(*columns)
+        spread = both.join(blocks, "cell").select(*columns)
         out = "pairs long, evaluated long" if only_count else f"ask long, place int, q long, d long, sim {kind}"
         return spread.mapInArrow(lambda batches: score(batches, only_count), out)
 
     text_batches(rows.sparkSession, 64, 32)
+    unknown = F.lit(None).cast("array<double>")
+    if by.size == 1:
+        return met(asking.withColumn("least", unknown).withColumnRenamed("q_cell", "cell"), report)
+    blocks, asking = stash(blocks, "pivot-blocks"), stash(asking.drop("q_cell"), "pivot-queries")
+    cells = directory(blocks, by)
     first = stash(route(asking, by, cells, width, whole), "pivot-first")
-    seeds = stash(met(first, asking.withColumn("least", F.lit(None).cast("array<double>"))), "pivot-seeds")
+    seeds = stash(met(first.repartition("ask", "cell").join(asking.withColumn("least", unknown), "ask")), "pivot-seeds")
     last = seeds.withColumn("r", F.row_number().over(Window.partitionBy("ask", "place").orderBy(F.desc("sim"), "d"))).where(F.col("r") == k)
     had = last.groupBy("ask").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("sim").cast("double").alias("s")))).alias("had"))
     none = F.lit(float("-inf"))
     reach = F.transform("asked", lambda x, i: F.coalesce(F.try_element_at("had", i), none))
     reach = stash(asking.join(had, "ask", "left").withColumn("least", reach).drop("had"), "pivot-reach")
     unstash(asking)
-    rest = route(reach, by, cells, width, whole, "least").join(first, ["ask", "cell"], "left_anti")
-    return met(rest, reach, True) if report else seeds.unionByName(met(rest, reach))
+    rest = route(reach, by, cells, width, whole, "least").join(first, ["ask", "cell"], "left_anti").repartition("ask", "cell").join(reach, "ask")
+    return met(rest, True) if report else seeds.unionByName(met(rest))
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

@@ -9,22 +9,24 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import vectors as V
+from ragloom.operators.pivots import Pair, blocked, directory, grid, ranked, search, vectors_of
+from ragloom.session import stash, text_batches
 
 #: Vectors in a block; two blocks and their product stay small in a task.
 BLOCK = 1024
 
 
-def blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK) -> DataFrame:
-    """(block, keys, values): vectors packed by a hash of their key, about ``size`` to a block."""
-    n = df.count()
-    place = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size))))
+def blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """(block, keys, values), and how many: vectors packed by a hash of their key, about ``size`` to a block."""
+    n = max(1, -(-df.count() // size))
+    place = F.pmod(F.xxhash64(key), F.lit(n))
     rows = df.select(F.struct(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).alias("s"), place.alias("block"))
     packed = rows.groupBy("block").agg(F.collect_list("s").alias("s"))
-    return packed.select("block", F.col("s.k").alias("keys"), F.flatten("s.v").alias("values"))
+    return packed.select("block", F.col("s.k").alias("keys"), F.flatten("s.v").alias("values")), n
 
 
 def _matrix(keys: pa.Array, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -32,19 +34,16 @@ def _matrix(keys: pa.Array, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return k, values.to_numpy(zero_copy_only=False).reshape(len(k), -1)
 
 
-def block_products(q: DataFrame, d: DataFrame, q_key: str, q_vec: str, d_key: str, d_vec: str, k: int | None = None, least: float | None = None, exclude_self: bool = False, once: bool = False) -> DataFrame:
-    """(q, d, sim): inner products of two vector tables, rounded to 9 places.
+def block_products(q: DataFrame, d: DataFrame, q_key: str, q_vec: str, d_key: str, d_vec: str) -> DataFrame:
+    """(q, d, sim): inner products of all pairs of two vector tables, rounded to 9 places.
 
-    Blocks of q meet blocks of d; what leaves a task is the k best of each query
-    in a block, or what reaches ``least``, or all.  All pairs of vectors are
-    worked out, so the work grows with the product of both tables; beyond that,
-    ``nearest_by_hash`` is the way.  ``once``: q and d are one table, and each
-    two blocks meet in one order only, so a pair of vectors comes in one order.
+    For results that have a row for each pair; every block of q names all blocks
+    of d, and they meet by an equal join.  ``top_k`` and ``similar_pairs`` look
+    only at what can matter.
     """
-    left = blocks(q, q_key, q_vec).select(F.col("block").alias("qb"), F.col("keys").alias("qk"), F.col("values").alias("qv"))
-    right = blocks(d, d_key, d_vec)
-    pairs = left.join(right, F.col("qb") <= F.col("block")) if once else left.crossJoin(right)
-    pairs = pairs.select("qk", "qv", "keys", "values")
+    left, _ = blocks(q, q_key, q_vec)
+    right, n = blocks(d, d_key, d_vec)
+    left = left.select(F.col("keys").alias("qk"), F.col("values").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias("block"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,39 +51,120 @@ def block_products(q: DataFrame, d: DataFrame, q_key: str, q_vec: str, d_key: st
                 qk, qv = _matrix(b.column(0)[r].values, b.column(1)[r].values)
                 dk, dv = _matrix(b.column(2)[r].values, b.column(3)[r].values)
                 s = np.round(qv @ dv.T, 9)
-                if exclude_self:
-                    s[qk[:, None] == dk[None, :]] = -np.inf
-                if once and np.array_equal(qk, dk):
-                    s[qk[:, None] >= dk[None, :]] = -np.inf
-                if k is not None and k < len(dk):
-                    order = np.argsort(dk, kind="stable")
-                    dk, s = dk[order], s[:, order]
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    i = np.repeat(np.arange(len(qk)), k)
-                    j = best.reshape(-1)
-                else:
-                    i, j = np.divmod(np.arange(s.size), len(dk))
-                keep = s[i, j] > -np.inf if least is None else s[i, j] >= least
-                i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(qk[i]), pa.array(dk[j]), pa.array(s[i, j])], names=["q", "d", "sim"])
-
-    return pairs.mapInArrow(multiply, "q long, d long, sim double")
-
-
-def top_k(q: DataFrame, d: DataFrame, k: int, q_key: str = "q", q_vec: str = "qv", d_key: str = "d", d_vec: str = "dv", exclude_self: bool = False) -> DataFrame:
-    """(q, d, sim, rank): exact nearest by inner product, ties to the smaller id."""
-    best = block_products(q, d, q_key, q_vec, d_key, d_vec, k, exclude_self=exclude_self)
-    w = Window.partitionBy("q").orderBy(F.desc("sim"), "d")
-    return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-
-
-def similar_pairs(df: DataFrame, least: float, key: str = "id", vector: str = "v", strict: bool = True) -> DataFrame:
-    """(i, j, sim) with i < j of cosine above (or, not strict, at least) a threshold."""
-    unit = df.select(key, V.l2_normalize(F.col(vector)).alias("u"))
-    p = block_products(unit, unit, key, "u", key, "u", least=least, once=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qk, len(dk))), pa.array(np.tile(dk, len(qk))), pa.array(s.reshape(-1))], names=["q", "d", "sim"])
+
+    return left.join(right, "block").select("qk", "qv", "keys", "values").mapInArrow(multiply, "q long, d long, sim double")
+
+
+def _best_of_block(p: Pair, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """A kernel of ``search``: one product for the queries that the block's intervals leave, and the k best of each, ties too."""
+    rows = p.alive()
+    s = np.round(p.q[rows] @ p.d.T, 9)
+    need = p.least[rows]
+    if k < len(p.d) and len(rows):
+        need = np.maximum(need, -np.partition(-s, k - 1, axis=1)[:, k - 1])
+    i, j = np.nonzero(s >= need[:, None])
+    return rows[i], j, s[i, j], s.size
+
+
+def _keyed(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+
+
+def top_k(q: DataFrame, d: DataFrame, k: int, q_key: str = "q", q_vec: str = "qv", d_key: str = "d", d_vec: str = "dv", exclude_self: bool = False, report: bool = False) -> DataFrame:
+    """(q, d, sim, rank): exact nearest by inner product, rounded to 9 places, ties to the smaller id.
+
+    Vectors lie in cells around pivots.  A query first meets the cell that looks
+    best; then only cells and blocks whose distances to the pivots leave room
+    for its k-th score.  On grouped vectors that is a small part (``report``
+    tells: pairs of the blocks that met in the second round, and pairs worked
+    out); on vectors without any structure no exact way can skip much.  Null
+    keys and vectors take no part.
+    """
+    rows, asked = (_keyed(*own).select(F.array("key").alias("keys"), "vector") for own in ((d, d_key, d_vec), (q, q_key, q_vec)))
+    found = search(rows, asked, k, _best_of_block, exclude_self, report)
+    return found if report else ranked(found, k)
+
+
+#: Leading coordinates that a pair's bound is worked out from at first.
+PREFIX = 16
+
+
+def _pairs_above(a: np.ndarray, b: np.ndarray, least: float, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(i, j, sim, candidates) of the rows of a and b with a product of at least ``least``, rounded to 9 places.
+
+    Coordinates are turned and sorted so that the first hold most.  The product
+    of the first some, and the norms of what is left of both, bound the whole
+    product; pairs below go, the others get more coordinates, until few are left
+    to be worked out in full.
+    """
+    x, y = a @ axes, b @ axes
+    m, width, some = PREFIX, a.shape[1], least - 1e-7
+    while True:
+        rest = [np.sqrt(np.maximum((z[:, m:] ** 2).sum(axis=1), 0.0)) for z in (x, y)]
+        bound = x[:, :m] @ y[:, :m].T + np.outer(*rest)
+        i, j = np.nonzero(bound >= some)
+        if m >= width or 16 * len(i) <= bound.size:
+            break
+        m *= 2
+    sim = np.empty(len(i))
+    for at in range(0, len(i), 1 << 15):
+        part = slice(at, at + (1 << 15))
+        sim[part] = np.einsum("ij,ij->i", a[i[part]], b[j[part]])
+    sim = np.round(sim, 9)
+    keep = sim >= least
+    return i[keep], j[keep], sim[keep], len(i)
+
+
+def similar_pairs(df: DataFrame, least: float, key: str = "id", vector: str = "v", strict: bool = True, report: bool = False) -> DataFrame:
+    """(i, j, sim) with i < j of cosine above (or, not strict, at least) a threshold: an exact join.
+
+    A cosine of unit vectors bounds their distance, so blocks whose intervals of
+    distances to a pivot lie further apart never meet; blocks that meet are
+    filtered by the leading coordinates.  ``report``: (pairs, candidates) of
+    each two blocks that met.
+    """
+    rows = _keyed(df, key, vector).select(F.array("key").alias("keys"), V.l2_normalize(F.col("vector")).alias("vector"))
+    by, width = grid(rows, "vector")
+    table = stash(blocked(rows, by, width).select("cell", "block", "keys", "vectors", "low", "high", "most"), "pivot-blocks")
+    cells = directory(table, by)
+    apart = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                low, high = (b.column(c)[r].values.to_numpy() for c in (1, 2))
+                gap = np.maximum(cells.low - high, low - cells.high).max(axis=1)
+                found = cells.cell[gap <= apart]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b.column(0)[r].as_py(), np.int64)), pa.array(found)], names=["first", "cell"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                ak, bk = (b.column(c)[r].values.to_numpy() for c in (0, 4))
+                (a_low, a_high), (b_low, b_high) = ((b.column(c)[r].values.to_numpy() for c in own) for own in ((2, 3), (6, 7)))
+                x, y = (vectors_of(b.column(c)[r], width, False) for c in (1, 5))
+                away = max(np.max(b_low - a_high, initial=0.0), np.max(a_low - b_high, initial=0.0)) > apart
+                i, j, sim, looked = _pairs_above(x[: 0 if away else None], y, least, by.axes)
+                if report:
+                    yield pa.RecordBatch.from_arrays([pa.array([len(x) * len(y)]), pa.array([looked])], names=["pairs", "candidates"])
+                    continue
+                # A block with itself has each pair twice.
+                i, j, sim = (z[(ak[i] < bk[j]) | (b.column(8)[r].as_py() != b.column(9)[r].as_py())] for z in (i, j, sim))
+                yield pa.RecordBatch.from_arrays([pa.array(ak[i]), pa.array(bk[j]), pa.array(sim)], names=["i", "j", "sim"])
+
+    text_batches(df.sparkSession, 64, 32)
+    pairs = table.select("block", "low", "high").mapInArrow(near, "first long, cell int").repartition("first", "cell")
+    one = table.select(F.col("block").alias("first"), *[F.col(c).alias(f"a_{c}") for c in ("keys", "vectors", "low", "high")])
+    two = table.select("cell", "block", "keys", "vectors", "low", "high")
+    met = pairs.join(two, "cell").where("first <= block").join(one, "first")
+    met = met.select("a_keys", "a_vectors", "a_low", "a_high", "keys", "vectors", "low", "high", "first", "block")
+    if report:
+        return met.mapInArrow(join, "pairs long, candidates long")
+    p = met.mapInArrow(join, "i long, j long, sim double")
     if strict:
         p = p.where(F.col("sim") > least)
-    return p.select(F.least("q", "d").alias("i"), F.greatest("q", "d").alias("j"), "sim").where("i < j")
+    return p.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sim").where("i < j")
 
 
 def mean_vectors(df: DataFrame, group: str, vector: str, weight: str | None = None, unit: bool = False) -> DataFrame:

@@ -167,6 +167,26 @@ def test_neighbours_and_ball_agree_with_numpy(spark):
     assert covered == set(range(60))
 
 
+@pytest.mark.parametrize("n, k", [(3, 5), (5000, 4), (30000, 6)])
+def test_nearest_points_of_small_and_large_clouds(spark, n, k):
+    """An even cloud with a dense heap and a pile of one place, and small clouds; queries inside and far outside."""
+    g = np.random.default_rng(n)
+    xyz = g.random((n, 3))
+    xyz[: n // 3] = 0.4 + 0.001 * g.random((n // 3, 3))
+    xyz[n // 3 : n // 3 + n // 20] = 0.7
+    asked = np.concatenate([xyz[:: max(1, n // 40)], [[2.0, 0.5, -1.0], [0.5, 0.5, 0.5]]])
+    schema = "cloud_id long, point_id long, x double, y double, z double"
+    support = spark.createDataFrame([(1, i, *p) for i, p in enumerate(xyz.tolist())] + [(2, 9, 0.0, 0.0, 0.0), (2, 8, 1.0, None, 0.0)], schema)
+    q = spark.createDataFrame([(1, i, *p) for i, p in enumerate(asked.tolist())] + [(2, 1, 5.0, 5.0, 5.0), (3, 1, 0.0, 0.0, 0.0)], schema)
+    got = {(r.cloud_id, r.q, r["rank"]): r.s for r in P.neighbours(q, support, k).collect()}
+    assert {x for x in got if x[0] != 1} == {(2, 1, 1)} and got[2, 1, 1] == 9
+    for i, p in enumerate(asked):
+        d = np.round(sum((p[c] - xyz[:, c]) ** 2 for c in range(3)), 9)
+        best = np.lexsort((np.arange(n), d))[:k]
+        assert [d[got[1, i, r + 1]] for r in range(len(best))] == [d[b] for b in best]
+        assert [got[1, i, r + 1] for r in range(len(best))] == best.tolist()
+
+
 def test_block_products_agree_with_numpy(spark, monkeypatch):
     monkeypatch.setattr(O, "BLOCK", 7)
     g = np.random.default_rng(2)
@@ -178,6 +198,69 @@ def test_block_products_agree_with_numpy(spark, monkeypatch):
         assert np.argsort(-s[r.q], kind="stable")[r["rank"] - 1] == r.d
 
 
+def grouped_vectors(spark, n=6000, width=12, groups=30, seed=4):
+    g = np.random.default_rng(seed)
+    centres = g.standard_normal((groups, width))
+    v = centres[np.arange(n) % groups] / np.linalg.norm(centres[np.arange(n) % groups], axis=1, keepdims=True) + 0.03 * g.standard_normal((n, width))
+    return v, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+
+
+def test_top_k_skips_blocks_of_grouped_vectors(spark):
+    """The same rows as from all products, of which few are worked out."""
+    v, df = grouped_vectors(spark)
+    q = df.where("id % 20 = 0")
+    s = np.round(v[::20] @ v.T, 9)
+    got = {(r.q, r["rank"]): (r.d, r.sim) for r in O.top_k(q, df, 5, "id", "v", "id", "v", exclude_self=True).collect()}
+    for i in range(300):
+        s[i, 20 * i] = -np.inf
+        best = np.argsort(-s[i], kind="stable")[:5]
+        assert [got[20 * i, k + 1] for k in range(5)] == [(d, s[i, d]) for d in best]
+    looked = O.top_k(q, df, 5, "id", "v", "id", "v", exclude_self=True, report=True).groupBy().sum("evaluated").first()[0] or 0
+    assert looked < 0.15 * s.size
+
+
+def test_top_k_of_equal_vectors_of_short_tables_and_of_none(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(3000)], "id long, v array<double>")
+    got = O.top_k(rows.where("id < 2"), rows, 4, "id", "v", "id", "v", exclude_self=True).orderBy("q", "rank").collect()
+    assert [(r.q, r.d) for r in got] == [(0, 3), (0, 6), (0, 9), (0, 12), (1, 2), (1, 4), (1, 5), (1, 7)]
+    few = O.top_k(rows.where("id < 2"), rows.where("id < 3"), 4, "id", "v", "id", "v", exclude_self=True)
+    assert few.groupBy("q").count().collect() == [(0, 2), (1, 2)] or {tuple(r) for r in few.groupBy("q").count().collect()} == {(0, 2), (1, 2)}
+    assert O.top_k(rows, rows.limit(0), 4, "id", "v", "id", "v").count() == 0 and O.top_k(rows.limit(0), rows, 4, "id", "v", "id", "v").count() == 0
+
+
+@pytest.mark.parametrize("n", [600, 6000])
+def test_similar_pairs_is_exact_and_looks_at_few(spark, n):
+    v, df = grouped_vectors(spark, n, seed=8)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s, 1) > 0.995), strict=True)}
+    got = {(r.i, r.j): r.sim for r in O.similar_pairs(df, 0.995).collect()}
+    assert got.keys() == want and all(abs(x - s[k]) < 2e-9 for k, x in got.items())
+    looked = O.similar_pairs(df, 0.995, report=True).groupBy().sum("pairs", "candidates").first()
+    assert looked[1] < 0.1 * n * n / 2 + 2 * len(want)
+
+
+def test_leading_coordinates_leave_few_candidates_of_scattered_vectors():
+    g = np.random.default_rng(6)
+    v = g.standard_normal((400, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[7] = v[5]
+    i, j, sim, looked = O._pairs_above(v[:200], v, 0.85, np.eye(64))
+    assert {(a, b) for a, b in zip(i, j, strict=True) if a < b} == {(5, 7)} and looked < 0.0625 * 200 * 400
+
+
+def test_terms_are_found_in_one_walk(spark):
+    from ragloom.functions.automaton import PIECE, terms_held
+    from ragloom.operators.corpus import ATTRIBUTES
+
+    terms = [x for own in ATTRIBUTES.values() for x in own] + ["a.b", "(x", "oak|pine", "é", "aab", "aaab"]
+    texts = ["wooden oaken scarred redblue", "woo", "mid-century mid-centur", "a.b axb (x", "oak|pine", "", None, "singlequeen" * 3, "greygrayoversized full-size ART DECO".lower(), "café", "aaaab", "x" * (PIECE - 3) + "mid-century" + "y" * 3 * PIECE + "wooden"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    for r in df.select("k", terms_held(F.col("t"), terms).alias("found")).collect():
+        t = texts[r.k]
+        assert (r.found is None and t is None) or sorted(r.found) == sorted({x for x in terms if x in t})
+
+
 def test_numbered_and_even_split(spark):
     df = spark.range(1000).select((F.col("id") * 3).alias("k"))
     assert [r.row for r in S.numbered(df, "k").orderBy("k").collect()] == list(range(1000))
