@@ -99,7 +99,7 @@ def pivot_top_k(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "
     """
     rows = scaled(df, key, vector)
     asked = rows.where(F.col("key") % ask_every == 0).distinct().select(F.array("key").alias("keys"), "vector")
-    found = search(distinct_vectors(rows, "key", "vector", k + 1), asked, k, in_bound_order, exclude_self=True, report=report)
+    found = search(distinct_vectors(rows, "key", "vector", k + 1), asked, k, in_bound_order, exclude_self=True, report=report, least_rows=0)
     if report:
         return found
     return ranked(found, k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("d").alias("vec_id"), F.col("sim").alias("score"))
