@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions.text import md5_number, md5_unit
 from ragloom.operators.nearest import nearest_points
+from ragloom.operators.ranks import ranked_in_groups
 from ragloom.session import stash
 
 AXES = ("x", "y", "z")
@@ -107,11 +108,17 @@ def grid_barycenter(df: DataFrame, label: str) -> DataFrame:
     return counts.groupBy(*CELL).agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in (*AXES, "f1")], best, F.sum("n").alias("n"))
 
 
+def _drawn(df: DataFrame, seed: str, most) -> DataFrame:
+    """Adds place by drawn order, see ranked_in_groups; the whole draw settles what its first digits leave open."""
+    drawn = df.withColumn("_draw", draw("cloud_id", "point_id", seed=seed))
+    return ranked_in_groups(drawn, "cloud_id", F.conv(F.substring("_draw", 1, 12), 16, 10).cast("long"), "_draw", "point_id", most=most).drop("_draw")
+
+
 def sample(df: DataFrame, n: int, replace: bool = False, seed: str = "0") -> DataFrame:
     """n points of each cloud: the first by drawn order, or n draws with replacement."""
-    ordered = df.withColumn("place", F.row_number().over(_cloud().orderBy(draw("cloud_id", "point_id", seed=seed))) - 1)
     if not replace:
-        return ordered.where(F.col("place") < n)
+        return _drawn(df, seed, n).withColumn("place", F.col("place") - 1)
+    ordered = _drawn(df, seed, None).withColumn("place", F.col("place") - 1)
     sizes = df.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("size")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     picks = sizes.withColumn("place", md5_number(seed, F.col("cloud_id"), F.col("draw")) % F.col("size"))
     return picks.join(ordered, ["cloud_id", "place"])
@@ -119,16 +126,17 @@ def sample(df: DataFrame, n: int, replace: bool = False, seed: str = "0") -> Dat
 
 def crop_nearest(df: DataFrame, most: int) -> DataFrame:
     """The points nearest to a cloud's middle point (by id order), at most ``most``."""
-    r = df.withColumn("_r", F.row_number().over(_cloud().orderBy("point_id")) - 1).withColumn("_n", F.count(F.lit(1)).over(_cloud()))
-    centre = r.where(F.col("_r") == F.floor(F.col("_n") / 2)).select("cloud_id", *[F.col(c).alias(f"b_{c}") for c in AXES])
+    sizes = df.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("_n"))
+    by_id = ranked_in_groups(df, "cloud_id", F.col("point_id")).join(sizes, "cloud_id")
+    centre = by_id.where(F.col("place") - 1 == F.floor(F.col("_n") / 2)).select("cloud_id", *[F.col(c).alias(f"b_{c}") for c in AXES])
     d = df.join(centre, "cloud_id").withColumn("d2", F.round(distance2(), 9))
-    return d.withColumn("rank", F.row_number().over(_cloud().orderBy("d2", "point_id"))).where(F.col("rank") <= most)
+    return ranked_in_groups(d, "cloud_id", F.col("d2"), "point_id", most=most).withColumnRenamed("place", "rank")
 
 
 def pad(df: DataFrame, size: int) -> DataFrame:
     """(cloud_id, place, point_id, valid): short clouds repeat their points up to a fixed size."""
-    r = df.withColumn("_r", F.row_number().over(_cloud().orderBy("point_id")) - 1).withColumn("_n", F.count(F.lit(1)).over(_cloud()))
-    r = r.where(F.col("_r") < size)
+    sizes = df.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("_n"))
+    r = ranked_in_groups(df, "cloud_id", F.col("point_id"), most=size).join(sizes, "cloud_id").withColumn("_r", F.col("place") - 1)
     places = F.sequence(F.col("_r").cast("long"), F.lit(size - 1).cast("long"), F.least("_n", F.lit(size).cast("long")))
     return r.select("cloud_id", F.explode(places).alias("place"), "point_id", "_n").select("cloud_id", "place", "point_id", (F.col("place") < F.col("_n")).cast("long").alias("valid"))
 
@@ -136,7 +144,8 @@ def pad(df: DataFrame, size: int) -> DataFrame:
 def split_near(df: DataFrame, view: tuple[float, float, float], k: int) -> DataFrame:
     """Adds removed: the k points of each cloud nearest to a viewpoint."""
     d = df.select("*", *[F.lit(v).alias(f"b_{c}") for c, v in zip(AXES, view, strict=True)]).withColumn("d2", F.round(distance2(), 9))
-    return d.withColumn("removed", F.row_number().over(_cloud().orderBy("d2", "point_id")) <= k)
+    d = ranked_in_groups(d, "cloud_id", F.col("d2"), "point_id", most=k, keep_rest=True)
+    return d.withColumn("removed", F.col("place").isNotNull()).drop("place")
 
 
 def farthest_points(df: DataFrame, n: int) -> DataFrame:
@@ -263,8 +272,14 @@ def depth_raster(df: DataFrame, width: int, scale: float, near: float = 1.0) ->
 def batch_offsets(df: DataFrame) -> DataFrame:
     """(cloud_id, batch, n, offset_end): running ends over the table of cloud sizes."""
     sizes = df.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("cloud_id")
-    return sizes.select("cloud_id", (F.row_number().over(w) - 1).cast("long").alias("batch"), "n", F.sum("n").over(w).alias("offset_end"))
+    # Ranges of clouds are summed apart, and a table of ranges gives each its start: no task orders all clouds.
+    ranges = stash(sizes.repartitionByRange("cloud_id").withColumn("_range", F.spark_partition_id()), "cloud-sizes")
+    sums = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_sum"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_rows", "_sum")])
+    w = Window.partitionBy("_range").orderBy("cloud_id")
+    d = ranges.join(starts, "_range")
+    return d.select("cloud_id", (F.col("_rows") + F.row_number().over(w) - 1).cast("long").alias("batch"), "n", (F.col("_sum") + F.sum("n").over(w)).alias("offset_end"))
 
 
 def features_by_key(keys: str) -> Column:
@@ -297,6 +312,4 @@ def rotate(df: DataFrame, x: Column | None = None, y: Column | None = None, z: C
 
 def dropout(df: DataFrame, ratio: float) -> DataFrame:
     """int(n * (1 - ratio)) points of each cloud in drawn order."""
-    d = df.withColumn("_r", F.row_number().over(_cloud().orderBy(draw("cloud_id", "point_id")))).withColumn("_n", F.count(F.lit(1)).over(_cloud()))
-    return d.where(F.col("_r") <= F.floor(F.col("_n") * (1 - ratio))).drop("_r", "_n")
-
+    return _drawn(df, "0", F.floor(F.col("_size") * (1 - ratio))).drop("place")

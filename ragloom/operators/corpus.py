@@ -140,12 +140,13 @@ def scored(docs: DataFrame, vocab: dict[str, list[str]] = ATTRIBUTES) -> DataFra
     return d.withColumn("score", quality_score(F.col("confidence"), F.col("n_attributes"), n_words(F.col("text")), F.col("source")))
 
 
-def build_corpus(rows: DataFrame, categories: list[str], vocab: dict[str, list[str]] = ATTRIBUTES, least: float = 0.5, similar: float | None = None, above: int = 1000, vector: Column | None = None) -> DataFrame:
+def build_corpus(rows: DataFrame, categories: list[str], vocab: dict[str, list[str]] = ATTRIBUTES, least: float = 0.5, similar: float | None = None, above: int = 1000, vector: Column | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Normalise, filter, keep the most confident of equal texts, score, and keep good rows with the score as confidence.
 
     With ``similar``, rows left after that, if they are more than ``above``, also
-    take turns in dropping rows whose vectors (of their words, unless another is
-    given) have a larger cosine; see drop_in_turn.
+    take turns in dropping rows whose vectors have a larger cosine; see
+    drop_in_turn.  Vectors are stored ones (doc_id, v), of which a row may have
+    none, or a column, or else counts of words.
     """
     from ragloom.operators.dedup import drop_in_turn, keep_best
     from ragloom.operators.vectors import similar_pairs
@@ -155,7 +156,10 @@ def build_corpus(rows: DataFrame, categories: list[str], vocab: dict[str, list[s
     if similar is not None:
         clean = stash(clean, "clean-corpus")
         if clean.count() > above:
-            vectors = clean.select("doc_id", (word_vector(F.col("text")) if vector is None else vector).alias("v"))
+            if vectors is None:
+                vectors = clean.select("doc_id", (word_vector(F.col("text")) if vector is None else vector).alias("v"))
+            else:
+                vectors = vectors.join(clean.select("doc_id"), "doc_id", "left_semi")
             clean = drop_in_turn(clean, similar_pairs(vectors, similar, "doc_id"), "doc_id")
     return scored(clean, vocab).where(F.col("score") >= least).withColumn("confidence", F.col("score")).drop("score")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.session import stash, text_batches, unstash
+from ragloom.session import spread, stash, text_batches, unstash
 
 AXES = ("x", "y", "z")
 #: Points in a block of a cloud, and of queries.
@@ -177,7 +177,7 @@ def nearest_points(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
     first = stash(near.withColumn("before", before).where(F.col("before") < k).select("ask", "block"), "first-blocks")
     payload = blocks.select("block", "ids", "points", "low", "high")
     asks = asked.select("ask", "cloud_id", "q_ids", "q_points")
-    seeds = first.repartition("ask", "block").join(asks, "ask").join(payload, "block").withColumn("reach", F.lit(None).cast("array<double>"))
+    seeds = spread(first, "ask", "block").join(asks, "ask").join(payload, "block").withColumn("reach", F.lit(None).cast("array<double>"))
     seeds = stash(seeds.select("ask", *columns).mapInArrow(_asked(k), f"ask long, {FOUND}"), "first-points")
 
     # The ring of each query is its k-th distance so far.
@@ -199,7 +199,7 @@ def nearest_points(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
     cell = _spread(F.col("cx").cast("long")).bitwiseOR(F.shiftleft(_spread(F.col("cy").cast("long")), 1)).bitwiseOR(F.shiftleft(_spread(F.col("cz").cast("long")), 2))
     r = r.select("cloud_id", "ask", "at", cell.alias("cell"), "q_low", "q_high", "ring")
     rest = r.join(places.drop("level"), ["cloud_id", "at", "cell"]).where(_box_gap2() <= F.col("ring")).select("ask", "block")
-    rest = rest.join(first, ["ask", "block"], "left_anti").repartition("ask", "block")
+    rest = spread(rest.join(first, ["ask", "block"], "left_anti"), "ask", "block")
     met = rest.join(rings.select("ask", "cloud_id", "q_ids", "q_points", "reach"), "ask").join(payload, "block")
     unstash(asked)
     return met.select(*columns).mapInArrow(_meet(k), FOUND).union(seeds.drop("ask"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.session import stash, text_batches, unstash
+from ragloom.session import spread, stash, text_batches, unstash
 
 PIVOTS = 32
 #: Vectors of the sample that pivots and cells are chosen from; it bounds what the driver reads.
@@ -304,14 +304,15 @@ def search(rows: DataFrame, asked: DataFrame, k: int, kernel: Kernel, exclude_se
     blocks, asking = stash(blocks, "pivot-blocks"), stash(asking.drop("q_cell"), "pivot-queries")
     cells = directory(blocks, by)
     first = stash(route(asking, by, cells, width, whole), "pivot-first")
-    seeds = stash(met(first.repartition("ask", "cell").join(asking.withColumn("least", unknown), "ask")), "pivot-seeds")
+    seeds = stash(met(spread(first, "ask", "cell").join(asking.withColumn("least", unknown), "ask")), "pivot-seeds")
     last = seeds.withColumn("r", F.row_number().over(Window.partitionBy("ask", "place").orderBy(F.desc("sim"), "d"))).where(F.col("r") == k)
     had = last.groupBy("ask").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("sim").cast("double").alias("s")))).alias("had"))
     none = F.lit(float("-inf"))
     reach = F.transform("asked", lambda x, i: F.coalesce(F.try_element_at("had", i), none))
     reach = stash(asking.join(had, "ask", "left").withColumn("least", reach).drop("had"), "pivot-reach")
     unstash(asking)
-    rest = route(reach, by, cells, width, whole, "least").join(first, ["ask", "cell"], "left_anti").repartition("ask", "cell").join(reach, "ask")
+    rest = route(reach, by, cells, width, whole, "least").join(first, ["ask", "cell"], "left_anti")
+    rest = spread(rest, "ask", "cell").join(reach, "ask")
     return met(rest, True) if report else seeds.unionByName(met(rest))
 
 

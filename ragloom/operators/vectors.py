@@ -6,15 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import vectors as V
-from ragloom.operators.pivots import Pair, blocked, directory, grid, ranked, search, vectors_of
-from ragloom.session import stash, text_batches
+from ragloom.operators.pivots import Pair, blocked, directory, grid, matrix, ranked, search, vectors_of
+from ragloom.session import spread, stash, text_batches
 
 #: Vectors in a block; two blocks and their product stay small in a task.
 BLOCK = 1024
@@ -154,7 +153,7 @@ def similar_pairs(df: DataFrame, least: float, key: str = "id", vector: str = "v
                 yield pa.RecordBatch.from_arrays([pa.array(ak[i]), pa.array(bk[j]), pa.array(sim)], names=["i", "j", "sim"])
 
     text_batches(df.sparkSession, 64, 32)
-    pairs = table.select("block", "low", "high").mapInArrow(near, "first long, cell int").repartition("first", "cell")
+    pairs = spread(table.select("block", "low", "high").mapInArrow(near, "first long, cell int"), "first", "cell")
     one = table.select(F.col("block").alias("first"), *[F.col(c).alias(f"a_{c}") for c in ("keys", "vectors", "low", "high")])
     two = table.select("cell", "block", "keys", "vectors", "low", "high")
     met = pairs.join(two, "cell").where("first <= block").join(one, "first")
@@ -190,12 +189,48 @@ def nearest_by_hash(df: DataFrame, distance: float, key: str = "id", vector: str
     return p.select(F.col(f"datasetA.{key}").alias("i"), F.col(f"datasetB.{key}").alias("j"), "distance").where("i < j")
 
 
-def k_means(df: DataFrame, k: int, key: str = "id", vector: str = "v") -> DataFrame:
-    """(key, group, pos, offset, group_max): offset from the centroid and the group's largest value, by position."""
-    rows = df.select(key, vector, array_to_vector(F.col(vector)).alias("features"))
-    model = KMeans(k=k, seed=7, featuresCol="features", predictionCol="group").fit(rows)
-    centres = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "group int, centre array<double>")
-    found = model.transform(rows).select(key, "group", vector).join(F.broadcast(centres), "group")
+def k_means(df: DataFrame, k: int, key: str = "id", vector: str = "v", rounds: int = 10) -> DataFrame:
+    """(key, group, pos, offset, group_max): offset from the centroid and the group's largest value, by position.
+
+    Centres begin as the vectors of the k smallest keys and move ``rounds``
+    times to the means of their groups; a group that nothing is nearest to keeps
+    its centre, ties go to the first.  Vectors of one round are summed position
+    by position before the shuffle; only the k centres pass through the driver.
+    """
+    rows = df.select(key, vector)
+    centres = np.array([r[0] for r in rows.orderBy(key).limit(k).select(vector).collect()], dtype=float)
+
+    def assigned() -> DataFrame:
+        table = centres.copy()
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = matrix(b.column(1), table.shape[1])
+                # Squared distance but for the vector's own norm.
+                group = ((table * table).sum(axis=1) - 2 * (x @ table.T)).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(group.astype(np.int32))], names=[key, vector, "group"])
+
+        return rows.mapInArrow(nearest, f"{key} {rows.schema[key].dataType.simpleString()}, {vector} array<double>, group int")
+
+    for _ in range(rounds if len(centres) else 0):
+        moved = centres.copy()
+        for r in assigned().select("group", F.posexplode(vector).alias("pos", "x")).groupBy("group", "pos").agg(F.avg("x").alias("m")).collect():
+            moved[r["group"], r["pos"]] = r["m"]
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    if not len(centres):
+        return rows.select(key, F.lit(0).alias("group"), F.lit(0).alias("pos"), F.lit(0.0).alias("offset"), F.lit(0.0).alias("group_max")).limit(0)
+    table = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "group int, centre array<double>")
+    found = assigned().join(F.broadcast(table), "group")
     flat = found.select(key, "group", F.posexplode(F.zip_with(vector, "centre", lambda a, b: F.struct(a.alias("x"), (a - b).alias("offset")))).alias("pos", "s"))
     flat = flat.select(key, "group", "pos", "s.x", "s.offset")
     return flat.join(flat.groupBy("group", "pos").agg(F.max("x").alias("group_max")), ["group", "pos"])
+
+
+def hash_recall(df: DataFrame, distance: float, key: str = "id", vector: str = "v", every: int = 100, tables: int = 8) -> DataFrame:
+    """(exact, found): how many neighbours within a distance the rows whose key is divisible by ``every`` have, by the exact join and by ``nearest_by_hash``; unit vectors."""
+    asked = (F.col("i") % every == 0) | (F.col("j") % every == 0)
+    exact = similar_pairs(df, 1 - distance * distance / 2, key, vector, strict=False).where(asked).select("i", "j")
+    got = nearest_by_hash(df, distance, key, vector, tables).where(asked).select("i", "j").withColumn("hit", F.lit(1))
+    return exact.join(got, ["i", "j"], "left").agg(F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))

@@ -463,6 +463,45 @@ def relaxed_transport(t):
     return S.relaxed_transport(_pairs(t)).select("shape", "caption", *r6("cost"))
 
 
+#: Shapes whose id is divisible by 100, against all captions.
+ASKED = PAIRS.replace("ON shape // 8 = caption // 8", "ON shape % 100 = 0")
+#: The same with products as block products have them, rounded to 9 places.
+ROUNDED = ASKED.replace("list_dot_product(pv, wv) AS x", "round(list_dot_product(pv, wv), 9) AS x")
+
+
+def _asked(t):
+    """Products of every part of the asked shapes with every word."""
+    p, w = sets(t)
+    return S.all_pair_products(p.where("shape % 100 = 0"), w)
+
+
+def _scores(source: str) -> str:
+    """All scores of pairs; the two attentions as their own queries have them."""
+    both = ", ".join(f"{n}_s AS (WITH {attention(*how)} SELECT shape, caption, ln(sum(exp(6 * cosine))) / 6 AS {n} FROM cosine GROUP BY shape, caption)" for n, how in (("t2i", ("part", "word", "wv", "pv")), ("i2t", ("word", "part", "pv", "wv"))))
+    return f"""WITH {source}, {both}, l AS (SELECT shape, caption, ln(sum(exp(6 * x))) / 6 AS LogSumExp, max(x) AS Max, sum(x) AS Sum, avg(x) AS Mean FROM pw GROUP BY shape, caption),
+ca AS (SELECT shape, caption, avg(c) AS a FROM (SELECT shape, caption, word, min(1 - greatest(x, 0)) AS c FROM pw GROUP BY ALL) GROUP BY ALL), cb AS (SELECT shape, caption, avg(c) AS b FROM (SELECT shape, caption, part, min(1 - greatest(x, 0)) AS c FROM pw GROUP BY ALL) GROUP BY ALL)
+SELECT shape, caption, round(t2i, 6) AS t2i, round(i2t, 6) AS i2t, round(LogSumExp, 6) AS LogSumExp, round(Max, 6) AS Max, round(Sum, 6) AS Sum, round(Mean, 6) AS Mean, round(greatest(a, b), 6) AS transport
+FROM t2i_s JOIN i2t_s USING (shape, caption) JOIN l USING (shape, caption) JOIN ca USING (shape, caption) JOIN cb USING (shape, caption)"""
+
+
+@query("set_scores_asked", _scores(ASKED))
+def set_scores_asked(t):
+    p, w = sets(t)
+    return S.all_pair_scores(p.where("shape % 100 = 0"), w).select("shape", "caption", *r6(*S.SCORES))
+
+
+@query("part_word_cost_asked", f"WITH {ROUNDED} SELECT shape, caption, part, word, round(1 - greatest(x, 0), 6) AS cost, round(1 / count(DISTINCT part) OVER w, 6) AS part_mass, round(1 / count(DISTINCT word) OVER w, 6) AS word_mass FROM pw WINDOW w AS (PARTITION BY shape, caption)")
+def part_word_cost_asked(t):
+    return S.transport_cost(_asked(t)).select("shape", "caption", "part", "word", *r6("cost", "part_mass", "word_mass"))
+
+
+@query("raw_norms_asked", f"WITH {ROUNDED}, n AS (SELECT shape, caption, part, word, x, CASE WHEN x > 0 THEN x ELSE 0.1 * x END AS c FROM pw) SELECT shape, caption, part, word, round(exp(x) / sum(exp(x)) OVER w, 6) AS softmax, round(x / (sqrt(sum(x * x) OVER w) + 1e-8), 6) AS l2norm, round(c / (sqrt(sum(c * c) OVER w) + 1e-8), 6) AS clipped_l2norm, round(c, 6) AS clipped, round(x, 6) AS no_norm FROM n WINDOW w AS (PARTITION BY shape, caption, part)")
+def raw_norms_asked(t):
+    w = Window.partitionBy("shape", "caption", "part")
+    kinds = ("softmax", "l2norm", "clipped_l2norm", "clipped", "no_norm")
+    return _asked(t).select("shape", "caption", "part", "word", *[F.round(S.raw_norm(k, F.col("x"), w), 6).alias(k) for k in kinds])
+
+
 @query("set_scores_all")
 def set_scores_all(t):
     """All shapes with all captions, in tiles; no SQL, as the products are too many for it."""

@@ -11,6 +11,7 @@ from ragloom.operators import dedup as D
 from ragloom.operators import graph as G
 from ragloom.plans.fixtures import CORPUS, EDGES, PARTS, PRED, RETR, corpus, edges, parts, pred, queries_and_items
 from ragloom.plans.registry import query
+from ragloom.plans.vectors import turns
 from ragloom.plans.text import KB, ROW_FILTER, categories, nws, words
 
 
@@ -192,6 +193,24 @@ def corpus_build_semantic(t):
     return C.build_corpus(corpus(t), categories(), similar=0.85).select("doc_id", "category", "source", "n_attributes", F.round("confidence", 6).alias("confidence"))
 
 
+#: Documents 2k and 2k + 1 have the stored vector k, if there is one.
+STORED = """vec AS (SELECT doc_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON vec_id = doc_id // 2),
+u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vec WHERE id IN (SELECT doc_id FROM best WHERE n = 1)),
+near AS (SELECT a.id AS i, b.id AS j, b.id AS place FROM u a JOIN u b ON a.id < b.id WHERE round(list_dot_product(a.v, b.v), 9) > 0.3)"""
+
+
+@query(
+    "corpus_build_vectors",
+    f"""WITH RECURSIVE {BUILD}, {STORED}, {turns("SELECT doc_id AS id, confidence FROM best WHERE n = 1")}, stay AS (SELECT id FROM conf WHERE id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM going ORDER BY n DESC LIMIT 1)))
+SELECT doc_id, category, source, n_attributes, round(confidence, 6) AS confidence FROM built WHERE confidence >= 0.5 AND doc_id IN (SELECT id FROM stay)""",
+)
+def corpus_build_vectors(t):
+    """The whole build with semantic deduplication by stored vectors, over all corpus rows."""
+    stored = t.documents.select("doc_id", F.floor(F.col("doc_id") / 2).alias("vec_id")).join(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id")
+    b = C.build_corpus(corpus(t), categories(), similar=0.3, above=0, vectors=stored.select("doc_id", "v"))
+    return b.select("doc_id", "category", "source", "n_attributes", F.round("confidence", 6).alias("confidence"))
+
+
 @query("dist_category", "SELECT lang AS category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 6)::DOUBLE AS percent FROM documents GROUP BY lang")
 def dist_category(t):
     return C.share(t.documents.groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n"))).orderBy(F.desc("n"), "category")
@@ -351,8 +370,20 @@ def graph_hops(t):
 
 @query("graph_hops_all")
 def graph_hops_all(t):
-    """All edges; no SQL, as it would walk all paths.  Rows grow with the square of a graph's nodes, as the matrix of hops does."""
-    return G.hops(*_whole_graphs(t))
+    """All edges; no SQL, as it would walk all paths.  A row for each node, its hops to all nodes of its graph in the order of their ids."""
+    return G.hop_arrays(*_whole_graphs(t)).select("graph_id", "node", F.col("pos").cast("long").alias("pos"), "hops")
+
+
+@query(
+    "graph_hop_arrays",
+    f"""WITH RECURSIVE {GRAPHS}, e AS MATERIALIZED (SELECT graph_id, src, dst, n FROM (SELECT graph_id, src, dst FROM graph UNION SELECT graph_id, dst, src FROM graph) JOIN (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1) USING (graph_id)),
+w(graph_id, a, b, hops) AS (SELECT graph_id, node, node, 0 FROM nodes UNION SELECT w.graph_id, a, dst, hops + 1 FROM w JOIN e ON w.graph_id = e.graph_id AND b = src WHERE hops + 1 < n),
+s AS (SELECT graph_id, a, b, min(hops) AS hops FROM w GROUP BY ALL)
+SELECT n.graph_id, n.node, string_agg(coalesce(hops, 510)::VARCHAR, ',' ORDER BY m.node) AS hops FROM nodes n JOIN nodes m ON n.graph_id = m.graph_id LEFT JOIN s ON s.graph_id = n.graph_id AND s.a = n.node AND s.b = m.node GROUP BY ALL""",
+)
+def graph_hop_arrays(t):
+    """The graph of each order, a row for each node."""
+    return G.hop_arrays(*_graphs(t)).select("graph_id", "node", F.array_join(F.col("hops").cast("array<string>"), ",").alias("hops"))
 
 
 @query("feature_offset", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 9 + 1 AS a, l_partkey % 9 + 129 AS b, l_linenumber + 257 AS c, count(*) AS n FROM lineitem GROUP BY ALL")

@@ -211,14 +211,19 @@ def _confident(t):
 
 #: Rows take turns in key order (turn.n): a row that is not gone drops its partners that are left, in order, up to the
 #: first of higher confidence, for which it goes itself.
-TURNS = """conf AS (SELECT id, CASE id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence FROM dup),
+def turns(conf: str) -> str:
+    """CTEs conf, turn and going, the last of which ends with what is gone; near has the pairs (i, j, place)."""
+    return f"""conf AS ({conf}),
 turn AS MATERIALIZED (SELECT i AS id, row_number() OVER (ORDER BY i) AS n, list(struct_pack(j := j, higher := b.confidence > a.confidence) ORDER BY place, j) AS partners
   FROM near JOIN conf a ON a.id = i JOIN conf b ON b.id = j GROUP BY i),
 going(n, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
   SELECT n, CASE WHEN list_contains(gone, id) THEN gone
     WHEN stop > 0 THEN list_concat(gone, list_transform(open[1:stop - 1], lambda x: x.j), [id]) ELSE list_concat(gone, list_transform(open, lambda x: x.j)) END
   FROM (SELECT *, coalesce(list_position(list_transform(open, lambda x: x.higher), true), 0) AS stop
-    FROM (SELECT t.n, t.id, g.gone, list_filter(t.partners, lambda x: NOT list_contains(g.gone, x.j)) AS open FROM going g JOIN turn t ON t.n = g.n + 1)))
+    FROM (SELECT t.n, t.id, g.gone, list_filter(t.partners, lambda x: NOT list_contains(g.gone, x.j)) AS open FROM going g JOIN turn t ON t.n = g.n + 1)))"""
+
+
+TURNS = f"""{turns("SELECT id, CASE id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence FROM dup")}
 SELECT id, confidence FROM conf WHERE id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM going ORDER BY n DESC LIMIT 1))"""
 COSINES = f"WITH RECURSIVE {DUP}, u AS (SELECT id, {unit('v')} AS v FROM dup), c AS MATERIALIZED (SELECT a.id AS i, b.id AS j, round(list_dot_product(a.v, b.v), 9) AS sim FROM u a JOIN u b ON a.id <> b.id)"
 
@@ -265,7 +270,25 @@ def knn_lsh(t):
     return O.nearest_by_hash(dup(t).select("id", V.l2_normalize(F.col("v")).alias("v")), 0.5).select("i", "j", r6("distance"))
 
 
-@query("kmeans_group")
+@query("knn_lsh_recall", f"WITH {DUP}, u AS (SELECT id, {unit('v')} AS v FROM dup) SELECT count(*) AS exact, true AS enough FROM u a JOIN u b ON a.id < b.id AND (a.id % 100 = 0 OR b.id % 100 = 0) WHERE round(list_dot_product(a.v, b.v), 9) >= 0.875")
+def knn_lsh_recall(t):
+    """Neighbours of the rows whose id is divisible by 100, and whether the hashes find nine of ten of them."""
+    r = O.hash_recall(dup(t).select("id", V.l2_normalize(F.col("v")).alias("v")), 0.5)
+    return r.select("exact", (10 * F.col("found") >= 9 * F.col("exact")).alias("enough"))
+
+
+#: Lloyd's rounds: the nearest centre of each vector, the first on ties; the mean of each group, or its centre if it is empty.
+def _lloyd(k: int, rounds: int) -> str:
+    near = "SELECT id, v, arg_min(c, struct_pack(d := round(list_dot_product(w, w) - 2 * list_dot_product(v, w), 12), c := c)) AS c FROM emb, c{0} GROUP BY id, v"
+    steps = [f"c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, v AS w FROM (SELECT id, v FROM emb ORDER BY id LIMIT {k}))"]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(r)})")
+        steps.append(f"m{r} AS (SELECT c, list(x ORDER BY i) AS w FROM (SELECT c, i, avg(v[i]) AS x FROM a{r}, range(1, 65) g(i) GROUP BY ALL) GROUP BY c)")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.w, o.w) AS w FROM c{r} o LEFT JOIN m{r} m USING (c))")
+    return ", ".join([*steps, f"a AS MATERIALIZED ({near.format(rounds)})"])
+
+
+@query("kmeans_group", f"WITH {EMB}, {_lloyd(8, 10)}, f AS (SELECT id, a.c, i, v[i] AS x, v[i] - w[i] AS o FROM a JOIN c10 USING (c), range(1, 65) g(i)) SELECT id, c AS \"group\", i - 1 AS pos, round(o, 6) AS offset, round(max(x) OVER (PARTITION BY c, i), 6) AS group_max FROM f".replace("AS offset,", 'AS "offset",'))
 def kmeans_group(t):
     k = O.k_means(emb(t), 8)
     return k.select("id", "group", F.col("pos").cast("long").alias("pos"), r6("offset"), r6("group_max"))

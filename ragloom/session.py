@@ -58,6 +58,11 @@ def text_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 32) ->
             spark.conf.set(key, str(limit))
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt over all shuffle partitions: few small rows that stand for much work must not be put together for their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -187,6 +187,54 @@ def test_nearest_points_of_small_and_large_clouds(spark, n, k):
         assert [got[1, i, r + 1] for r in range(len(best))] == best.tolist()
 
 
+def test_ranks_of_large_groups_need_no_window_over_them(spark, monkeypatch):
+    from ragloom.operators import ranks
+
+    g = np.random.default_rng(3)
+    rows = [(int(g.integers(3)), i, float(g.choice([0.5, g.random(), g.random()]))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "grp long, id long, v double")
+    order = {}
+    for k in range(3):
+        for place, (_, i, _) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1]))):
+            order[i] = place + 1
+    assert {r.id: r.place for r in ranks.ranked_in_groups(df, "grp", F.col("v"), "id").collect()} == order
+    few = ranks.ranked_in_groups(df, "grp", F.col("v"), "id", most=700)
+    assert {r.id: r.place for r in few.collect()} == {i: p for i, p in order.items() if p <= 700}
+    rest = ranks.ranked_in_groups(df, "grp", F.col("v"), "id", most=70, keep_rest=True)
+    assert {r.id: r.place for r in rest.collect()} == {i: p if p <= 70 else None for i, p in order.items()}
+
+
+def test_ingest_replays_and_drops_late_copies(spark, tmp_path):
+    """Three runs over a growing folder: a text comes in once, by its smallest id of the batch that brought it; a lost commit is made up for."""
+    from ragloom.streaming.ingest import ingest
+
+    source, target, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    text = lambda k: f"Text  number {k} of nine words and one more."
+
+    def more(*rows):
+        spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+        ingest(spark.readStream.schema("doc_id long, text string").parquet(source), target, marks).awaitTermination()
+        return {(r.doc_id, r.text) for r in spark.read.parquet(target).collect()}
+
+    clean = lambda k: text(k).replace("  ", " ")
+    assert more((5, text(1)), (4, text(1).upper()), (6, text(2)), (7, "short")) == {(4, clean(1).upper()), (6, clean(2))}
+    assert more((1, text(1)), (8, text(3))) == {(4, clean(1).upper()), (6, clean(2)), (8, clean(3))}
+    # The last batch's commit is lost: it runs again from the state before it.
+    commits = sorted((tmp_path / "marks" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    commits[-1].with_name(f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    assert more((2, text(3)), (9, text(4))) == {(4, clean(1).upper()), (6, clean(2)), (8, clean(3)), (9, clean(4))}
+    assert spark.read.parquet(target).count() == 4
+
+
+def test_k_means_moves_to_the_means(spark):
+    v = [[0.0, 0.0], [10.0, 0.0], [0.0, 1.0], [10.0, 1.0], [0.0, 2.0]]
+    df = spark.createDataFrame(list(enumerate(v)), "id long, v array<double>")
+    got = {(r.id, r.pos): (r.group, r.offset, r.group_max) for r in O.k_means(df, 2).collect()}
+    assert got[0, 1] == (0, -1.0, 2.0) and got[3, 1] == (1, 0.5, 1.0) and len(got) == 10
+    assert O.k_means(df.limit(0), 2).count() == 0
+
+
 def test_block_products_agree_with_numpy(spark, monkeypatch):
     monkeypatch.setattr(O, "BLOCK", 7)
     g = np.random.default_rng(2)
@@ -361,7 +409,9 @@ def test_whole_graphs(spark, tmp_path):
                     dist[y] = dist[x] + 1
                     todo.append(y)
             want |= {(g, a, b): dist.get(b, 510) for b in near}
-    got = {(r.graph_id, r.a, r.b): r.hops for r in QUERIES["graph_hops_all"](spark, str(tmp_path)).collect()}
+    rows = QUERIES["graph_hops_all"](spark, str(tmp_path)).collect()
+    assert all(members[r.graph_id][r.pos] == r.node for r in rows) and len(rows) == sum(map(len, members.values()))
+    got = {(r.graph_id, r.node, b): h for r in rows for b, h in zip(members[r.graph_id], r.hops, strict=True)}
     assert got == want and got[1, 100, 120] == 20
 
     top = len(members[1])
