@@ -11,6 +11,7 @@ merged exactly by rank.  A task remembers the strings of recent words.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import tempfile
@@ -35,6 +36,8 @@ LEXICON_SIZE = 1 << 16
 #: Characters of ids and tokens that a process remembers in a generation; two generations are held.
 MEMO_CHARS = 10 << 20
 _NEVER = 1 << 40
+#: Words of more bytes are merged by a heap each; shorter ones in step, which costs the square of their length.
+LONG = 512
 
 #: White space of the tokenizer's ``\\s`` (Unicode White_Space).
 _SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -117,7 +120,8 @@ class Vocabulary:
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same as an order of the words, their ids in that order, and the number of each word's ids.
 
-        Words of similar length take their merges in step, one merge each a turn.
+        Words of similar length take their merges in step, one merge each a turn;
+        those beyond ``LONG`` bytes are merged one by one, in n log n.
         """
         raw = [w.encode() for w in words]
         length = np.array([len(w) for w in raw], dtype=np.int64)
@@ -126,7 +130,12 @@ class Vocabulary:
         at = 0
         while at < len(order):
             wide = int(length[order[at]])
-            top = int(np.searchsorted(length[order], max(wide + 2, wide * 5 // 4), side="right"))
+            if wide > LONG:
+                own = self._merge_long(raw[order[at]])
+                done.append((own, np.array([len(own)])))
+                at += 1
+                continue
+            top = int(np.searchsorted(length[order], min(LONG, max(wide + 2, wide * 5 // 4)), side="right"))
             part = order[at : min(top, at + max(1, (1 << 19) // max(length[order[min(top, len(order)) - 1]], 1)))]
             done.append(self._merge_block([raw[i] for i in part]))
             at += len(part)
@@ -165,6 +174,37 @@ class Vocabulary:
         # Ids stand at the left of their rows.
         return x[x >= 0], (x >= 0).sum(axis=1)
 
+    def _merge_long(self, raw: bytes) -> np.ndarray:
+        """The same for one long word: a heap of (rank, place) over linked tokens, where a pair that is no longer there is passed over."""
+        if not hasattr(self, "pair"):
+            self._tables()
+        if not hasattr(self, "by_pair"):
+            self.by_pair = dict(zip(self.pair.tolist(), zip(self.pair_rank.tolist(), self.pair_id.tolist(), strict=True), strict=True))
+        ids = self.inner[np.frombuffer(raw, np.uint8)]
+        ids[-1] = self.final[raw[-1]]
+        n, size, never = len(ids), len(self.ids), (int(_NEVER), -1)
+        rank, made = (x.tolist() for x in self._ranks(ids[:-1], ids[1:]))
+        ids, right, left = ids.tolist(), [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [r << 32 | i for i, r in enumerate(rank) if r < _NEVER]
+        heapq.heapify(heap)
+        rank.append(never[0])
+        made.append(-1)
+        while heap:
+            r, i = divmod(heapq.heappop(heap), 1 << 32)
+            if rank[i] != r:
+                continue
+            gone = right[i]
+            ids[i], ids[gone], rank[gone] = made[i], -1, never[0]
+            right[i] = after = right[gone]
+            if after >= 0:
+                left[after] = i
+            for a, b in ((i, after), (left[i], i)):
+                if a >= 0:
+                    rank[a], made[a] = self.by_pair.get(ids[a] * size + ids[b], never) if b >= 0 else never
+                    if rank[a] < never[0]:
+                        heapq.heappush(heap, rank[a] << 32 | a)
+        return np.array([x for x in ids if x >= 0], dtype=np.int64)
+
     def strings(self, ids: np.ndarray, n: np.ndarray) -> tuple[list[str], list[str]]:
         """Numbers and tokens of lists of ids, each list as one string joined by blanks."""
         if not hasattr(self, "by_id"):

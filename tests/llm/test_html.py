@@ -53,6 +53,26 @@ def test_marginals_are_exact(model):
     assert np.allclose(marginals(p, model), on / total)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p title=it's>Hello world, here.</p>", "Hello world, here."),
+        ("<p title=\"it's>Hello world, here.</p>", "Hello world, here."),
+        ("<p title='a > b' class=x>Hello world, here.</p><p data-x=\"<b>\">More.</p>", "Hello world, here.\n\nMore."),
+        ("<p title = 'a>b'>Hello world, here.</p>", "Hello world, here."),
+        ("<p it's \"odd>Hello world, here.</p>", "Hello world, here."),
+        ("<p>Hello world, here.</p><p class=never-ended", "Hello world, here."),
+        ("<p>1 < 2 and 3 > 2, here.</p>", "1 < 2 and 3 > 2, here."),
+    ],
+)
+def test_no_markup_is_left_by_odd_attributes(model, page, text):
+    assert main_text(f"<html><body><article>{page}</article></body></html>" if "never" not in page else f"<html><body><article>{page}", model) == text
+
+
+def test_many_open_tags_take_no_time(model):
+    assert isinstance(main_text("<p a=" * 20000, model), str) and isinstance(main_text("<p a='" * 3000 + "x", model), str)
+
+
 def test_odd_pages(model):
     for page in ("", "   ", "<", "<p", "</p></div>", "<script>", "<!--", "plain text, no tags", "<p>" * 3000, "<div>" * 3000 + "deep", "a" * 200000, "&#x41;&bogus;&#0;"):
         assert isinstance(main_text(page, model), str)

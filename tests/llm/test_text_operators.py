@@ -148,6 +148,29 @@ def test_bpe_keeps_ids_and_text(odd, library):
         assert library.decode(r.ids, skip_special_tokens=False) == r.decoded and r.n_tokens == len(r.ids)
 
 
+def test_bpe_of_long_words(library, monkeypatch):
+    """A heap for each long word gives what merging in step gives, and a word of a million letters what the library gives, within seconds."""
+    import random
+    import time
+
+    from ragloom.llm import bpe as module
+
+    v = Vocabulary(open(PATH, encoding="utf-8").read())
+    rng = random.Random(2)
+    words = ["".join(rng.choices(rng.choice(["etaoin", "ab", "thé ünd"]), k=rng.randint(1, 700))).replace(" ", "x") for _ in range(60)] + ["a" * 513, "ab" * 256]
+    monkeypatch.setattr(module, "LONG", 1 << 30)
+    in_step = v.merge_all(words)
+    monkeypatch.setattr(module, "LONG", 0)
+    assert v.merge_all(words) == in_step
+    monkeypatch.undo()
+    long = "".join(rng.choices("etaoinshrdlu", k=1_000_000))
+    began = time.perf_counter()
+    [(ids, decoded)] = Encoder(v, map_lexicon(compile_lexicon({b"the": v.merge_all(["the"])[0]}))).encode([f"the {long} tin"])
+    assert time.perf_counter() - began < 60
+    want = library.encode(f"the {long} tin", add_special_tokens=False).ids
+    assert [int(x) for x in ids.split()] == want and decoded == library.decode(want, skip_special_tokens=False)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.characters(exclude_categories=["Cn", "Co", "Cs"]), st.sampled_from(PIECES))).map("".join))
 def test_bpe_any_text(library, text):
