@@ -1,19 +1,21 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
 Each rule is a boolean column "this text is bad" over measures of the text.  A
-sample tells what each rule costs, with the measures that it needs, and how much
-it rejects; rules run in the order of rejections per cost, and a measure is
+sample tells what each measure costs and which rules fire on which texts; rules
+run in the order of rejections per cost, given those before, and a measure is
 worked out only for texts that no earlier rule has rejected.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ragloom.session import stash, unstash
 
@@ -35,7 +37,7 @@ class Rule(NamedTuple):
 
 class Measure(NamedTuple):
     needs: tuple[str, ...]
-    value: Column
+    value: Callable[[], Column]
 
 
 def _own(name: str) -> Column:
@@ -56,29 +58,30 @@ def _repeat_words() -> Column:
     return F.size(F.array_distinct(F.flatten(covered))).cast("long")
 
 
-def _measures() -> dict[str, Measure]:
-    """Measures of the column OWN + "text", each with those that it is made of.
-
-    n_repeat_words looks for equal 3-word windows with a set of their hashes
-    first; only a text that has some goes on to sort (hash, position) pairs.
-    """
-    text, words, lines, n = _own("text"), _own("words"), _own("lines"), _own("n_words")
-    starts = F.slice(words, F.lit(1), F.greatest(n.cast("int") - 2, F.lit(0)))
-    return {
-        "words": Measure((), F.array_remove(F.split(text, SPACE + "+"), "")),
-        "lines": Measure((), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))),
-        "n_words": Measure(("words",), F.size(words).cast("long")),
-        "windows": Measure(("words", "n_words"), F.transform(starts, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))),
-        "pairs": Measure(("windows",), _repeats()),
-        "n_repeat_words": Measure(("pairs",), _repeat_words()),
-        "word_chars": Measure(("words",), F.length(F.array_join(words, "")).cast("long")),
-        "n_symbols": Measure((), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long")),
-        "n_lines": Measure(("lines",), F.size(lines)),
-        "n_dup_lines": Measure(("lines",), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")),
-        "bangs": Measure((), F.regexp_count(text, F.lit("!"))),
-        "capitals": Measure((), F.regexp_count(text, F.lit("[A-Z]"))),
-        "base_failed": Measure(("n_words", "n_repeat_words"), (n < MIN_WORDS) | (100 * _own("n_repeat_words") > MAX_REPEAT_PERCENT * n)),
-    }
+def _windows() -> Column:
+    words = _own("words")
+    starts = F.slice(words, F.lit(1), F.greatest(_own("n_words").cast("int") - 2, F.lit(0)))
+    return F.transform(starts, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+
+
+#: Measures of the column OWN + "text", each with those that it is made of; a column is built when it is asked for.
+#: n_repeat_words looks for equal 3-word windows with a set of their hashes first; only a text that has some goes on to
+#: sort (hash, position) pairs.
+MEASURES = {
+    "words": Measure((), lambda: F.array_remove(F.split(_own("text"), SPACE + "+"), "")),
+    "lines": Measure((), lambda: F.filter(F.split(_own("text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))),
+    "n_words": Measure(("words",), lambda: F.size(_own("words")).cast("long")),
+    "windows": Measure(("words", "n_words"), _windows),
+    "pairs": Measure(("windows",), _repeats),
+    "n_repeat_words": Measure(("pairs",), _repeat_words),
+    "word_chars": Measure(("words",), lambda: F.length(F.array_join(_own("words"), "")).cast("long")),
+    "n_symbols": Measure((), lambda: F.regexp_count(_own("text"), F.lit(r"[#*$%&|<>]")).cast("long")),
+    "n_lines": Measure(("lines",), lambda: F.size(_own("lines"))),
+    "n_dup_lines": Measure(("lines",), lambda: (F.size(_own("lines")) - F.size(F.array_distinct(_own("lines")))).cast("long")),
+    "bangs": Measure((), lambda: F.regexp_count(_own("text"), F.lit("!"))),
+    "capitals": Measure((), lambda: F.regexp_count(_own("text"), F.lit("[A-Z]"))),
+    "base_failed": Measure(("n_words", "n_repeat_words"), lambda: (_own("n_words") < MIN_WORDS) | (100 * _own("n_repeat_words") > MAX_REPEAT_PERCENT * _own("n_words"))),
+}
 
 
 def default_rules() -> list[Rule]:
@@ -98,11 +101,10 @@ def default_rules() -> list[Rule]:
 
 def _with(df: DataFrame, names: Iterable[str], only: Column | None = None) -> DataFrame:
     """Adds measures that df lacks, after those that they are made of; null where ``only`` does not hold."""
-    known = _measures()
     for name in names:
         if OWN + name not in df.columns:
-            df = _with(df, known[name].needs, only)
-            value = known[name].value
+            df = _with(df, MEASURES[name].needs, only)
+            value = MEASURES[name].value()
             df = df.withColumn(OWN + name, value if only is None else F.when(only, value))
     return df
 
@@ -126,34 +128,67 @@ def cascade(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.withColumn(rejected, F.when(F.monotonically_increasing_id() >= 0, F.col(rejected)))
 
 
+def _needed(needs: Iterable[str]) -> list[str]:
+    """Measures and all that they are made of, each after its parts."""
+    out: dict[str, None] = {}
+    for name in needs:
+        out.update(dict.fromkeys([*_needed(MEASURES[name].needs), name]))
+    return list(out)
+
+
+def measure_costs(sample: DataFrame, names: Sequence[str]) -> dict[str, float]:
+    """Seconds that each measure adds to those of its parts among ``names``, on a frame of OWN + "text"."""
+
+    def run(value: Column, df: DataFrame) -> float:
+        asked, began = df.agg(F.sum(value)), time.perf_counter()
+        asked.first()
+        return time.perf_counter() - began
+
+    took, idle = {}, run(F.octet_length(OWN + "text"), sample)
+    for name in names:
+        df = _with(sample, [name])
+        listed = isinstance(df.schema[OWN + name].dataType, ArrayType)
+        took[name] = run(F.size(_own(name)) if listed else _own(name).cast("long"), df)
+    return {name: max(took[name] - max((took[x] for x in _needed([name])[:-1] if x in took), default=idle), 0.0) for name in names}
+
+
 def order_rules(df: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 2000) -> list[Rule]:
     """Rules by rejections per second on a sample of about ``sample_rows`` raw texts.
 
-    A rule is timed with all measures it needs, from the text on, less what a
-    job costs that looks at no text; the better of two runs counts.  The order
-    never changes which rows are kept, only how soon a bad one is left.  An
-    empty sample leaves the rules as they are.
+    Each measure is timed once, whatever rules share it, and one job tells
+    which rules fire on each text of the sample.  The next rule is the one that
+    rejects most of the texts that are left, for the cost of the measures that
+    no earlier rule has needed.  The order never changes which rows are kept,
+    only how soon a bad one is left.  An empty sample leaves the rules as they are.
     """
     total = df.count() if sample_rows else 0
     if not total:
         return list(rules)
-    sample = stash(_with_text(df.select(text).sample(fraction=min(1.0, sample_rows / total), seed=11), text).select(OWN + "text"), "rule-sample")
-
-    def run(needs: Iterable[str], bad: Column) -> tuple[int, float]:
-        counted, took = _with(sample, needs).agg(F.count_if(bad)), []
-        for _ in range(2):
-            began = time.perf_counter()
-            rejected = counted.first()[0]
-            took.append(time.perf_counter() - began)
-        return rejected, min(took)
-
-    idle = run((), F.octet_length(OWN + "text") < 0)[1]
-    rate = {}
-    for r in rules:
-        rejected, took = run(r.needs, r.bad)
-        rate[r.name] = (rejected + 0.5) / max(took - idle, 0.001)
+    some = df.select(text).sample(fraction=min(1.0, sample_rows / total), seed=11)
+    sample = stash(_with_text(some, text).select(OWN + "text").repartition(df.sparkSession.sparkContext.defaultParallelism), "rule-sample")
+    needs = {r.name: _needed(r.needs) for r in rules}
+    every = _needed(n for r in rules for n in r.needs)
+    fired = _with(sample, every).select(*(F.coalesce(r.bad, F.lit(False)).alias(r.name) for r in rules)).collect()
+    left = [{r.name for r in rules if x[r.name]} for x in fired]
+    # A part that one measure alone is made of is timed with that measure.
+    parts = Counter(p for name in every for p in MEASURES[name].needs)
+    asked = {n for r in rules for n in r.needs}
+    cost = measure_costs(sample, [n for n in every if n in asked or parts[n] > 1])
     unstash(sample)
-    return sorted(rules, key=lambda r: -rate[r.name])
+
+    waiting, ordered, done = list(rules), [], set()
+    while waiting:
+
+        def rate(r: Rule) -> float:
+            rejected = sum(r.name in names for names in left)
+            return (rejected + 0.5) / (0.001 + sum(cost.get(x, 0.0) for x in needs[r.name] if x not in done))
+
+        best = max(waiting, key=rate)
+        waiting.remove(best)
+        ordered.append(best)
+        done.update(needs[best.name])
+        left = [names for names in left if best.name not in names]
+    return ordered
 
 
 def quality(df: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
