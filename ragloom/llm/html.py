@@ -40,6 +40,8 @@ NAMED = INLINE | ENDS_P | SCOPES | SIBLINGS.keys() | frozenset("#root head butto
 BOILERPLATE = frozenset(
     "nav navbar navigation menu header footer foot masthead aside sidebar ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay form search login signup subscribe newsletter share sharing social comment comments disqus reply replies respond related recommended breadcrumb breadcrumbs pagination pager widget toolbar copyright legal disclaimer button select dialog".split()
 )
+#: Words of BOILERPLATE that name a control or a topic; inside a longer name they say nothing of a part that reads as prose.
+DOUBTFUL = frozenset("button form search select share sharing social".split())
 CONTENT = frozenset("article main content story entry post body text blogpost articlebody prose".split())
 
 #: A quote opens a value only behind an equals sign, and only if it is closed; a tag that the page does not end runs to its end.
@@ -59,13 +61,46 @@ class Page(NamedTuple):
     runs: list[tuple[int, int, str]]
 
 
+#: What _hint() returns where only the text can tell.
+DOUBT = 2
+
+
 def _hint(tag: str, attributes: str) -> int:
-    """-1 boilerplate, 1 content, 0 neither; boilerplate wins."""
-    names = {tag} - {"body"}
+    """-1 boilerplate, 1 content, 0 neither; boilerplate wins.
+
+    DOUBT if all that speaks for boilerplate are doubtful words of longer names, as in "social-history".
+    """
+    names, doubt = {tag} - {"body"}, False
     if "=" in attributes:
         for m in _HINTS.finditer(attributes):
-            names.update(_PIECES.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower()))
-    return -1 if names & BOILERPLATE else int(bool(names & CONTENT))
+            for name in (m[1] or m[2] or m[3] or "").split():
+                words = set(_PIECES.findall(_CAMEL.sub(" ", name).lower()))
+                if words & DOUBTFUL and words & BOILERPLATE <= DOUBTFUL and words - BOILERPLATE:
+                    doubt = True
+                else:
+                    names |= words
+    if names & BOILERPLATE:
+        return -1
+    return DOUBT if doubt else int(bool(names & CONTENT))
+
+
+#: A part reads as prose from so many characters, with an end of a sentence in every 200 and at most a quarter of them in links.
+PROSE = 40
+
+
+def _settle(p: Page) -> None:
+    """Doubtful hints become none where the part reads as prose, and boilerplate elsewhere."""
+    if DOUBT not in p.hints:
+        return
+    size, ends, links = [0] * len(p.tags), [0] * len(p.tags), list(p.links)
+    for node, _, t in p.runs:
+        size[node] += len(t)
+        ends[node] += sum(map(t.count, ".!?"))
+    for i in range(len(p.tags) - 1, 0, -1):
+        if p.hints[i] == DOUBT:
+            p.hints[i] = 0 if size[i] >= PROSE and 200 * ends[i] >= size[i] and 4 * links[i] <= size[i] else -1
+        for sums in (size, ends, links):
+            sums[p.parents[i]] += sums[i]
 
 
 def parse(page: str) -> Page:
@@ -80,6 +115,7 @@ def parse(page: str) -> Page:
     block, at, n = 0, 0, len(page)
     open_links = 0
     in_head = 0
+    opened: Counter[str] = Counter()
 
     def text(raw: str) -> None:
         if raw and not in_head and not raw.isspace():
@@ -96,6 +132,7 @@ def parse(page: str) -> Page:
         ended = False
         while len(stack) > 1:
             name, node = stack.pop()
+            opened[name] -= 1
             open_links -= name == "a"
             in_head -= name == "head"
             ended |= node != stack[-1][1]
@@ -104,6 +141,9 @@ def parse(page: str) -> Page:
         return ended
 
     def has(names: frozenset | set, until: frozenset = frozenset()) -> str | None:
+        # Most often nothing of the kind is open, which a deep page should not have to search for.
+        if not any(opened[x] for x in names):
+            return None
         for name, _ in reversed(stack):
             if name in names:
                 return name
@@ -157,9 +197,12 @@ def parse(page: str) -> Page:
             node = len(tags) - 1
             block += tag not in INLINE
         stack.append((tag, node))
+        opened[tag] += 1
         open_links += tag == "a"
         in_head += tag == "head"
-    return Page(tags, hints, parents, links, runs)
+    p = Page(tags, hints, parents, links, runs)
+    _settle(p)
+    return p
 
 
 def node_features(p: Page) -> list[tuple[str, ...]]:
