@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import U, Texts, batch, chunks, flat, group_cuts, mix, ranges, signed, tidy, whole_groups
+from ragloom.llm.arrays import U, Texts, batch, chunks, equal_bytes, flat, group_cuts, mix, ranges, signed, tidy, whole_groups
 from ragloom.session import stash, text_batches
 
 #: Different units of an anchor up to which one task compares them; others are compared by a shuffle of single windows.
 CAP = 512
 #: Units that a task gathers before it settles repeats among them.
 SETTLE_UNITS = 400_000
+#: Bytes of their texts that it holds meanwhile; a longer text comes alone.
+SETTLE_BYTES = 1 << 25
 #: Bytes of text whose open units are copied at a time.
 FETCH_BYTES = 1 << 18
 
@@ -32,14 +34,16 @@ _MUL = mix(np.arange(11, 75, dtype=U)) | U(1)
 
 
 class Symbols(NamedTuple):
-    """Symbols of some texts for one window kind: two independent k-gram hashes at each place, and row offsets.
+    """Symbols of some texts for one window kind: two independent k-gram hashes at each place, row offsets and byte ranges.
 
-    The first chooses anchors, the second verifies that units with one anchor are equal.
+    The first hash chooses anchors, the second tells units of one anchor apart.
     """
 
     gram: np.ndarray
     proof: np.ndarray
     offsets: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
 
 class Kind(NamedTuple):
@@ -132,50 +136,96 @@ UNITS = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("unit", pa.int
 UNIT_DDL = "anchor long, salt int, unit long, key long, lo long, hi long, hot boolean"
 
 
+def same_units(kind: Kind, data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether the units at two lists of byte ranges hold the same symbols.
+
+    Most are equal byte for byte.  Others, as words with other white space
+    between them, are compared by ``kind.equal``: a unit's first and last window
+    cover all of it.
+    """
+    size = a_end - a
+    same = size == b_end - b
+    same[same] = equal_bytes(data, a[same], b[same], size[same])
+    rest = np.flatnonzero(~same)
+    cost = np.cumsum(size[rest] + b_end[rest] - b[rest])
+    at = 0
+    while at < len(rest):
+        stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + FETCH_BYTES, side="right")))
+        pair = rest[at:stop]
+        start, end = np.concatenate([a[pair], b[pair]]), np.concatenate([a_end[pair], b_end[pair]])
+        length = end - start
+        t = Texts(0, data[np.repeat(start, length) + ranges(length)], np.concatenate([[0], np.cumsum(length)]))
+        _, _, offsets = kind.spans(t)
+        first, last, n = offsets[:-1], offsets[1:] - kind.window, len(pair)
+        ok = np.flatnonzero(np.diff(offsets)[:n] == np.diff(offsets)[n:])
+        equal = kind.equal(t, first[ok], first[n + ok]) & kind.equal(t, last[ok], last[n + ok])
+        same[pair[ok[equal]]] = True
+        at = stop
+    return same
+
+
+def settle(kind: Kind, data: np.ndarray, *parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Repeats among some units, given their texts: first the units that stay, then ranges of those that repeat.
+
+    ``parts``: anchor, unit, key, first and last window, and byte range in ``data`` of each unit.
+    """
+    while True:
+        anchor, unit, key, lo, hi, start, end = parts
+        order = np.lexsort((lo, key, unit, anchor))
+        parts = anchor, unit, key, lo, hi, start, end = tuple(x[order] for x in parts)
+        cuts = np.concatenate([[0], np.flatnonzero((unit[1:] != unit[:-1]) | (anchor[1:] != anchor[:-1])) + 1, [len(unit)]])
+        head = np.repeat(cuts[:-1], np.diff(cuts))
+        late = key != key[head] if kind.by_document else (key != key[head]) | (lo != lo[head])
+        at = np.flatnonzero(late)
+        wrong = at[~same_units(kind, data, start[at], end[at], start[head[at]], end[head[at]])]
+        if not len(wrong):
+            break
+        # Different units met under one hash: those unlike its first form another.
+        unit[wrong] = signed(mix(unit[wrong].view(U) + U(1)))
+    # The place of each unit among its anchor's.
+    nth = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    by_anchor = group_cuts(anchor)
+    place = nth - np.repeat(nth[by_anchor[:-1]], np.diff(by_anchor))
+    most = np.repeat(np.maximum.reduceat(place, by_anchor[:-1]), np.diff(by_anchor))
+    live = ~late
+    yield batch(UNITS, anchor[live], (place[live] // CAP).astype(np.int32), unit[live], key[live], lo[live], hi[live], most[live] >= CAP)
+    k, a, z = merged(key[late], lo[late], hi[late] + kind.window)
+    yield batch(UNITS, pa.nulls(len(k), pa.int64()), (k & 0xFFFFFF).astype(np.int32), np.zeros(len(k), np.int64), k, a, z, np.zeros(len(k), bool))
+
+
 def scan_units(rows: DataFrame, kind: Kind) -> DataFrame:
     """Units of a (key, text) frame.
 
-    Repeats among the units a task holds at a time are settled at once: they come back as plain
+    Repeats among the units a task holds at a time are settled at once, each compared with the first of its unit on the texts,
+    which the task holds as well: they come back as plain
     ranges (anchor null, spread by salt), so an anchor of every document sends a
     few rows per settling and not one per document.  An anchor with more than CAP
     different units among them is marked hot, and what exceeds CAP gets a salt.
     """
 
-    def settle(anchor: np.ndarray, unit: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((lo, key, unit, anchor))
-        anchor, unit, key, lo, hi = anchor[order], unit[order], key[order], lo[order], hi[order]
-        cuts = np.concatenate([[0], np.flatnonzero((unit[1:] != unit[:-1]) | (anchor[1:] != anchor[:-1])) + 1, [len(unit)]])
-        head = np.repeat(cuts[:-1], np.diff(cuts))
-        late = key != key[head] if kind.by_document else (key != key[head]) | (lo != lo[head])
-        # The place of each unit among its anchor's.
-        nth = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        by_anchor = group_cuts(anchor)
-        place = nth - np.repeat(nth[by_anchor[:-1]], np.diff(by_anchor))
-        most = np.repeat(np.maximum.reduceat(place, by_anchor[:-1]), np.diff(by_anchor))
-        live = ~late
-        yield batch(UNITS, anchor[live], (place[live] // CAP).astype(np.int32), unit[live], key[live], lo[live], hi[live], most[live] >= CAP)
-        k, a, z = merged(key[late], lo[late], hi[late] + kind.window)
-        yield batch(UNITS, pa.nulls(len(k), pa.int64()), (k & 0xFFFFFF).astype(np.int32), np.zeros(len(k), np.int64), k, a, z, np.zeros(len(k), bool))
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        held: list[np.ndarray] = []
+        size = n_bytes = 0
         for b in batches:
             # Nulls are filled first: numpy would make floats of a column that has some, which merges large keys.
             keys = b.column(0).fill_null(0).to_numpy()
             known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for c in chunks(b.column(1)):
-                u = units(kind.symbols(c), kind)
+                s = kind.symbols(c)
+                u = units(s, kind)
                 row = u.row + c.first
                 ok = known[row]
                 if ok.any():
-                    parts.append((u.anchor[ok], u.unit[ok], keys[row[ok]], u.lo[ok], u.hi[ok]))
-                    size += len(parts[-1][0])
-                if size >= SETTLE_UNITS:
-                    yield from settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                    parts, size = [], 0
+                    at = s.offsets[u.row[ok]]
+                    parts.append((u.anchor[ok], u.unit[ok], keys[row[ok]], u.lo[ok], u.hi[ok], n_bytes + s.start[at + u.lo[ok]], n_bytes + s.end[at + u.hi[ok] + kind.window - 1]))
+                    held.append(c.data.copy())
+                    size, n_bytes = size + len(parts[-1][0]), n_bytes + len(c.data)
+                if size >= SETTLE_UNITS or n_bytes >= SETTLE_BYTES:
+                    yield from settle(kind, np.concatenate(held), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    parts, held, size, n_bytes = [], [], 0, 0
         if parts:
-            yield from settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield from settle(kind, np.concatenate(held), *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return rows.mapInArrow(tidy(scan), UNIT_DDL)
 
@@ -267,7 +317,7 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
     fetched = stash(fetched, "open-units")
     hot_keys = open_units.where("hot").limit(1).count() > 0
 
-    def settle(key: np.ndarray, lo: np.ndarray, symbols: pa.Array) -> pa.RecordBatch:
+    def repeats(key: np.ndarray, lo: np.ndarray, symbols: pa.Array) -> pa.RecordBatch:
         """Repeats among the windows of some units."""
         k, p = late_windows(Texts(0, *flat(symbols)), key, lo, kind)
         return batch(RANGES, *merged(k, p, p + kind.window))
@@ -275,7 +325,7 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, 2 << 20):
             # Windows of different anchors differ, so one comparison serves many anchors.
-            yield settle(t["key"].to_numpy(), t["lo"].to_numpy(), t["symbols"])
+            yield repeats(t["key"].to_numpy(), t["lo"].to_numpy(), t["symbols"])
 
     out = fetched.where("not hot").select("anchor", "key", "lo", "symbols").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(cold), "key long, lo long, hi long")
     if not hot_keys:

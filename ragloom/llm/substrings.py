@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.arrays import U, Texts, chunks, mix, second_hash, tidy, words
+from ragloom.llm.arrays import U, Texts, chunks, equal_bytes, mix, second_hash, tidy, words
 from ragloom.llm.repeats import Kind, Symbols, compare_windows, judged, merged, scan_units, with_texts
 from ragloom.session import stash, text_batches, unstash
 
@@ -38,7 +38,7 @@ def word_symbols(t: Texts) -> Symbols:
         for k in range(GRAM):
             gram[: max(len(h) - k, 0)] += h[k:] * _WEIGHTS[k]
         grams.append(mix(gram))
-    return Symbols(*grams, w.offsets)
+    return Symbols(*grams, w.offsets, w.start, w.end)
 
 
 def word_spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,12 +62,26 @@ def word_classes(t: Texts, first: np.ndarray) -> np.ndarray:
 
 
 def word_equal(t: Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Word by word: lengths, and both hashes of the bytes."""
+    """Word by word: lengths and hashes first, then the bytes."""
     w = words(t)
+    size = w.end - w.start
     same = np.ones(len(a), dtype=bool)
-    for values in (w.end - w.start, w.hash, second_hash(t, w)):
+    for values in (size, w.hash):
         for k in range(WINDOW):
             same &= values[a + k] == values[b + k]
+    left = np.flatnonzero(same)
+    i, j = a[left], b[left]
+    # A window that goes on from the pair before it has one new word.
+    on = np.zeros(len(left), dtype=bool)
+    on[1:] = (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1)
+    whole = np.arange(WINDOW)
+    p = np.concatenate([(i[~on, None] + whole).ravel(), i[on] + WINDOW - 1])
+    q = np.concatenate([(j[~on, None] + whole).ravel(), j[on] + WINDOW - 1])
+    wrong = np.flatnonzero(~equal_bytes(t.data, w.start[p], w.start[q], size[p]))
+    if len(wrong):
+        n = len(size)
+        for k in range(WINDOW):
+            same[left] &= ~np.isin((i + k) * n + j + k, p[wrong] * n + q[wrong])
     return same
 
 

@@ -37,7 +37,8 @@ def gram_buckets(data: np.ndarray, a: np.uint64 = _A, b: np.uint64 = _B) -> np.n
 
 
 def byte_symbols(t: Texts) -> Symbols:
-    return Symbols(gram_buckets(t.data), gram_buckets(t.data, _C, _D), t.offsets)
+    at = np.arange(len(t.data))
+    return Symbols(gram_buckets(t.data), gram_buckets(t.data, _C, _D), t.offsets, at, at + 1)
 
 
 def refine(bucket: np.ndarray, depth: int, places: np.ndarray, length: int) -> np.ndarray:

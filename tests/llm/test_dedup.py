@@ -8,10 +8,10 @@ import pytest
 
 import corpus_pipeline
 from ragloom.llm import repeats
-from ragloom.llm.arrays import Texts
+from ragloom.llm.arrays import Texts, equal_bytes, words
 from ragloom.llm.components import components
 from ragloom.llm.neardup import drop_near_duplicates, near_duplicates
-from ragloom.llm.substrings import FingerprintIndex, deduplicate_words
+from ragloom.llm.substrings import WORDS, FingerprintIndex, deduplicate_words, word_equal
 from ragloom.llm.suffixes import BYTES, byte_classes, deduplicate_bytes
 from ragloom.session import stash
 from tests.llm.conftest import SF, split_words
@@ -141,6 +141,50 @@ def test_classes_that_mix_windows_are_told_apart():
     assert sorted(zip(*(x.tolist() for x in repeats.late_windows(t, key, lo, same)), strict=True)) == want
 
 
+def test_bytes_compared_in_eights():
+    g = np.random.default_rng(5)
+    data = g.integers(0, 2, 9000).astype(np.uint8)
+    data[4500:] = data[:4500]
+    data[[4600, 6000, 8999]] ^= 1
+    a = g.integers(0, 4400, 2000)
+    b = np.where(g.random(2000) < 0.7, a + 4500, g.integers(0, 4400, 2000))
+    size = np.minimum(g.choice([0, 1, 3, 7, 8, 9, 16, 100, 4400], 2000), 9000 - np.maximum(a, b))
+    want = [data[x : x + n].tobytes() == data[y : y + n].tobytes() for x, y, n in zip(a, b, size, strict=True)]
+    assert equal_bytes(data, a, b, size).tolist() == want and 0 < sum(want) < 2000
+
+
+@pytest.mark.parametrize("kind", [BYTES, WORDS])
+def test_units_under_one_hash_are_told_apart(kind):
+    """Units are compared on their texts, so a hash that never tells any apart gives the same repeats; white space is no difference of words."""
+    parts = ["".join(f"{k}-{j:03d} " for j in range(60)) for k in "abc"]
+    texts = [parts[0] + parts[1], parts[1] + parts[2], parts[2] + parts[0], parts[0].replace(" ", "\n ") + "end"]
+    raw = [t.encode() for t in texts]
+    t = Texts(0, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    s = kind.symbols(t)
+    u = repeats.units(s, kind)
+    at = s.offsets[u.row]
+    ends = s.start[at + u.lo], s.end[at + u.hi + kind.window - 1]
+    found = []
+    for unit in (u.unit, np.zeros_like(u.unit)):
+        live, late = repeats.settle(kind, t.data, u.anchor, unit, u.row, u.lo, u.hi, *ends)
+        found.append(late.select(["key", "lo", "hi"]).to_pylist())
+        keys = list(zip(live["anchor"].to_pylist(), live["unit"].to_pylist(), strict=True))
+    assert found[0] == found[1] and len(found[0]) >= 3
+    assert len(set(keys)) > len(set(u.anchor.tolist())) // 2
+    assert any(r["key"] == 3 for r in found[0]) == kind.by_document
+
+
+def test_words_are_compared_by_their_bytes(monkeypatch):
+    """With a hash that holds nothing, and words of one length, only the bytes tell windows apart."""
+    text = " ".join([f"{k:03d}" for k in range(40)] + [f"{k:03d}" for k in range(20)] + ["xyz"] + [f"{k:03d}" for k in range(21, 40)]).encode()
+    t = Texts(0, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    w = text.split()
+    monkeypatch.setattr("ragloom.llm.substrings.words", lambda t: plain._replace(hash=np.zeros_like(plain.hash)))
+    plain = words(t)
+    a, b = np.arange(28), np.arange(28) + 40
+    assert word_equal(t, a, b).tolist() == [w[i : i + 13] == w[j : j + 13] for i, j in zip(a, b, strict=True)]
+
+
 def test_odd_keys(spark):
     """Keys above 2**53 beside a null key, and keys that repeat with other texts, nulls and nothing."""
     line = "".join(f"{k:05d} " for k in range(40))
