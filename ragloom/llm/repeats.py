@@ -351,7 +351,8 @@ def compare_windows(rows: DataFrame, open_units: DataFrame, kind: Kind) -> DataF
 def repeated_ranges(rows: DataFrame, kind: Kind, name: str) -> DataFrame:
     """(key, lo, hi) ranges of symbols covered by repeated windows, over a (key, text) frame; written to the shared folder."""
     text_batches(rows.sparkSession)
-    dealt = scan_units(rows, kind).repartition(F.coalesce("anchor", F.xxhash64("key")), "salt")
+    # Dealt as the windows of judged() ask for it, so units move once; settled ranges, without an anchor, are spread by their salt.
+    dealt = scan_units(rows, kind).repartition("anchor", "salt")
     found = stash(judged(dealt, kind), f"{name}-units")
     compared = stash(compare_windows(rows, found.where("state = 2"), kind), f"{name}-windows")
     return found.where("state = 1").select("key", "lo", "hi").union(compared)
