@@ -60,3 +60,36 @@ def test_ndcg(tables):
         assert (2 * i + 1 in binary) == (sum(same) > 0)
         if sum(same):
             assert binary[2 * i + 1] == pytest.approx(gain(same[:5]) / gain(sorted(same, reverse=True)[:5]))
+
+
+def test_blocks_go_to_a_group_once(spark):
+    """However many held blocks of a group name its cell, and each of them meets it."""
+    from ragloom.operators import pivots
+
+    held = spark.range(200).selectExpr("id", "id * 10 AS x")
+    passing = spark.createDataFrame([(c, 10 * c + b) for c in range(3) for b in range(4)], "cell int, block long")
+    pairs = held.selectExpr("id", "cast(id % 3 AS int) AS cell")
+    rows = pivots.together(held, passing, pairs)
+    assert rows.count() <= 200 + 12 * pivots.GROUPS
+
+    def meet(batches):
+        mine = []
+        for one, ids, two in pivots.met_rows(batches):
+            if one:
+                mine.append(one["id"].as_py())
+                continue
+            for i in mine if ids is None else ids:
+                assert i in mine
+                yield pivots.pa.RecordBatch.from_arrays([pivots.pa.array([i]), pivots.pa.array([two["block"].as_py()])], names=["i", "block"])
+
+    got = sorted(map(tuple, rows.mapInArrow(meet, "i long, block long").collect()))
+    assert got == [(i, 10 * (i % 3) + b) for i in range(200) for b in range(4)]
+    assert pivots.together(held, passing, None).mapInArrow(meet, "i long, block long").count() == 200 * 12
+
+
+def test_six_places_as_in_c(spark):
+    from ragloom.plans.vectors import six_places
+
+    x = [0.1234565, 0.1234575, -0.0000004, 1234.5, 0.0000005, 0.5, -0.2345675, 2.0000015]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(six_places("x")).collect()]
+    assert got == ["%.6f" % v for v in x]
