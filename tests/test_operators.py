@@ -436,3 +436,13 @@ def test_html_unescape_takes_small_batches(spark):
     QUERIES["html_unescape"](spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 32 << 20
+
+
+def test_upper_as_in_duckdb(spark):
+    import duckdb
+
+    from ragloom.plans.corpus import upper
+
+    words = ["erßie", "ﬁx", "ŉa", "été", "", "Ab1"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(upper(F.col("w"))).collect()]
+    assert got == [duckdb.execute("SELECT upper(?)", [w]).fetchone()[0] for w in words]
