@@ -77,6 +77,18 @@ def test_turns_with_partners_on_both_sides(spark, seed):
     assert {x.id for x in D.drop_in_turn(r, p).collect()} == replay(rows, pairs)
 
 
+def test_turns_of_a_dense_table_take_few_rounds(spark, monkeypatch):
+    """Where all rows are linked over a few others, rounds follow the turns that wait for each other, not the number of turns."""
+    g = np.random.default_rng(5)
+    rows = {i: float(g.choice([0.6, 0.7, 0.9])) for i in range(150)}
+    pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in g.integers(0, 150, (900, 2)) if a != b})
+    rounds, stash = [], D.stash
+    monkeypatch.setattr(D, "stash", lambda df, name: rounds.append(name) or stash(df, name))
+    r = spark.createDataFrame(list(rows.items()), "id long, confidence double")
+    assert {x.id for x in D.drop_in_turn(r, spark.createDataFrame(pairs, "i long, j long")).collect()} == replay(rows, pairs)
+    assert rounds.count("dropped") <= 12
+
+
 def test_corpus_with_semantic_dedup(spark):
     """Of near texts, in the order of ids, the more confident stays; small corpora are left as they are."""
     words = [f"w{k}" for k in range(40)]
