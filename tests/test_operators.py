@@ -431,6 +431,42 @@ def test_whole_graphs(spark, tmp_path):
     assert padded == {(g, k): (m[k], 1) if k < len(m) else (0, 0) for g, m in members.items() for k in range(top)}
 
 
+def test_hops_of_small_graphs_shuffle_edges_once(spark, monkeypatch):
+    """Graphs of both sizes, with given nodes or the edges' ends, strings and nulls, against a breadth-first search; small ones join nothing."""
+    g = np.random.default_rng(2)
+    name = lambda v: None if v == 7 else f"n{v}"
+    edges = [(k, name(a), name(b)) for k, n in ((1, 90), (2, 9), (3, 300)) for a, b in g.integers(0, n, (n, 2)).tolist()] + [(4, f"n{i}", f"n{i + 1}") for i in range(70)]
+    e = spark.createDataFrame(edges, "graph_id long, src string, dst string")
+    monkeypatch.setattr(G, "SMALL", 200)
+    given = sorted({(k, x) for k, a, b in edges for x in (a, b) if x != "n3"} | {(2, "alone")}, key=str)
+    for nodes in (sorted({(k, x) for k, a, b in edges for x in (a, b)}, key=str), given):
+        near, members, want = {}, {}, {}
+        for k, a, b in edges:
+            if a is not None and b is not None:
+                near.setdefault((k, a), set()).add(b)
+                near.setdefault((k, b), set()).add(a)
+        for k, x in nodes:
+            members.setdefault(k, []).append(x)
+        for k, own in members.items():
+            own.sort(key=lambda x: (x is None, x or ""))
+            for a in own:
+                dist, todo = ({}, []) if a is None else ({a: 0}, [a])
+                for x in todo:
+                    for y in near.get((k, x), set()) - dist.keys():
+                        dist[y] = dist[x] + 1
+                        todo.append(y)
+                want |= {(k, a, b): dist.get(b, 510) for b in own}
+        n = spark.createDataFrame(nodes, "graph_id long, node string") if nodes is given else None
+        rows = G.hop_arrays(e, n).collect()
+        assert len(rows) == len(nodes) and all(members[r.graph_id][r.pos] == r.node for r in rows)
+        assert {(r.graph_id, r.node, b): h for r in rows for b, h in zip(members[r.graph_id], r.hops, strict=True)} == want
+        pairs = G.hops(e, n).collect()
+        assert len(pairs) == len(want) and {(r.graph_id, r.a, r.b): r.hops for r in pairs} == want
+    monkeypatch.undo()
+    plan = G.hops(e)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Join" not in plan
+
+
 def test_evidence_words_are_made_once(spark):
     """As by a search for each phrase, in a plan with one search, for the phrase of two words."""
     from ragloom.functions import text as X
