@@ -368,6 +368,22 @@ def test_set_scores_all_pairs(spark):
     assert QUERIES["set_scores_all"](spark, folder).count() == shapes * captions
 
 
+def test_tiles_of_sets_pass_once_by_each_group(spark):
+    """What is shuffled does not grow with the pairs of tiles: smaller tiles, of which there are more, make no more copies."""
+    from ragloom.operators import pivots
+    from ragloom.operators import setmatch as S
+
+    parts, words = (spark.range(400).select(F.col("id").alias(k), F.array(F.rand(1), F.rand(2)).alias(v)) for k, v in (("shape", "pv"), ("caption", "wv")))
+    met = []
+    real = S.together
+    try:
+        S.together = lambda *frames: met.append(real(*frames)) or met[-1]
+        assert S.all_pair_scores(parts, words, tile=2).count() == 400 * 400
+    finally:
+        S.together = real
+    assert met[0].count() <= 200 + 200 * pivots.GROUPS
+
+
 def test_word_jaccard_all_pairs(spark):
     """Every pair that shares a word is found, whatever the ids' remainders; the others are 0."""
     from ragloom.plans import QUERIES
@@ -435,7 +451,8 @@ def test_hops_of_small_graphs_shuffle_edges_once(spark, monkeypatch):
     """Graphs of both sizes, with given nodes or the edges' ends, strings and nulls, against a breadth-first search; small ones join nothing."""
     g = np.random.default_rng(2)
     name = lambda v: None if v == 7 else f"n{v}"
-    edges = [(k, name(a), name(b)) for k, n in ((1, 90), (2, 9), (3, 300)) for a, b in g.integers(0, n, (n, 2)).tolist()] + [(4, f"n{i}", f"n{i + 1}") for i in range(70)]
+    edges = [(k, name(a), name(b)) for k, n in ((1, 90), (2, 9)) for a, b in g.integers(0, n, (n, 2)).tolist()] + [(4, f"n{i}", f"n{i + 1}") for i in range(70)]
+    edges += [(3, "n0", name(b)) for b in range(240)]
     e = spark.createDataFrame(edges, "graph_id long, src string, dst string")
     monkeypatch.setattr(G, "SMALL", 200)
     given = sorted({(k, x) for k, a, b in edges for x in (a, b) if x != "n3"} | {(2, "alone")}, key=str)
