@@ -384,6 +384,24 @@ def test_tiles_of_sets_pass_once_by_each_group(spark):
     assert met[0].count() <= 200 + 200 * pivots.GROUPS
 
 
+def test_hash_search_compares_few_and_finds_most(spark, monkeypatch):
+    """Each pair once, nine of ten at least of those near, with large buckets in parts; unlike vectors seldom share a key."""
+    g = np.random.default_rng(3)
+    x = np.concatenate([g.normal(size=(600, 32)), np.repeat(g.normal(size=(1, 32)), 60, axis=0)])
+    x[300:600] = x[:300] + 0.25 * x[300:600]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = {(i, j) for i, j in zip(*np.nonzero(np.linalg.norm(x[:, None] - x, axis=2) < 0.5), strict=True) if i < j}
+    monkeypatch.setattr(O, "BUCKET", 16)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = [(r.i, r.j) for r in O.nearest_by_hash(d, 0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) <= near and len(got) >= 0.9 * len(near)
+    assert {(i, j) for i, j in near if i >= 600} <= set(got)
+    turns, tables = O._turns_and_tables(100_000, 64, 0.5)
+    y = g.normal(size=(2, 20_000, 64))
+    same = [np.all([O._largest(y[0] @ t) == O._largest(y[1] @ t) for t in turns[k * len(turns) // tables : (k + 1) * len(turns) // tables]], axis=0) for k in range(tables)]
+    assert np.sum(same) / y.shape[1] < 0.02
+
+
 def test_word_jaccard_all_pairs(spark):
     """Every pair that shares a word is found, whatever the ids' remainders; the others are 0."""
     from ragloom.plans import QUERIES
