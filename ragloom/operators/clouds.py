@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from ragloom.functions.text import md5_number, md5_unit
 from ragloom.operators.nearest import nearest_points
 from ragloom.operators.ranks import ranked_in_groups
-from ragloom.session import stash
+from ragloom.session import spread, stash
 
 AXES = ("x", "y", "z")
 
@@ -186,26 +188,76 @@ def neighbours(q: DataFrame, s: DataFrame, k: int, farthest: bool = False) -> Da
     return pairs.select("cloud_id", "q", "s", "d2", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
 
 
-def within(q: DataFrame, s: DataFrame, radius: float) -> DataFrame:
-    """(cloud_id, q, s, d2) of pairs within a radius: points meet by equal cells of that size, each query asking its 27."""
+def within(q: DataFrame, s: DataFrame, radius: float, asking: str = "q") -> DataFrame:
+    """(cloud_id, q, s, d2) of pairs within a radius: points meet by equal cells of that size, each point of the side that asks (the smaller, best) naming its 27."""
     a = voxels(q, radius).select("cloud_id", F.col("point_id").alias("q"), *AXES, "vx", "vy", "vz")
-    shift = F.explode(F.array(*[F.lit(k) for k in range(27)]))
-    a = a.withColumn("_k", shift)
-    for i, c in enumerate(AXES):
-        a = a.withColumn(f"v{c}", F.col(f"v{c}") + F.floor(F.col("_k") / 3**i) % 3 - 1)
     b = voxels(s, radius).select("cloud_id", F.col("point_id").alias("s"), *[F.col(c).alias(f"b_{c}") for c in AXES], "vx", "vy", "vz")
-    return a.join(b, list(CELL)).withColumn("d2", F.round(distance2(), 9)).where(F.col("d2") < radius * radius).select("cloud_id", "q", "s", "d2")
+    a, b = (_around(a), b) if asking == "q" else (a, _around(b))
+    # The bound is rounded as the distances are: 0.2 * 0.2 lies above 0.04.
+    return a.join(b, list(CELL)).withColumn("d2", F.round(distance2(), 9)).where(F.col("d2") < round(radius * radius, 9)).select("cloud_id", "q", "s", "d2")
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """Each row once for each of the 27 cells about its own."""
+    df = df.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(27)])))
+    for i, c in enumerate(AXES):
+        df = df.withColumn(f"v{c}", F.try_add(F.col(f"v{c}"), F.floor(F.col("_k") / 3**i) % 3 - 1))
+    return df.drop("_k")
+
+
+#: Clouds of more points are searched for balls in rounds of ids, the first of so many points of a cloud, then of GROWTH times as many.
+PLAIN, FIRST, GROWTH = 1024, 64, 8
 
 
 def ball_query(q: DataFrame, s: DataFrame, radius: float, n: int) -> DataFrame:
     """(cloud_id, q, place, s): up to n points within the radius by id, short groups filled with their first."""
-    near = within(q, s, radius)
-    r = near.withColumn("place", F.row_number().over(Window.partitionBy("cloud_id", "q").orderBy("s")) - 1).where(F.col("place") < n)
-    g = r.groupBy("cloud_id", "q").agg(F.array_sort(F.collect_list("s")).alias("found"))
-    g = g.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    g = _balls(q, s, radius, n).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return g.select("cloud_id", "q", F.col("place").cast("long").alias("place"), F.coalesce(F.get("found", F.col("place")), F.get("found", F.lit(0))).alias("s"))
 
 
+def _first_within(near: DataFrame, n: int) -> DataFrame:
+    """(cloud_id, q, found): the n smallest ids of each query, in order."""
+    r = near.withColumn("place", F.row_number().over(Window.partitionBy("cloud_id", "q").orderBy("s"))).where(F.col("place") <= n)
+    return r.groupBy("cloud_id", "q").agg(F.array_sort(F.collect_list("s")).alias("found"))
+
+
+def _balls(q: DataFrame, s: DataFrame, radius: float, n: int) -> DataFrame:
+    """(cloud_id, q, found): the n smallest ids within the radius of each query that has any.
+
+    A query of a large cloud first meets the smallest ids of its cloud, and
+    goes on to the next, of which there are more each round, only while it has
+    found fewer than n: where many points are near, few of them are looked at.
+    """
+    sizes = s.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most <= PLAIN:
+        return _first_within(within(q, s, radius), n)
+    ends = [FIRST]
+    while ends[-1] < most:
+        ends.append(ends[-1] * GROWTH)
+    upto = sizes.agg(*[F.sum(F.least("n", F.lit(e))) for e in ends]).first()
+    points = s.select("cloud_id", "point_id", *AXES)
+    points = stash(ranked_in_groups(points, "cloud_id", F.col("point_id")), "points-by-id")
+    left = q.select("cloud_id", "point_id", *AXES, F.array().cast("array<long>").alias("found"))
+    rounds, n_left = [], None
+    for i, end in enumerate(ends):
+        part = points.where((F.col("place") > (ends[i - 1] if i else 0)) & (F.col("place") <= end))
+        n_part = upto[i] - (upto[i - 1] if i else 0)
+        asking = "q" if n_left is not None and n_left < n_part else "s"
+        left = spread(left, "cloud_id", "point_id")
+        more = _first_within(within(left, part, radius, asking), n).select("cloud_id", F.col("q").alias("point_id"), F.col("found").alias("more"))
+        left = left.join(more, ["cloud_id", "point_id"], "left")
+        left = left.withColumn("found", F.when(F.col("more").isNull(), F.col("found")).otherwise(F.slice(F.concat("found", "more"), 1, n))).drop("more")
+        state = stash(left, "balls")
+        last = end == ends[-1]
+        rounds.append(state.where(F.size("found") > 0 if last else F.size("found") == n))
+        left = state.where(F.size("found") < n)
+        n_left = left.count()
+        if not n_left:
+            break
+    return reduce(DataFrame.union, rounds).select("cloud_id", F.col("point_id").alias("q"), "found")
+
+
 def relative(groups: DataFrame, df: DataFrame, radius: float = 1.0) -> DataFrame:
     """Adds dx, dy, dz of each member from its centre, over the radius, and the member's and the centre's feature."""
     a = df.select("cloud_id", F.col("point_id").alias("q"), *AXES, F.col("f1").alias("own"))

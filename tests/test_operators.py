@@ -179,6 +179,31 @@ def test_neighbours_and_ball_agree_with_numpy(spark):
     assert covered == set(range(60))
 
 
+def test_balls_of_large_clouds_stop_at_the_first_ids(spark, monkeypatch):
+    """Rounds of ids find the same as a plain search, in a dense heap, a thin rest and an empty place, and few pairs meet."""
+    monkeypatch.setattr(P, "PLAIN", 50)
+    monkeypatch.setattr(P, "FIRST", 16)
+    met, plain = [], P.within
+    monkeypatch.setattr(P, "within", lambda *a: met.append(plain(*a).cache()) or met[-1])
+    g = np.random.default_rng(3)
+    xyz = np.concatenate([g.normal(0, 0.05, (1200, 3)), g.normal(0, 0.6, (300, 3)), [[9.0, 9.0, 9.0]]])
+    ids = g.permutation(len(xyz))
+    schema = "cloud_id long, point_id long, x double, y double, z double"
+    odd = [(2, 7, 0.0, 0.0, 0.0), (2, 5, 0.2, 0.0, 0.0), (2, 3, float("inf"), 0.0, 0.0), (2, 4, None, 0.0, 0.0), (2, 6, float("nan"), 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame([(1, int(i), *map(float, p)) for i, p in zip(ids, xyz, strict=True)] + odd, schema)
+    got = {}
+    for r in P.ball_query(df, df, 0.2, 6).orderBy("place").collect():
+        got.setdefault((r.cloud_id, r.q), []).append(r.s)
+    want = {}
+    for i, p in zip(ids, xyz, strict=True):
+        found = sorted(ids[np.round(((xyz - p) ** 2).sum(axis=1), 9) < 0.04].tolist())[:6]
+        want[1, int(i)] = found + found[:1] * (6 - len(found))
+    assert {k: v for k, v in got.items() if k[0] == 1} == want
+    # A squared distance of exactly 0.04 is not below it; points without a place are near nothing.
+    assert {k: v for k, v in got.items() if k[0] != 1} == {(2, 7): [7] * 6, (2, 5): [5] * 6}
+    assert len(met) > 1 and sum(m.count() for m in met) < 40 * len(xyz)
+
+
 @pytest.mark.parametrize("n, k", [(3, 5), (5000, 4), (30000, 6)])
 def test_nearest_points_of_small_and_large_clouds(spark, n, k):
     """An even cloud with a dense heap and a pile of one place, and small clouds; queries inside and far outside."""
