@@ -458,6 +458,40 @@ def test_vocabulary_of_all_documents(spark):
     assert {r.id: r.text for r in decode(rows, "id", known).collect()} == {1: "c a"}
 
 
+def test_words_are_looked_up_once_for_a_chunk(spark, monkeypatch):
+    """Several chunks and batches, nulls, unknown words; no row for each place of a word is shuffled."""
+    from ragloom.operators import vocabulary as V
+
+    monkeypatch.setattr(V, "CHUNK", 500)
+    monkeypatch.setattr(V, "ROWS", 20)
+    monkeypatch.setattr(V, "text_batches", lambda s, rows: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    g = np.random.default_rng(7)
+    texts = {i: " ".join(g.choice(["a", "B", "c", "\u00e9", "x"], 50)) for i in range(200)} | {200: "", 201: None, 202: "x", 203: " \t"}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(2)
+    known = V.vocabulary(spark.createDataFrame([("a b c \u00e9",)], "text string"))
+    order = ["a", "b", "c", "\u00e9"]
+    ids = {i: [order.index(w) + 1 if w in order else 0 for w in (t or "").lower().split()] for i, t in texts.items()}
+    up = lambda x: F.when(x > 0, x + 1).otherwise(0)
+    try:
+        coded, terms = V._coded(df.select("id", V.tokens(F.lower("text")).alias("items")), "id")
+        chunks = coded.select("chunk").distinct().count()
+        assert coded.count() == len(texts) and chunks > 5 and terms.count() <= 5 * chunks
+        encoded = V.encode(df, "id", "text", known)
+        assert {r.id: r.ids for r in encoded.collect()} == ids
+        want = {i: " ".join(order[k] for k in v if 0 < k < 4) for i, v in ids.items() if any(0 < k < 4 for k in v)}
+        recoded = V.recode(df, "id", "text", known, up)
+        assert {r.id: r.text for r in recoded.collect()} == want
+        again = V.decode(encoded.withColumn("ids", F.transform("ids", up)), "id", known)
+        assert {r.id: r.text for r in again.collect()} == want
+        missing = spark.createDataFrame([(1, [2, None, 1]), (2, None), (3, [9]), (4, [])], "id long, ids array<long>")
+        assert {r.id: r.text for r in V.decode(missing, "id", known).collect()} == {1: "b a"}
+        assert "explode" not in recoded._jdf.queryExecution().toString() + encoded._jdf.queryExecution().toString()
+        assert V.encode(df.limit(0), "id", "text", known).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_whole_graphs(spark, tmp_path):
     """Graphs of all edges with ids as they are: paths longer than twelve, against a breadth-first search."""
     from ragloom.plans import QUERIES
