@@ -204,6 +204,24 @@ def test_balls_of_large_clouds_stop_at_the_first_ids(spark, monkeypatch):
     assert len(met) > 1 and sum(m.count() for m in met) < 40 * len(xyz)
 
 
+def test_spheres_take_the_nearest_points_only(spark, monkeypatch, tmp_path):
+    """As the SQL says, with coordinates missing or not finite, and without all pairs within the radius."""
+    import duckdb
+
+    from ragloom.plans import QUERIES, SQL
+
+    monkeypatch.setattr(P, "within", None)
+    v = np.random.default_rng(2).normal(0, 0.1, (120, 4))
+    v[10, 0], v[20, 1], v[31, 2] = np.nan, np.inf, -np.inf
+    rows = [(i, [None if (i, k) == (40, 0) else float(x) for k, x in enumerate(r)], i % 2) for i, r in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {tuple(r[:4]): r[4] for r in c.execute(SQL["pc_sphere_tukey"]).fetchall()}
+    got = {tuple(r)[:4]: r.weight for r in QUERIES["pc_sphere_tukey"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and len(want) > 20 and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
 @pytest.mark.parametrize("n, k", [(3, 5), (5000, 4), (30000, 6)])
 def test_nearest_points_of_small_and_large_clouds(spark, n, k):
     """An even cloud with a dense heap and a pile of one place, and small clouds; queries inside and far outside."""
