@@ -93,3 +93,34 @@ def test_six_places_as_in_c(spark):
     x = [0.1234565, 0.1234575, -0.0000004, 1234.5, 0.0000005, 0.5, -0.2345675, 2.0000015]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(six_places("x")).collect()]
     assert got == ["%.6f" % v for v in x]
+
+
+def test_rows_of_a_rank_lie_together(spark, monkeypatch):
+    """And a table is copied for two tasks of each core, 12 at least, not for 48 of any session."""
+    monkeypatch.setattr(A, "ASKING", 1)
+    s = A.Scores(np.array([1, 3]), np.zeros(2), np.array([0, 2, 4]), np.zeros(3), np.array([[0.1, 0.5, 0.5], [0.3, 0.2, 0.9]]))
+    q, d, rank = A.every_rank(s)
+    assert list(rank) == [1, 1, 2, 2, 3, 3] and list(q) == [1, 3] * 3 and list(d) == [2, 4, 4, 0, 0, 2]
+    v = spark.range(60).selectExpr("id AS q", "array(cast(id AS double), 1D) AS qv")
+    out = A.against_all(v, v.toDF("d", "dv"), A.every_rank, "q long, d long, rank long")
+    assert out.rdd.getNumPartitions() == 12 and out.count() == 3600
+
+
+def test_stash_deletes_what_was_shuffled(spark):
+    import time
+
+    from ragloom.session import stash
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: {b for b in map(str, _listed(blocks)) if b.startswith("shuffle_")}
+    had = left()
+    stash(spark.range(1000).groupBy("id").count(), "sum")
+    until = time.time() + 5
+    while left() - had and time.time() < until:
+        time.sleep(0.1)
+    assert not left() - had
+
+
+def _listed(blocks):
+    found = blocks.getAllBlocks()
+    return [found.apply(i) for i in range(found.size())]
