@@ -101,6 +101,8 @@ def test_rows_of_a_rank_lie_together(spark, monkeypatch):
     s = A.Scores(np.array([1, 3]), np.zeros(2), np.array([0, 2, 4]), np.zeros(3), np.array([[0.1, 0.5, 0.5], [0.3, 0.2, 0.9]]))
     q, d, rank = A.every_rank(s)
     assert list(rank) == [1, 1, 2, 2, 3, 3] and list(q) == [1, 3] * 3 and list(d) == [2, 4, 4, 0, 0, 2]
+    q, d, sim = A.every_pair(s)
+    assert list(d) == [0, 0, 2, 2, 4, 4] and list(q) == [1, 3] * 3 and list(sim) == [0.1, 0.3, 0.5, 0.2, 0.5, 0.9]
     v = spark.range(60).selectExpr("id AS q", "array(cast(id AS double), 1D) AS qv")
     out = A.against_all(v, v.toDF("d", "dv"), A.every_rank, "q long, d long, rank long")
     assert out.rdd.getNumPartitions() == 12 and out.count() == 3600
