@@ -13,6 +13,7 @@ from ragloom.operators import dedup as D
 from ragloom.operators import graph as G
 from ragloom.operators import ranking as K
 from ragloom.operators import segmentation as M
+from ragloom.operators import setmatch as S_
 from ragloom.operators import vectors as O
 from ragloom.sources import tables as S
 
@@ -619,3 +620,16 @@ def test_html_unescape_as_in_duckdb(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == dict(duck.execute(SQL["html_unescape"]).fetchall())
+
+
+def test_asked_pairs_leave_their_task_as_results(spark):
+    """No pair is joined or sorted, and halves at the seventh place go where DuckDB takes them."""
+    import duckdb
+
+    from ragloom.plans import QUERIES
+
+    for name in ("raw_norms_asked", "part_word_cost_asked"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan
+    x = [-0.0649515, 0.2573175, 0.1292225, 0.5, -1e-9, 0.0000005, 2.5e9, float("inf")]
+    assert S_.six_places(np.array(x)).tolist() == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in x]
