@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import md5_number, md5_unit
+from ragloom.operators.allclouds import farthest_of
 from ragloom.operators.nearest import nearest_points
 from ragloom.operators.ranks import ranked_in_groups
 from ragloom.session import spread, stash
@@ -174,15 +175,10 @@ def neighbours(q: DataFrame, s: DataFrame, k: int, farthest: bool = False) -> Da
     """(cloud_id, q, s, d2, rank): the k nearest support points of each query point of the same cloud, ties to the smaller id.
 
     Blocks of points are looked up by rings, see nearest_points.  The farthest
-    points have no such order: there all pairs of a cloud are worked out, and
-    each task keeps k of a query's.
+    points have no such order: there the blocks of a cloud pass by all queries,
+    see farthest_of, and no pair but the k of a query leaves a task.
     """
-    if farthest:
-        a = q.select("cloud_id", F.col("point_id").alias("q"), *AXES)
-        b = s.select("cloud_id", F.col("point_id").alias("s"), *[F.col(c).alias(f"b_{c}") for c in AXES])
-        pairs = a.join(b, "cloud_id").select("cloud_id", "q", "s", distance2().alias("d2"))
-    else:
-        pairs = nearest_points(q, s, k)
+    pairs = farthest_of(q, s, k) if farthest else nearest_points(q, s, k)
     pairs = pairs.withColumn("d2", F.round("d2", 9))
     w = Window.partitionBy("cloud_id", "q").orderBy(F.desc("d2") if farthest else F.col("d2"), "s")
     return pairs.select("cloud_id", "q", "s", "d2", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
