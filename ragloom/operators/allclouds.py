@@ -9,6 +9,7 @@ have to be looked into.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -79,6 +80,21 @@ def _distances2(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return out
 
 
+def _below(q: np.ndarray, d: np.ndarray, least: float) -> int:
+    """How many pairs have a squared distance below ``least``: by one product, and those that it leaves open one by one."""
+    scale = float((q * q).sum(axis=1).max() + (d * d).sum(axis=1).max())
+    slack = 1e-13 * scale + 1e-300
+    if not np.isfinite(scale) or slack > least:
+        return int(np.count_nonzero(_distances2(q, d) < least))
+    one = lambda x: np.ones((len(x), 1))
+    near = np.hstack([q, (q * q).sum(axis=1, keepdims=True), one(q)]) @ np.hstack([-2 * d, one(d), (d * d).sum(axis=1, keepdims=True)]).T
+    sure, maybe = int(np.count_nonzero(near < least - slack)), int(np.count_nonzero(near <= least + slack))
+    if sure < maybe:
+        i, j = np.nonzero((near >= least - slack) & (near <= least + slack))
+        sure += int(np.count_nonzero(_square(q[i] - d[j]) < least))
+    return sure
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Held, dict]]:
     """(cloud, the blocks that meet it, block) of each block that passes."""
     rows: dict[int, dict] = {}
@@ -106,7 +122,7 @@ def count_within(q: DataFrame, s: DataFrame, radius: float) -> DataFrame:
             inside = _most2(held.low, held.high, box) < least
             found[cloud] += len(d) * sum(len(held.points[h]) for h in np.flatnonzero(inside))
             for h in np.flatnonzero(~inside & ~(_least2(held.low, held.high, box) >= least)):
-                found[cloud] += int(np.count_nonzero(_distances2(held.points[h], d) < least))
+                found[cloud] += _below(held.points[h], d, least)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["cloud_id", "n"])
 
     n = _meeting(q, s).mapInArrow(run, "cloud_id long, n long").groupBy("cloud_id").agg(F.sum("n").alias("n"))
@@ -175,6 +191,19 @@ def farthest_of(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
     return found.unionByName(filled.unionByName(odd).select("cloud_id", F.col("point_id").alias("q"), "s", unknown))
 
 
+def reach_of(box: float | None, tau: float, edge: float = 10.0) -> float:
+    """The largest squared distance whose root is less than ``tau``, if a box is scaled to ``edge``."""
+    within = lambda d2: math.sqrt(d2) * edge / max(box, 1e-8) < tau
+    if box is None or math.isnan(box):
+        return -1.0
+    d2 = (tau * max(box, 1e-8) / edge) ** 2
+    while not within(d2):
+        d2 = math.nextafter(d2, -math.inf)
+    while within(math.nextafter(d2, math.inf)):
+        d2 = math.nextafter(d2, math.inf)
+    return d2
+
+
 def shares_within(q: DataFrame, s: DataFrame, pairs: DataFrame) -> DataFrame:
     """(of, by, share): the share of the points of cloud ``of`` in q with a point of cloud ``by`` in s at a squared distance of at most ``reach``; pairs: (of, by, reach).
 
