@@ -62,3 +62,11 @@ def test_shares_within(spark, rows):
     pairs = spark.createDataFrame([(*k, v) for k, v in reach.items()], "of long, by long, reach double")
     got = {(r["of"], r["by"]): r.share for r in C.shares_within(df, df, pairs).collect()}
     assert got == pytest.approx(want)
+
+
+def test_reach_is_the_last_distance_within():
+    for box in (1.07, 3.0, 0.0, 1e-12, 1e6):
+        far = C.reach_of(box, 0.5)
+        within = lambda d2: math.sqrt(d2) * 10 / max(box, 1e-8) < 0.5
+        assert within(far) and not within(math.nextafter(far, math.inf))
+    assert C.reach_of(None, 0.5) == C.reach_of(math.nan, 0.5) == -1.0
