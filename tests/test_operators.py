@@ -633,3 +633,38 @@ def test_asked_pairs_leave_their_task_as_results(spark):
         assert "Window" not in plan and "Join" not in plan
     x = [-0.0649515, 0.2573175, 0.1292225, 0.5, -1e-9, 0.0000005, 2.5e9, float("inf")]
     assert S_.six_places(np.array(x)).tolist() == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in x]
+
+
+def test_recall_counts_what_the_hashes_find(spark):
+    """From keys alone, without meeting in buckets: the same as from all pairs found."""
+    g = np.random.default_rng(4)
+    v = np.repeat(g.standard_normal((300, 16)), 3, axis=0) + 0.11 * g.standard_normal((900, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    s = np.round(v @ v.T, 9)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s, 1) >= 0.875), strict=True) if i % 10 == 0 or j % 10 == 0}
+    found = {(r.i, r.j) for r in O.nearest_by_hash(df, 0.5).collect()}
+    got = O.hash_recall(df, 0.5, every=10)
+    assert tuple(got.first()) == (len(want), len(want & found)) and 0 < len(want & found)
+    assert "posexplode" not in got._jdf.queryExecution().logical().toString()
+
+
+def test_blocks_pass_without_what_no_kernel_reads(spark):
+    """And products of half the precision leave every pair in that whole ones find."""
+    from ragloom.operators import pivots
+
+    real, met = pivots.together, []
+    _, df = grouped_vectors(spark, 3000, seed=9)
+    try:
+        pivots.together = lambda *frames: met.append(frames[1].columns) or real(*frames)
+        O.top_k(df, df, 2, "id", "v", "id", "v", exclude_self=True)
+    finally:
+        pivots.together = real
+    assert met and all("table" not in columns for columns in met)
+    g = np.random.default_rng(6)
+    a = g.standard_normal((64, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = 0.92 * a + np.sqrt(1 - 0.92**2) * np.linalg.qr(np.column_stack([a[0], g.standard_normal(64)]))[0][:, 1]
+    s = np.round(np.einsum("ij,kj->ik", a, b), 9)
+    i, j, _, _ = O._pairs_above(a, b, 0.92, np.eye(64))
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(s >= 0.92)), strict=True))
